@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The engine is batch as-of: late rows are handled by the availability clock, not
+by watermarks.  Operators are pure functions of (tables, requests) and can be
+called on a micro-batch, but no streaming operator is claimed.
+"""
