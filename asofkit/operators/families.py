@@ -130,13 +130,17 @@ def conditional(name: str, values: list, time: str, windows=(7, 30, 90, 365)) ->
     return out
 
 
-def episode(key: str, time: str, windows=(7, 30, 90, 365)) -> list[Column]:
+def episode(rows: DataFrame, key: str, time: str, windows=(7, 30, 90, 365)) -> DataFrame:
     """Row opportunities and distinct keys, over the lifetime and per window."""
-    out = [F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys")]
+    per_key = rows.groupBy(*KEYS, key).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(time).alias("_last"),
+        *[count_if(since(time, w)).alias(f"_n{w}") for w in windows],
+    )
+    aggs = [F.sum("_n").alias("rows"), F.count(key).alias("keys")]
     for w in windows:
-        out.append(count_if(since(time, w)).alias(f"rows_{w}d"))
-        out.append(F.count_distinct(when(since(time, w), key)).alias(f"keys_{w}d"))
-    return out
+        aggs.append(F.sum(f"_n{w}").alias(f"rows_{w}d"))
+        aggs.append(F.count(when(since("_last", w), key)).alias(f"keys_{w}d"))
+    return per_key.groupBy(*KEYS).agg(*aggs)
 
 
 def state(rows: DataFrame, time: str, tie: str, numeric=(), categorical=(), lags=3, spans=(3, 5, 10)):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions.scalars import as_column, row_salt
+from asofkit.functions.scalars import as_column, count_if, minus_seconds, row_salt
 
 SALTS = 8
 
@@ -210,6 +210,25 @@ def running_totals(
     return out.drop("_bucket", *[f"_o_{name}" for name in totals])
 
 
+def distinct_in_windows(
+    rows: DataFrame, keys: list[str], value: Column, time: str, widths: dict[str, float | None]
+) -> DataFrame:
+    """Distinct values in several windows that all end at the cutoff.
+
+    A value lies in a window exactly when its latest row does, so one reduction
+    to (keys, value) replaces a separate distinct aggregate per window.
+    """
+    latest = (
+        rows.withColumn("_value", value).filter("_value IS NOT NULL")
+        .groupBy(*keys, "_value").agg(F.max(time).alias("_last"))
+    )
+    aggs = []
+    for name, width in widths.items():
+        inside = F.lit(True) if width is None else F.col("_last") >= minus_seconds("cutoff", width)
+        aggs.append(count_if(inside).alias(name))
+    return latest.groupBy(*keys).agg(*aggs)
+
+
 PARTIAL_LIMIT = 1000
 
 
