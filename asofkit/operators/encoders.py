@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from asofkit.functions.scalars import as_column, days, finite, text
 from asofkit.requests import Requests, visible
-from asofkit.skew import lookup, top_rows
+from asofkit.skew import lookup, numbered, top_rows
 
 KEYS = ["entity", "cutoff"]
 # Word characters as Unicode letters, digits and underscore.
@@ -58,7 +58,7 @@ def column_coverage(frame: DataFrame, columns: list[str]) -> DataFrame:
     stats = frame.select(F.explode(cells).alias("c")).select("c.*").groupBy("column").agg(
         F.avg(F.col("seen").cast("double")).alias("coverage")
     ).withColumn("_one", F.lit(1))
-    return top_rows(stats, ["_one"], [F.col("coverage").desc(), F.col("column")], 1000, "place").drop("_one")
+    return numbered(stats, ["_one"], [F.col("coverage").desc(), F.col("column")]).drop("_one")
 
 
 def category_vocabulary(frame: DataFrame, name: str, most: int = 2048) -> list[str]:

@@ -11,7 +11,7 @@ from asofkit.functions.scalars import (
     as_column, count_if, finite, minus_seconds, ratio, seconds, text, when,
 )
 from asofkit.requests import Requests, by_cutoff, visible
-from asofkit.skew import lookup, percentiles, previous, top_rows
+from asofkit.skew import lookup, numbered, percentiles, previous, top_rows
 
 KEYS = ["entity", "cutoff"]
 
@@ -64,7 +64,7 @@ def rarest_mark(routes: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
         part = binary_columns(frame, columns).withColumn("route", F.lit(name))
         found = part if found is None else found.unionByName(part)
     ranked = found.withColumn("_one", F.lit(1))
-    return top_rows(ranked, ["_one"], [F.col("prevalence"), F.col("route"), F.col("column")], 1000, "place").drop("_one")
+    return numbered(ranked, ["_one"], [F.col("prevalence"), F.col("route"), F.col("column")]).drop("_one")
 
 
 # --- contexts and momentum ---------------------------------------------------

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions.scalars import as_column, count_if, minus_seconds, row_salt
+from asofkit.functions.scalars import as_column, count_if, hash_number, minus_seconds, row_salt
 
 SALTS = 8
 
@@ -250,3 +250,23 @@ def top_rows(rows: DataFrame, keys: list[str], order: list, count: int, rank: st
         rows = rows.drop("_s")
     window = Window.partitionBy(*named).orderBy(*order)
     return rows.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= count)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list, name: str = "place") -> DataFrame:
+    """Row numbers on metadata-sized tables (columns, paths, cutoffs)."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def hashed_places(rows: DataFrame, keys: list[str], identity: list[str], name: str = "place") -> DataFrame:
+    """One-based place of every row in content-hash order within ``keys``.
+
+    Rows are counted by 32-bit hash number, the counts are accumulated in value
+    buckets, and only rows that share a hash number are ordered by a window.
+    """
+    hashed = rows.withColumn("_hash", hash_number(*identity))
+    sizes = hashed.groupBy(*keys, "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    ends = running_totals(sizes, keys, "_hash", {"_end": "_n"})
+    offsets = ends.select(*keys, "_hash", (F.col("_end") - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy(*keys, "_hash").orderBy(*[as_column(i) for i in identity])
+    placed = hashed.withColumn("_k", F.row_number().over(inside)).join(offsets, [*keys, "_hash"])
+    return placed.withColumn(name, F.col("_before") + F.col("_k")).drop("_hash", "_before", "_k")
