@@ -169,14 +169,14 @@ def _(t):
     return io.pending_trials(wanted, done.select("config", "stage", "sample_rows"))
 
 
-@query("S16_record_store", f"""SELECT conv_id, {N('count(*)')} AS turns, {N('max(turn)')} AS last_turn FROM conversations GROUP BY 1""")
+@query("S16_record_store", f"""SELECT role, {N('count(*)')} AS turns, {N('count(DISTINCT conv_id)')} AS conversations, {N('sum(length(text))')} AS characters FROM conversations GROUP BY 1""")
 def _(t):
     folder = _folder(t, "records")
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    records = t.conversations.groupBy("conv_id").agg(turns.alias("turns"))
-    io.write_records(records, folder, "conv_id")
-    back = io.read_records(t.spark, folder, records.schema, "conv_id")
-    return back.select("conv_id", F.size("turns").cast("long").alias("turns"), F.array_max(F.col("turns.turn")).alias("last_turn"))
+    records = t.conversations.withColumn("record", F.concat_ws(":", "conv_id", "turn"))
+    io.write_records(records, folder, "record")
+    back = io.read_records(t.spark, folder, records.schema, "record")
+    return back.groupBy("role").agg(
+        F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.sum(F.length("text")).alias("characters"))
 
 
 @query("S10_bundle_export")
