@@ -44,10 +44,11 @@ class FittedHead:
 
 def _filled(frame: DataFrame, schema: FrameSchema) -> DataFrame:
     """A numeric gap becomes a flag plus zero, so trees and lines can both use it."""
-    out = frame
+    columns = {}
     for c in (*schema.numeric, *schema.datetime):
-        out = out.withColumn(f"{c}__gap", F.col(c).isNull().cast("double")).withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
-    return out
+        columns[f"{c}__gap"] = F.col(c).isNull().cast("double")
+        columns[c] = F.coalesce(F.col(c), F.lit(0.0))
+    return frame.withColumns(columns) if columns else frame
 
 
 def fit_head(frame: DataFrame, target: str, task: str = "classification", estimator=None, keys=KEYS, weight: str | None = None) -> FittedHead:

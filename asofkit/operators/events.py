@@ -49,9 +49,8 @@ def subday(requests: Requests, rows: DataFrame, numbers: list[str]) -> DataFrame
             x = when(inside, finite(c))
             aggs += [F.count(x).alias(f"h{h}_{c}_support"), F.avg(x).alias(f"h{h}_{c}_mean")]
     out = _reduce(requests, rows, aggs)
-    for h in SUBDAY_HOURS[:-1]:
-        out = out.withColumn(f"h{h}_fraction", F.col(f"h{h}_count") / _at_least_one("h24_count"))
-    return out
+    return out.withColumns(
+        {f"h{h}_fraction": F.col(f"h{h}_count") / _at_least_one("h24_count") for h in SUBDAY_HOURS[:-1]})
 
 
 def clock_bands(requests: Requests, rows: DataFrame) -> DataFrame:
@@ -72,11 +71,9 @@ def clock_bands(requests: Requests, rows: DataFrame) -> DataFrame:
             aggs.append(F.sum(F.when(match, n).otherwise(0)).alias(f"h{hours}_b{band}_count"))
             aggs.append(count_if(match & (n > 0)).alias(f"h{hours}_b{band}_active_days"))
     out = _reduce(requests, cells, aggs)
-    for hours in (24, 168):
-        for band in range(4):
-            name = f"h{hours}_b{band}"
-            out = out.withColumn(f"{name}_share", F.col(f"{name}_count") / _at_least_one(f"h{hours}_count"))
-    return out
+    return out.withColumns({
+        f"h{hours}_b{band}_share": F.col(f"h{hours}_b{band}_count") / _at_least_one(f"h{hours}_count")
+        for hours in (24, 168) for band in range(4)})
 
 
 def numeric(requests: Requests, rows: DataFrame, numbers: list[str], windows=NUMERIC_DAYS) -> DataFrame:
@@ -97,11 +94,11 @@ def numeric(requests: Requests, rows: DataFrame, numbers: list[str], windows=NUM
         order = when(x.isNotNull(), F.struct(F.col("ts").alias("at"), (-x).alias("down")))
         newest.append(F.max(order).alias(f"_{c}"))
     out = _reduce(requests, rows, aggs).join(rows.groupBy(*KEYS).agg(*newest), KEYS, "left")
-    for c in numbers:
-        for d in windows:
-            held = F.col(f"_{c}.at") > minus_seconds("cutoff", d * 86_400)
-            out = out.withColumn(f"d{d}_{c}_latest", when(held, -F.col(f"_{c}.down")))
-    return out.drop(*[f"_{c}" for c in numbers])
+    latest = {
+        f"d{d}_{c}_latest": when(F.col(f"_{c}.at") > minus_seconds("cutoff", d * 86_400), -F.col(f"_{c}.down"))
+        for c in numbers for d in windows
+    }
+    return out.withColumns(latest).drop(*[f"_{c}" for c in numbers])
 
 
 def conditional(requests: Requests, rows: DataFrame, categories: dict[str, list], numbers: list[str]) -> DataFrame:
@@ -116,14 +113,13 @@ def conditional(requests: Requests, rows: DataFrame, categories: dict[str, list]
                     x = when(match, finite(n))
                     aggs += [F.count(x).alias(f"{c}_v{i}_{n}_support"), F.sum(x).alias(f"{c}_v{i}_{n}_sum")]
     out = _reduce(requests, rows, aggs)
+    derived = {}
     for c, values in categories.items():
         for i in range(len(values)):
             name = f"{c}_v{i}"
-            out = out.withColumn(f"{name}_share", F.col(f"{name}_support") / _at_least_one("all_support"))
-            for n in numbers:
-                if n != c:
-                    out = out.withColumn(f"{name}_{n}_mean", ratio(f"{name}_{n}_sum", f"{name}_{n}_support"))
-    return out
+            derived[f"{name}_share"] = F.col(f"{name}_support") / _at_least_one("all_support")
+            derived.update({f"{name}_{n}_mean": ratio(f"{name}_{n}_sum", f"{name}_{n}_support") for n in numbers if n != c})
+    return out.withColumns(derived)
 
 
 def joint_numeric(requests: Requests, rows: DataFrame, pairs: list[tuple[str, str]], windows=JOINT_DAYS) -> DataFrame:

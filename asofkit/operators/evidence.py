@@ -178,39 +178,41 @@ def ordinal_median(probabilities: DataFrame, medians: DataFrame, keys: list[str]
     return first.join(F.broadcast(medians), "bin").select(*keys, "bin", F.col("median").alias("prediction"))
 
 
-def average_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Add tie-averaged ranks, one running total per column."""
+def average_ranks(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Add tie-averaged ranks within ``keys``, one running total per column."""
     out = rows
     for c in columns:
-        cells = rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        placed = running_totals(cells, [], c, {"_end": "_n"})
-        table = placed.select(c, (F.col("_end") - (F.col("_n") - 1) / 2).alias(f"{c}_rank"))
-        out = lookup(out, table, [c])
+        cells = rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
+        placed = running_totals(cells, keys, c, {"_end": "_n"})
+        table = placed.select(*keys, c, (F.col("_end") - (F.col("_n") - 1) / 2).alias(f"{c}_rank"))
+        out = lookup(out, table, [*keys, c])
     return out
 
 
 def exposure_scale(rows: DataFrame, candidates: list[str], target: str) -> DataFrame:
-    """Rank scale columns by coverage, spread and positive rank correlation."""
-    out = None
-    for c in sorted(candidates):
-        seen = rows.filter(finite(c).isNotNull())
-        total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-        marks = percentiles(seen, [], c, {"low": 0.1, "fill": 0.5, "high": 0.9})
-        distinct = seen.select(c).distinct().agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("least"))
-        ranked = average_ranks(seen.select(finite(c).alias("x"), finite(target).alias("t")), ["x", "t"])
-        spread = F.nullif(F.stddev_pop("x_rank") * F.stddev_pop("t_rank"), F.lit(0.0))
-        part = ranked.agg((F.covar_pop("x_rank", "t_rank") / spread).alias("correlation"), F.count(F.lit(1)).alias("seen")).select(
-            F.lit(c).alias("column"), "correlation", ratio("seen", total).alias("coverage"),
-            *[marks.select(m).scalar().alias(m) for m in ("low", "fill", "high")],
-            distinct.select("n").scalar().alias("distinct"), distinct.select("least").scalar().cast("double").alias("least"))
-        out = part if out is None else out.unionByName(part)
+    """Rank scale columns by coverage, spread and positive rank correlation.
+
+    Candidates are melted into (column, x, t) rows, so all of them share one
+    pass for the percentiles and one per rank.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), finite(c).alias("x")) for c in sorted(candidates)])
+    melted = rows.select(finite(target).alias("t"), F.explode(cells).alias("_c")).select("t", "_c.column", "_c.x")
+    seen = melted.filter("x IS NOT NULL")
+    coverage = melted.groupBy("column").agg(ratio(F.count("x"), F.count(F.lit(1))).alias("coverage"))
+    values = seen.groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    shape = values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.min("x").alias("least"))
+    marks = percentiles(values, ["column"], "x", {"low": 0.1, "fill": 0.5, "high": 0.9}, freq="n")
+    spread = F.nullif(F.stddev_pop("x_rank") * F.stddev_pop("t_rank"), F.lit(0.0))
+    ranked = average_ranks(seen, ["column"], ["x", "t"]).groupBy("column").agg(
+        (F.covar_pop("x_rank", "t_rank") / spread).alias("correlation"))
+    out = coverage.join(ranked, "column", "left").join(marks, "column", "left").join(shape, "column", "left")
     fit = (
         (F.col("coverage") >= 0.95) & (F.col("least") >= 0) & (F.col("distinct") >= 16)
         & ((F.col("high") + 1) / (F.col("low") + 1) >= 4) & (F.col("correlation") > 0)
     )
-    ranked = out.withColumn("eligible", F.coalesce(fit, F.lit(False))).withColumn("_one", F.lit(1))
+    out = out.withColumn("eligible", F.coalesce(fit, F.lit(False)))
     order = [F.col("eligible").desc(), F.col("correlation").desc(), F.col("column")]
-    return numbered(ranked, ["_one"], order).drop("_one", "least")
+    return numbered(out, [], order).select("column", "correlation", "coverage", "low", "fill", "high", "distinct", "eligible", "place")
 
 
 def reliability(rows: DataFrame, base: str, extra: str, numbers: list[str], texts: list[str]) -> DataFrame:
@@ -240,11 +242,12 @@ def poisson_one(unit: Column, most: int = 12) -> Column:
     return sum(((unit >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
 
 
-def _paired(evidence: DataFrame, policy: str, seed: int) -> DataFrame:
+def _paired(evidence: DataFrame, policies: list[str], seed: int) -> DataFrame:
+    """Incumbent and challenger predictions on identical rows of one seed."""
     keys = ["origin", "entity"]
     rows = evidence.filter(F.col("seed") == seed)
     a = rows.filter(F.col("policy") == INCUMBENT).select(*keys, "truth", F.col("prediction").alias("control"))
-    b = rows.filter(F.col("policy") == policy).select(*keys, F.col("prediction").alias("candidate"))
+    b = rows.filter(F.col("policy").isin(list(policies))).select(*keys, "policy", F.col("prediction").alias("candidate"))
     return a.join(b, keys)
 
 
@@ -263,30 +266,33 @@ def _weighted_gains(rows: DataFrame, keys: list[str], task: str) -> DataFrame:
     return area.groupBy(*keys).agg(F.when(F.count("auc") == 2, F.sum(sign)).alias("gain"))
 
 
-def gain_lower_bound(evidence: DataFrame, policy: str, repeats: int, alpha: float, task: str = "classification", seed: int = 0):
+def gain_lower_bounds(
+    evidence: DataFrame, policies: list[str], repeats: int, alpha: float, task: str = "classification", seed: int = 0
+) -> DataFrame:
     """Lower quantile of the recent-weighted paired gain under entity resampling.
 
     One Poisson(1) multiplier per entity is shared by all origins, so repeated
     entities stay dependent.  A repeat counts only when every origin is scored.
+    All challengers are resampled in one pass.
     """
-    rows = _paired(evidence, policy, seed)
+    rows = _paired(evidence, policies, seed)
     draws = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     draws = draws.withColumn("_w", poisson_one(hash_unit("entity", "repeat"))).filter("_w > 0")
-    gains = _weighted_gains(draws, ["repeat", "origin"], task)
-    stats = rows.groupBy("origin").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("origin").alias("last"), F.count(F.lit(1)).alias("n"))
-    n = stats.select("n").scalar()
-    older = 0.5 / F.greatest(F.lit(1), n - 1)
-    weight = F.when(F.col("origin") == stats.select("last").scalar(), 0.5).otherwise(older)
-    per_repeat = gains.groupBy("repeat").agg(
-        F.sum(weight * F.col("gain")).alias("g"), F.count("gain").alias("scored")).filter(F.col("scored") == n)
-    return per_repeat.agg(F.percentile("g", F.lit(alpha)).alias("lower_bound"), F.count(F.lit(1)).alias("repeats")).select(
-        F.lit(policy).alias("policy"), "lower_bound", "repeats")
+    gains = _weighted_gains(draws, ["policy", "repeat", "origin"], task)
+    origins = evidence.filter(F.col("policy") == INCUMBENT).groupBy("origin").agg(F.count(F.lit(1)).alias("_rows"))
+    plan = origins.agg(F.struct(F.max("origin").alias("last"), F.count(F.lit(1)).alias("n")).alias("p")).scalar()
+    gains = gains.withColumn("_plan", plan)
+    older = 0.5 / F.greatest(F.lit(1), F.col("_plan.n") - 1)
+    weight = F.when(F.col("origin") == F.col("_plan.last"), 0.5).otherwise(older)
+    per_repeat = gains.groupBy("policy", "repeat").agg(
+        F.sum(weight * F.col("gain")).alias("g"), F.count("gain").alias("scored"), F.max("_plan.n").alias("n")).filter("scored = n")
+    return per_repeat.groupBy("policy").agg(F.percentile("g", F.lit(alpha)).alias("lower_bound"), F.count(F.lit(1)).alias("repeats"))
 
 
 def recent_resample(evidence: DataFrame, policy: str, repeats: int, alpha: float, task: str = "classification", seed: int = 0):
     """The newest origin only, entities drawn with replacement."""
     last = evidence.agg(F.max("origin").alias("m")).scalar()
-    rows = _paired(evidence, policy, seed).filter(F.col("origin") == last)
+    rows = _paired(evidence, [policy], seed).filter(F.col("origin") == last)
     entities = hashed_places(rows.select("entity").distinct(), [], ["entity"], "place").withColumn("place", F.col("place") - 1)
     n = entities.agg(F.count(F.lit(1)).alias("n")).scalar()
     drawn = entities.select(F.col("place").alias("draw")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -311,28 +317,29 @@ def paired_scores(evidence: DataFrame, task: str = "classification") -> DataFram
 
 def admission(scores: DataFrame, bounds: DataFrame, least_origins: int = 2, least_seeds: int = 2, seed: int = 0) -> DataFrame:
     """Reason code per challenger, and which one is selected."""
-    control = scores.filter(F.col("policy") == INCUMBENT)
-    frame = control.groupBy("origin").agg(F.count_distinct("seed").alias("_seeds"), F.max((F.col("seed") == seed).cast("int")).alias("_primary"))
-    plan = frame.agg(F.max("origin").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("_seeds").alias("pairs"),
-                     F.min("_seeds").alias("fewest"), F.min("_primary").alias("primary"))
-    last = plan.select("last").scalar()
-    ready = (plan.select("fewest").scalar() >= least_seeds) & (plan.select("primary").scalar() == 1)
-    recent, primary = F.col("origin") == last, F.col("seed") == seed
-    stats = scores.filter((F.col("policy") != INCUMBENT) & F.col("control").isNotNull()).groupBy("policy").agg(
-        F.count("gain").alias("_pairs"), F.max(when(recent & primary, "gain")).alias("recent_gain"),
+    primary = F.col("seed") == seed
+    control = scores.filter(F.col("policy") == INCUMBENT).groupBy("origin").agg(
+        F.count(F.lit(1)).alias("_seeds"), F.max(primary.cast("int")).alias("_primary"))
+    plan = control.agg(F.struct(
+        F.max("origin").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("_seeds").alias("pairs"),
+        F.min("_seeds").alias("fewest"), F.min("_primary").alias("primary")).alias("p")).scalar()
+    rows = scores.filter((F.col("policy") != INCUMBENT) & F.col("control").isNotNull()).withColumn("_plan", plan)
+    recent = F.col("origin") == F.col("_plan.last")
+    out = rows.groupBy("policy").agg(
+        F.first("_plan").alias("_plan"), F.count("gain").alias("_pairs"), F.max(when(recent & primary, "gain")).alias("recent_gain"),
         F.min(when(recent, "gain")).alias("worst_recent_seed"),
-        F.max(F.when(~recent & primary & (F.col("gain") < -F.col("loss_cap")), 1).otherwise(0)).alias("_older"))
-    out = stats.join(bounds.select("policy", "lower_bound"), "policy", "left")
+        F.max(F.when(~recent & primary & (F.col("gain") < -F.col("loss_cap")), 1).otherwise(0)).alias("_older"),
+    ).join(bounds.select("policy", "lower_bound"), "policy", "left")
+    ready = (F.col("_plan.fewest") >= least_seeds) & (F.col("_plan.primary") == 1)
     reason = (
-        F.when(plan.select("n").scalar() < least_origins, "insufficient_temporal_evidence")
-        .when(~ready | (F.col("_pairs") < plan.select("pairs").scalar()), "missing_matched_origin_or_seed")
+        F.when(F.col("_plan.n") < least_origins, "insufficient_temporal_evidence")
+        .when(~ready | (F.col("_pairs") < F.col("_plan.pairs")), "missing_matched_origin_or_seed")
         .when(F.col("recent_gain") <= 0, "no_recent_improvement").when(F.col("worst_recent_seed") <= 0, "recent_gain_not_seed_stable")
         .when(F.col("_older") == 1, "older_origin_regression")
         .when(F.col("lower_bound").isNull() | (F.col("lower_bound") <= 0), "no_confident_temporal_improvement").otherwise("eligible"))
-    out = out.withColumn("reason", reason).withColumn("_one", F.lit(1))
-    first = F.row_number().over(Window.partitionBy("_one").orderBy((F.col("reason") == "eligible").desc(), F.desc("recent_gain"), F.col("policy")))
-    chosen = (first == 1) & (F.col("reason") == "eligible")
-    return out.withColumn("selected", chosen).select("policy", "recent_gain", "worst_recent_seed", "lower_bound", "reason", "selected")
+    eligible = F.col("reason") == "eligible"
+    ranked = numbered(out.withColumn("reason", reason), [], [eligible.desc(), F.desc("recent_gain"), F.col("policy")])
+    return ranked.select("policy", "recent_gain", "worst_recent_seed", "lower_bound", "reason", ((F.col("place") == 1) & eligible).alias("selected"))
 
 
 def vetoes(scores: DataFrame, last_origin, seed: int = 0) -> DataFrame:
@@ -367,20 +374,20 @@ def trial_loss(metric: str, score) -> Column:
 def small_finalist(trials: DataFrame, incumbent: str, metric: str = "roc_auc", cap: float = 0.01) -> DataFrame:
     """The narrowest trial within a relative loss of the newest fold's best, unanimous over seeds.
 
-    ``trials`` holds (config, seed, features, complexity, recent_score).
+    ``trials`` holds (config, seed, features, complexity, recent_score), one row
+    per fitted configuration and seed.
     """
-    loss = trial_loss(metric, "recent_score")
-    rows = trials.withColumn("loss", loss)
-    width = trials.filter(F.col("config") == incumbent).agg(F.min("features").alias("w")).scalar()
-    best = rows.groupBy("seed").agg(F.min("loss").alias("_best"))
-    judged = rows.join(best, "seed").withColumn("_ok", F.col("loss") <= F.col("_best") * (1 + cap) + 1e-12)
+    everything = Window.partitionBy(F.lit(1))
+    rows = trials.withColumn("loss", trial_loss(metric, "recent_score")).withColumns({
+        "_best": F.min("loss").over(Window.partitionBy("seed")),
+        "_width": F.min(when(F.col("config") == incumbent, "features")).over(everything)})
+    judged = rows.withColumn("_ok", F.col("loss") <= F.col("_best") * (1 + cap) + 1e-12)
     per_config = judged.groupBy("config").agg(
         F.min("features").alias("features"), F.min("complexity").alias("complexity"), F.min(F.col("_ok").cast("int")).alias("_all"),
-        F.avg("loss").alias("mean_loss"))
-    eligible = (F.col("config") != incumbent) & (F.col("features") < width) & (F.col("_all") == 1)
-    ranked = per_config.withColumn("eligible", eligible).withColumn("_one", F.lit(1))
-    place = F.row_number().over(Window.partitionBy("_one").orderBy(F.desc("eligible"), "features", "complexity", "config"))
-    return ranked.withColumn("chosen", (place == 1) & F.col("eligible")).select("config", "features", "complexity", "mean_loss", "eligible", "chosen")
+        F.avg("loss").alias("mean_loss"), F.first("_width").alias("_width"))
+    eligible = (F.col("config") != incumbent) & (F.col("features") < F.col("_width")) & (F.col("_all") == 1)
+    ranked = numbered(per_config.withColumn("eligible", eligible), [], [F.desc("eligible"), "features", "complexity", "config"])
+    return ranked.select("config", "features", "complexity", "mean_loss", "eligible", ((F.col("place") == 1) & F.col("eligible")).alias("chosen"))
 
 
 def confidence_frontier(trials: DataFrame, margin: float = 0.01, multiplier: float = 1.0, top: int | None = None) -> DataFrame:
@@ -389,12 +396,12 @@ def confidence_frontier(trials: DataFrame, margin: float = 0.01, multiplier: flo
     ``trials`` holds (config, objective, error, features, complexity).
     """
     order = [F.desc("objective"), F.col("features"), F.col("complexity"), F.col("config")]
-    once = top_rows(trials, ["config"], order, 1).drop("_rank").withColumn("_one", F.lit(1))
-    leader = top_rows(once, ["_one"], order, 1)
-    best, best_error = leader.select("objective").scalar(), leader.select("error").scalar()
-    allowed = F.greatest(F.lit(margin), multiplier * F.sqrt(best_error * best_error + F.col("error") * F.col("error")))
-    kept = once.filter(best - F.col("objective") <= allowed)
-    ranked = kept.withColumn("place", F.row_number().over(Window.partitionBy("_one").orderBy(*order)))
+    once = top_rows(trials, ["config"], order, 1).drop("_rank")
+    lead = Window.partitionBy(F.lit(1)).orderBy(*order)
+    rows = once.withColumn("_lead", F.first(F.struct("objective", "error")).over(lead))
+    allowed = F.greatest(F.lit(margin), multiplier * F.sqrt(F.pow("_lead.error", F.lit(2)) + F.pow("error", F.lit(2))))
+    kept = rows.filter(F.col("_lead.objective") - F.col("objective") <= allowed)
+    ranked = numbered(kept, [], order)
     return (ranked if top is None else ranked.filter(F.col("place") <= top)).select("config", "objective", "error", "features", "complexity", "place")
 
 
@@ -427,30 +434,33 @@ def rerank_choice(trials: DataFrame, folds: DataFrame, gain: float = 0.002, veto
     recent_error, features, complexity); ``folds`` holds (config, fold, score).
     """
     order = [F.desc("objective"), F.col("features"), F.col("complexity"), F.col("config")]
-    recent_order = [F.desc("recent_score"), F.col("features"), F.col("complexity"), F.col("config")]
-    rows = trials.withColumn("_one", F.lit(1))
-    walk = top_rows(rows, ["_one"], order, 1)
-    lead = top_rows(rows, ["_one"], recent_order, 1)
-    lead_score, lead_error = lead.select("recent_score").scalar(), lead.select("recent_error").scalar()
-    needed = F.greatest(F.lit(max(gain, veto)), multiplier * F.sqrt(lead_error * lead_error + F.col("recent_error") * F.col("recent_error")))
-    rows = rows.withColumn("recent_safe", ~(lead_score - F.col("recent_score") > needed))
-    safe = top_rows(rows.filter("recent_safe"), ["_one"], order, 1)
-    name = safe.select("config").scalar()
-    base = folds.filter(F.col("config") == name).select("fold", F.col("score").alias("_base"))
-    losses = folds.join(F.broadcast(base), "fold").groupBy("config").agg(
-        (F.stddev_pop(F.col("_base") - F.col("score")) / F.sqrt(F.count(F.lit(1)))).alias("paired_error"))
-    rows = rows.join(losses, "config", "left")
-    loss = safe.select("score").scalar() - F.col("score")
-    tolerance = F.least(F.greatest(F.lit(gain), multiplier * F.col("paired_error")), F.lit(cap))
-    tie = F.col("recent_safe") & (loss <= tolerance + 1e-12) & (F.col("features") * growth <= safe.select("features").scalar())
+    everything = Window.partitionBy(F.lit(1))
+    fold_scores = folds.groupBy("config").agg(F.map_from_entries(F.collect_list(F.struct("fold", "score"))).alias("_folds"))
+    rows = trials.join(fold_scores, "config", "left").withColumns({
+        "_walk": F.first("config").over(everything.orderBy(*order)),
+        "_lead": F.first(F.struct("recent_score", "recent_error")).over(everything.orderBy(F.desc("recent_score"), *order[1:]))})
+    needed = F.greatest(F.lit(max(gain, veto)), multiplier * F.sqrt(F.pow("_lead.recent_error", F.lit(2)) + F.pow("recent_error", F.lit(2))))
+    rows = rows.withColumn("recent_safe", ~(F.col("_lead.recent_score") - F.col("recent_score") > needed))
+    safe = everything.orderBy(F.desc("recent_safe"), *order)
+    rows = rows.withColumn("_safe", F.first(F.struct("config", "score", "features", "_folds")).over(safe))
+    gaps = F.transform(
+        F.filter(F.map_entries("_folds"), lambda e: F.col("_safe._folds")[e["key"]].isNotNull()),
+        lambda e: F.col("_safe._folds")[e["key"]] - e["value"])
+    n = F.size(gaps).cast("double")
+    mean = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / n
+    square = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x * x) / n
+    paired = F.when(n >= 2, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))) / F.sqrt(n))
+    tolerance = F.least(F.greatest(F.lit(gain), multiplier * paired), F.lit(cap))
+    tie = (
+        F.col("recent_safe") & (F.col("_safe.score") - F.col("score") <= tolerance + 1e-12)
+        & (F.col("features") * growth <= F.col("_safe.features")))
     rows = rows.withColumn("practical_tie", F.coalesce(tie, F.lit(False)))
-    small = Window.partitionBy("_one").orderBy(F.desc("practical_tie"), "features", "complexity", F.desc("objective"), "config")
-    first = (F.row_number().over(small) == 1) & F.col("practical_tie")
-    any_tie = F.max(F.col("practical_tie").cast("int")).over(Window.partitionBy("_one")) == 1
-    return rows.select(
-        "config", (F.col("config") == walk.select("config").scalar()).alias("walk_forward_best"), "recent_safe",
-        (F.col("config") == name).alias("recent_safe_best"), "practical_tie",
-        F.when(any_tie, first).otherwise(F.col("config") == name).alias("recommended"))
+    ranked = numbered(rows, [], [F.desc("practical_tie"), F.col("features"), F.col("complexity"), F.desc("objective"), F.col("config")])
+    any_tie = F.max(F.col("practical_tie").cast("int")).over(everything) == 1
+    best = F.col("config") == F.col("_safe.config")
+    return ranked.select(
+        "config", (F.col("config") == F.col("_walk")).alias("walk_forward_best"), "recent_safe", best.alias("recent_safe_best"), "practical_tie",
+        F.when(any_tie, (F.col("place") == 1) & F.col("practical_tie")).otherwise(best).alias("recommended"))
 
 
 # --- episodes ------------------------------------------------------------------------------

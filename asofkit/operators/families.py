@@ -173,9 +173,8 @@ def peer_deviation(rows: DataFrame, group: str, names: list[str], cutoff=("cutof
         F.count(F.lit(1)).alias("group_size"), *[F.avg(finite(c)).alias(f"_mean_{c}") for c in names]
     )
     out = lookup(rows, stats, [group, *cutoff])
-    for c in names:
-        out = out.withColumn(f"{c}_deviation", finite(c) - F.col(f"_mean_{c}")).drop(f"_mean_{c}")
-    return out
+    out = out.withColumns({f"{c}_deviation": finite(c) - F.col(f"_mean_{c}") for c in names})
+    return out.drop(*[f"_mean_{c}" for c in names])
 
 
 def semantic(rows: DataFrame, expressions: dict[str, str]) -> DataFrame:

@@ -29,9 +29,7 @@ def dimension(
     out = lookup(rows, table.select(*picked, clock), [fk])
     cutoff = F.col("cutoff")
     seen = F.col("_dim_time") <= cutoff if inclusive else F.col("_dim_time") < cutoff
-    for c in columns:
-        out = out.withColumn(c, F.when(seen, F.col(c)))
-    return out.drop("_dim_time")
+    return out.withColumns({c: F.when(seen, F.col(c)) for c in columns}).drop("_dim_time")
 
 
 def path_facts(hops: list[dict]) -> DataFrame:
@@ -124,9 +122,7 @@ def without_own(
     )
     whole = own.groupBy(*scope, *group).agg(*[F.sum(f"own_{n}").alias(f"all_{n}") for n in totals])
     joined = lookup(own, whole, [*scope, *group])
-    for n in totals:
-        joined = joined.withColumn(f"others_{n}", F.col(f"all_{n}") - F.col(f"own_{n}"))
-    return joined
+    return joined.withColumns({f"others_{n}": F.col(f"all_{n}") - F.col(f"own_{n}") for n in totals})
 
 
 def available_roots(examples: DataFrame, roots: DataFrame, key: str, root_key: str, time: str, root_time: str):

@@ -83,12 +83,12 @@ def value_counts(frame: DataFrame, columns: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.first("number").alias("number"), F.first("length").alias("length"))
 
 
-def _column_stats(counts: DataFrame) -> DataFrame:
+def _column_stats(counts: DataFrame, scope: list[str] = ()) -> DataFrame:
     """Coverage, cardinality and normalised entropy per column from frequencies."""
     seen = when(~F.col("missing"), "n")
     valued = when(F.col("digest").isNotNull(), "n")
     weight = F.col("n").cast("double")
-    stats = counts.groupBy("position", "column").agg(
+    stats = counts.groupBy(*scope, "position", "column").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(seen), F.lit(0)).alias("non_null"),
         F.count("digest").alias("cardinality"), F.coalesce(F.sum(valued), F.lit(0)).alias("_valued"),
         F.sum(when(F.col("digest").isNotNull(), weight * F.log(weight))).alias("_nlogn"),
@@ -110,10 +110,7 @@ def _column_stats(counts: DataFrame) -> DataFrame:
 
 def column_audit(catalog: Catalog, names: list[str], budget: int | None = 4) -> DataFrame:
     """Utility audit of every column with ranks per table and feature family."""
-    audit = None
-    for name in names:
-        part = _table_audit(catalog[name]).withColumn("table", F.lit(name))
-        audit = part if audit is None else audit.unionByName(part)
+    audit = _audit_rows([catalog[n] for n in names])
     order = [F.col("structural").desc(), F.col("utility").desc(), F.col("position"), F.col("column")]
     audit = numbered(audit, ["table"], order, "utility_rank")
     families = F.create_map(*[x for r, fs in ROLE_FAMILIES.items() for x in (F.lit(r), F.array(*[F.lit(f) for f in fs]))])
@@ -134,17 +131,24 @@ def column_audit(catalog: Catalog, names: list[str], budget: int | None = 4) ->
     )
 
 
-def _table_audit(table: Table) -> DataFrame:
-    columns = table.frame.columns
-    counts = value_counts(table.frame, columns)
-    stats = _column_stats(counts)
-    kinds = {f.name: physical_type(f.dataType) for f in table.frame.schema.fields}
-    roles = {c: name_role(c, kinds[c], c in table.structural) for c in columns}
-    known = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(roles[c]).cast("string"))])
+def _audit_rows(tables: list[Table]) -> DataFrame:
+    """Statistics of all columns of all tables in one pass over their frequencies."""
+    counts, known = None, []
+    for table in tables:
+        columns = table.frame.columns
+        part = value_counts(table.frame, columns).withColumn("table", F.lit(table.name))
+        counts = part if counts is None else counts.unionByName(part)
+        kinds = {f.name: physical_type(f.dataType) for f in table.frame.schema.fields}
+        for c in columns:
+            role = name_role(c, kinds[c], c in table.structural)
+            known += [F.lit(f"{table.name}.{c}"), F.lit(role).cast("string")]
+    stats = _column_stats(counts, ["table"])
     by_length = F.when(F.col("mean_length") >= 40, "text").otherwise("categorical")
-    stats = stats.withColumn("role", F.coalesce(known[F.col("column")], by_length))
-    marks = percentiles(counts.filter("number IS NOT NULL"), ["column"], "number", {"q10": 0.1, "q50": 0.5, "q90": 0.9}, freq="n")
-    stats = stats.join(marks, "column", "left")
+    declared = F.create_map(*known)[F.concat_ws(".", "table", "column")]
+    stats = stats.withColumn("role", F.coalesce(declared, by_length))
+    keys = ["table", "column"]
+    marks = percentiles(counts.filter("number IS NOT NULL"), keys, "number", {"q10": 0.1, "q50": 0.5, "q90": 0.9}, freq="n")
+    stats = stats.join(marks, keys, "left")
     reach = F.abs(F.col("q90") - F.col("q10"))
     numeric = F.when(F.col("non_null") > 1, F.coalesce(reach / (F.abs("q50") + reach + 1e-12), F.lit(0.0))).otherwise(0.0)
     words = F.least(F.lit(1.0), F.col("length_std") / F.greatest(F.lit(1.0), F.col("mean_length")))
@@ -157,7 +161,7 @@ def _table_audit(table: Table) -> DataFrame:
     structural = F.col("role") == "structural"
     return stats.withColumn("spread", spread).withColumn("structural", structural).withColumn(
         "utility", F.when(structural, float("inf")).otherwise(utility)
-    ).select("position", "column", "role", "structural", "non_null_fraction", "cardinality", "unique_fraction", "entropy", "spread", "utility")
+    ).select("table", "position", "column", "role", "structural", "non_null_fraction", "cardinality", "unique_fraction", "entropy", "spread", "utility")
 
 
 def available_families(catalog: Catalog, audit: DataFrame, names: list[str]) -> DataFrame:
@@ -251,21 +255,29 @@ def relationship_profile(parent: DataFrame, child: DataFrame, key: str, fk: str)
         ratio(F.coalesce(F.sum(when(known & F.col("m").isNull(), "n")), F.lit(0)), F.sum(when(known, "n"))).alias("orphan_fraction"),
         F.avg(when(known, "n")).alias("avg_fanout"), F.max(when(known, "n")).alias("max_fanout"),
     )
+    # Distinct fan-outs are few: their sum cannot exceed the child's rows.
     spread = fan.filter("k IS NOT NULL").groupBy("n").agg(F.count(F.lit(1)).alias("keys"))
-    marks = percentiles(spread, [], "n", {"median_fanout": 0.5, "p90_fanout": 0.9}, freq="keys")
-    unique_parent = owners.agg((F.max("m") <= 1).alias("u"))
+    marks = percentiles(spread, [], "n", {"median_fanout": 0.5, "p90_fanout": 0.9}, freq="keys", limit=None)
+    marks = marks.select(F.struct("median_fanout", "p90_fanout").alias("m")).scalar()
+    parent_unique = owners.agg((F.max("m") <= 1).alias("u")).scalar()
+    main = main.withColumns({"_marks": marks, "_unique": parent_unique})
     child_unique = F.col("max_fanout") <= 1
-    parent_unique = unique_parent.scalar()
     kind = (
-        F.when(parent_unique & child_unique, "one_to_one").when(parent_unique, "one_to_many")
+        F.when(F.col("_unique") & child_unique, "one_to_one").when(F.col("_unique"), "one_to_many")
         .when(child_unique, "many_to_one").otherwise("many_to_many")
     )
     return main.select(
-        kind.alias("cardinality"), "*", marks.select("median_fanout").scalar().alias("median_fanout"),
-        marks.select("p90_fanout").scalar().alias("p90_fanout"),
+        kind.alias("cardinality"), "foreign_key_coverage", "orphan_fraction", "avg_fanout", "max_fanout",
+        F.col("_marks.median_fanout").alias("median_fanout"), F.col("_marks.p90_fanout").alias("p90_fanout"),
     )
 
 
+def mean_fanout(child: DataFrame, fk: str) -> DataFrame:
+    """Average rows per referenced key, the only relationship figure a schema row needs."""
+    return child.filter(column(fk).isNotNull()).groupBy(column(fk).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.avg("n").alias("avg_fanout"))
+
+
 def event_frequency_profile(child: DataFrame, fk: str, time: str, slice_days: float = 1.0) -> DataFrame:
     """Per-key counts and durations and the gaps between events."""
     rows = child.select(column(fk).alias("k"), column(time).alias("ts")).filter("k IS NOT NULL AND ts IS NOT NULL")
@@ -280,14 +292,16 @@ def event_frequency_profile(child: DataFrame, fk: str, time: str, slice_days: fl
     gaps = gaps.groupBy("gap").agg(F.sum("w").alias("w"))
     marks = percentiles(gaps, [], "gap", {"p10_gap": 0.1, "median_gap": 0.5, "p90_gap": 0.9}, freq="w")
     keyed = percentiles(per_key, [], "span", {"m": 0.5})
-    counted = percentiles(per_key.groupBy("n").agg(F.count(F.lit(1)).alias("w")), [], "n", {"m": 0.5}, freq="w")
+    sizes = per_key.groupBy("n").agg(F.count(F.lit(1)).alias("w"))
+    counted = percentiles(sizes, [], "n", {"m": 0.5}, freq="w", limit=None)
     mean_gap = gaps.agg(ratio(F.sum(F.col("gap") * F.col("w")), F.sum("w")).alias("m"))
-    return per_key.agg(
+    out = per_key.agg(
         F.count(F.lit(1)).alias("keys"), F.avg("span").alias("avg_duration"), F.avg("n").alias("avg_events"),
-    ).select(
-        "*", keyed.scalar().alias("median_duration"), counted.scalar().alias("median_events"), mean_gap.scalar().alias("avg_gap"),
-        *[marks.select(c).scalar().alias(c) for c in ("p10_gap", "median_gap", "p90_gap")],
-    )
+    ).withColumns({
+        "median_duration": keyed.scalar(), "median_events": counted.scalar(), "avg_gap": mean_gap.scalar(),
+        "_m": marks.select(F.struct("p10_gap", "median_gap", "p90_gap").alias("m")).scalar(),
+    })
+    return out.select("*", "_m.*").drop("_m")
 
 
 def label_profile(labels: DataFrame, target: str = "y", time: str = "ts", task: str = "classification") -> DataFrame:
@@ -326,7 +340,8 @@ def table_profiles(catalog: Catalog, cutoff) -> DataFrame:
 def schema_features(catalog: Catalog, tables: DataFrame, relations: DataFrame) -> DataFrame:
     """One flat row that summarises the whole schema."""
     edges = [(name, parent) for name, t in catalog.tables.items() for _, parent in t.foreign_keys]
-    fan = relations.agg(F.avg("avg_fanout").alias("fanout_mean"), F.max("avg_fanout").alias("fanout_max"), F.min("avg_fanout").alias("fanout_min"))
+    fan = relations.agg(F.struct(
+        F.avg("avg_fanout").alias("fanout_mean"), F.max("avg_fanout").alias("fanout_max"), F.min("avg_fanout").alias("fanout_min")).alias("f"))
     return tables.agg(
         F.count(F.lit(1)).alias("table_count"), F.log1p(F.sum("rows")).alias("total_rows_log1p"),
         F.log1p(F.max("rows")).alias("max_rows_log1p"), F.sum("columns").alias("column_count"),
@@ -335,8 +350,8 @@ def schema_features(catalog: Catalog, tables: DataFrame, relations: DataFrame) -
     ).select(
         "*", F.lit(len(edges)).cast("long").alias("relationship_count"),
         F.lit(sum(a == b for a, b in edges)).cast("long").alias("self_relationship_count"),
-        *[fan.select(c).scalar().alias(c) for c in ("fanout_mean", "fanout_max", "fanout_min")],
-    )
+        fan.scalar().alias("_f"),
+    ).select("*", "_f.*").drop("_f")
 
 
 def equality_predicates(tables: dict, cutoff, limit: int = 4, most_values: int = 16) -> DataFrame:

@@ -278,12 +278,12 @@ def attribute_priors(
     for w, i in enumerate(insides):
         aggs += [F.count(when(i, y)).alias(f"n{w}"), F.coalesce(F.sum(when(i, y)), F.lit(0.0)).alias(f"p{w}")]
     own = rows.groupBy(*KEYS).agg(*aggs).join(roots.select("entity", *attributes), "entity")
+    derived = {}
     for w in range(3):
-        own = (
-            own.withColumn(f"r{w}", F.when(F.col(f"n{w}") > 0, 1).cast("long"))
-            .withColumn(f"s{w}", ratio(f"p{w}", f"n{w}"))
-            .withColumn(f"q{w}", F.when(F.col(f"p{w}") > 0, 1).cast("long"))
-        )
+        derived[f"r{w}"] = F.when(F.col(f"n{w}") > 0, 1).cast("long")
+        derived[f"s{w}"] = ratio(f"p{w}", f"n{w}")
+        derived[f"q{w}"] = F.when(F.col(f"p{w}") > 0, 1).cast("long")
+    own = own.withColumns(derived)
     parts = [f"{k}{w}" for w in range(3) for k in "rnpsq"]
     totals = own.groupBy("cutoff").agg(*[F.sum(c).alias(f"t_{c}") for c in parts])
     asked = requests.frame.join(roots.select("entity", *attributes), "entity", "left")

@@ -73,11 +73,9 @@ class Requests:
     def align(self, block: DataFrame, zero=(), defaults=None) -> DataFrame:
         """One output row per request; counts are zero-filled, means stay null."""
         out = self.frame.join(block, ["entity", "cutoff"], "left")
-        fill = {c: 0 for c in zero}
-        fill.update(defaults or {})
-        for name, value in fill.items():
-            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
-        return out
+        fill = {**{c: 0 for c in zero}, **(defaults or {})}
+        columns = [F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in out.columns]
+        return out.select(*columns) if fill else out
 
 
 def within(

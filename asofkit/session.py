@@ -14,6 +14,8 @@ LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "12g",
+    # Call-site capture costs a stack walk for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -58,14 +58,12 @@ def previous(
         heads, [*keys, "_slice"], "left"
     )
     prior = F.coalesce(F.col("_inside"), F.col("_carried"))
-    for name in carry:
-        joined = joined.withColumn(name, prior[name])
-    return joined.drop("_inside", "_carried", "_slice")
+    return joined.withColumns({name: prior[name] for name in carry}).drop("_inside", "_carried", "_slice")
 
 
 def _log_bucket(value: Column) -> Column:
-    """Monotone bucket number with about three percent of relative width."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * 32)).cast("int")
+    """Monotone bucket number, 16384 buckets to each factor of e."""
+    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * 16384)).cast("long")
 
 
 def percentiles(
@@ -74,14 +72,15 @@ def percentiles(
     value: str,
     probabilities: dict[str, float],
     freq: str | None = None,
-    limit: int = 200_000,
+    limit: int | None = 200_000,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key.
 
     Values are counted first (a map-side combine), so repeated values cost one
     row.  Keys with at most ``limit`` distinct values use the built-in
     aggregate; larger ones are narrowed to the buckets that hold the wanted
-    ranks and never meet in one task.
+    ranks and never meet in one task.  ``limit=None`` states that the distinct
+    values are bounded by their nature (whole days, fan-outs, flags).
     """
     if not keys:
         out = percentiles(rows.withColumn("_all", F.lit(0)), ["_all"], value, probabilities, freq, limit)
@@ -92,29 +91,28 @@ def percentiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(weight.cast("long").alias("_n"))
     )
-    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
-    large = sizes.filter(F.col("_distinct") > limit).select(*keys)
     names = list(probabilities)
     wanted = F.array(*[F.lit(float(probabilities[n])) for n in names])
-    small = (
-        counted.join(large, keys, "left_anti")
-        .groupBy(*keys)
-        .agg(F.percentile("_v", wanted, F.col("_n")).alias("_p"))
-        .select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    )
+
+    def small(part):
+        done = part.groupBy(*keys).agg(F.percentile("_v", wanted, F.col("_n")).alias("_p"))
+        return done.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
+
+    if limit is None:
+        return small(counted)
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
+    large = sizes.filter(F.col("_distinct") > limit).select(*keys)
     hot = _large_percentiles(counted.join(large, keys, "left_semi"), keys, probabilities)
-    return small.unionByName(hot)
+    return small(counted.join(large, keys, "left_anti")).unionByName(hot)
 
 
-def _large_percentiles(counted, keys, probabilities):
+def _large_percentiles(counted: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Find the bucket of each wanted rank, then order only those buckets."""
     names = list(probabilities)
     running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     counted = counted.withColumn("_b", _log_bucket(F.col("_v")))
-    coarse = (
-        counted.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("_end", F.sum("_m").over(running))
-        .withColumn("_total", F.sum("_m").over(Window.partitionBy(*keys)))
+    coarse = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m")).withColumns(
+        {"_end": F.sum("_m").over(running), "_total": F.sum("_m").over(Window.partitionBy(*keys))}
     )
     position = [(F.col("_total") - 1) * F.lit(float(probabilities[n])) for n in names]
     ranks = F.array(
@@ -128,43 +126,21 @@ def _large_percentiles(counted, keys, probabilities):
             for side in (0, 1)
         ]
     )
-    first = coarse.withColumn("_want", F.explode(ranks)).filter(
-        (F.col("_want.rank") < F.col("_end")) & (F.col("_want.rank") >= F.col("_end") - F.col("_m"))
-    )
-    first = first.select(
-        *keys, "_b", "_lo", "_hi", F.col("_want.slot").alias("_slot"), F.col("_want.part").alias("_part"),
-        (F.col("_want.rank") - F.col("_end") + F.col("_m")).alias("_rank"),
-    )
-    bounds = first.select(*keys, "_b", "_lo", "_hi").distinct()
-    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    fine = lookup(counted, bounds, [*keys, "_b"], "inner").withColumn(
-        "_f", F.coalesce(F.least(F.lit(4095), F.floor(share * 4096)), F.lit(0)).cast("int")
-    )
-    by_fine = Window.partitionBy(*keys, "_b").orderBy("_f").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
-        fine.groupBy(*keys, "_b", "_f")
-        .agg(F.sum("_n").alias("_m"))
-        .withColumn("_end", F.sum("_m").over(by_fine))
-    )
-    second = (
-        cells.join(first.drop("_lo", "_hi"), [*keys, "_b"])
-        .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_m")))
-        .withColumn("_rank", F.col("_rank") - F.col("_end") + F.col("_m"))
-        .select(*keys, "_b", "_f", "_slot", "_part", "_rank")
-    )
-    by_value = Window.partitionBy(*keys, "_b", "_f").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = second.select(*keys, "_b", "_f").distinct()
-    values = lookup(fine, chosen, [*keys, "_b", "_f"], "inner").withColumn("_end", F.sum("_n").over(by_value))
-    hits = values.join(second, [*keys, "_b", "_f"]).filter(
-        (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n"))
+    start = F.col("_end") - F.col("_m")
+    inside = F.filter(ranks, lambda r: (r["rank"] < F.col("_end")) & (r["rank"] >= start))
+    targets = coarse.withColumn("_want", inside).filter(F.size("_want") > 0).select(*keys, "_b", "_want", start.alias("_start"))
+    by_value = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counted.join(targets, [*keys, "_b"]).withColumn("_end", F.col("_start") + F.sum("_n").over(by_value))
+    hits = rows.withColumn("_hit", F.explode("_want")).filter(
+        (F.col("_hit.rank") < F.col("_end")) & (F.col("_hit.rank") >= F.col("_end") - F.col("_n"))
     )
 
     def at(slot):
-        return F.max(F.when(F.col("_slot") == slot, F.col("_v")))
+        return F.max(F.when(F.col("_hit.slot") == slot, F.col("_v")))
 
     columns = []
     for i, name in enumerate(names):
-        part = F.max(F.when(F.col("_slot") == 2 * i, F.col("_part")))
+        part = F.max(F.when(F.col("_hit.slot") == 2 * i, F.col("_hit.part")))
         columns.append((at(2 * i) + part * (at(2 * i + 1) - at(2 * i))).alias(name))
     return hits.groupBy(*keys).agg(*columns)
 
@@ -199,14 +175,10 @@ def running_totals(
     offsets = spread.groupBy(*keys, "_bucket").agg(
         *[F.sum(source).alias(f"_o_{name}") for name, source in totals.items()]
     )
-    for name in totals:
-        offsets = offsets.withColumn(f"_o_{name}", F.sum(f"_o_{name}").over(across))
-    out = spread
-    for name, source in totals.items():
-        out = out.withColumn(name, F.sum(source).over(inside))
+    offsets = offsets.withColumns({f"_o_{name}": F.sum(f"_o_{name}").over(across) for name in totals})
+    out = spread.withColumns({name: F.sum(source).over(inside) for name, source in totals.items()})
     out = out.join(offsets, [*keys, "_bucket"], "left")
-    for name in totals:
-        out = out.withColumn(name, F.col(name) + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
+    out = out.withColumns({name: F.col(name) + F.coalesce(F.col(f"_o_{name}"), F.lit(0)) for name in totals})
     return out.drop("_bucket", *[f"_o_{name}" for name in totals])
 
 

@@ -213,8 +213,7 @@ def _bound_sql(tag, policy, alpha):
 
 @query("V15_gain_lower_bound", f"""WITH {EV}, {', '.join(_bound_sql('b' + p[0], p, 0.05) for p in ('alpha', 'beta'))} SELECT policy, {R('lower_bound', 6)} AS lower_bound, {N('repeats')} AS repeats FROM (SELECT * FROM ba UNION ALL SELECT * FROM bb)""")
 def _(t):
-    rows = evidence(t)
-    return rounded(ev.gain_lower_bound(rows, "alpha", _REPEATS, 0.05).unionByName(ev.gain_lower_bound(rows, "beta", _REPEATS, 0.05)), places=6)
+    return rounded(ev.gain_lower_bounds(evidence(t), ["alpha", "beta"], _REPEATS, 0.05), places=6)
 
 
 @query("V16_recent_resample", f"""WITH {EV}, p AS (SELECT * FROM {_pair('alpha')} WHERE origin=(SELECT max(origin) FROM ev)), e AS (SELECT entity, row_number() OVER (ORDER BY CAST('0x'||substr(md5(CAST(entity AS VARCHAR)),1,8) AS BIGINT), entity)-1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM p)),
@@ -234,10 +233,7 @@ _PS = f"{SC}, ps AS (SELECT a.*, a.auc-c.auc AS gain, 0.005 AS cap FROM au a JOI
   SELECT policy, {R('rg', 6)} AS recent_gain, {R('ws', 6)} AS worst_recent_seed, {R('lower_bound', 6)} AS lower_bound, reason, (reason='eligible' AND row_number() OVER (ORDER BY (reason='eligible') DESC, rg DESC, policy)=1) AS selected FROM de""")
 def _(t):
     rows = evidence(t)
-    bounds = None
-    for p in ("alpha", "beta", "gamma"):
-        x = ev.gain_lower_bound(rows, p, _REPEATS, 0.05 / 3)
-        bounds = x if bounds is None else bounds.unionByName(x)
+    bounds = ev.gain_lower_bounds(rows, ["alpha", "beta", "gamma"], _REPEATS, 0.05 / 3)
     return rounded(ev.admission(ev.paired_scores(rows), bounds), places=6)
 
 

@@ -18,6 +18,7 @@ from suite.core import K, LINE_VIS, example_rows, order_lines
 from suite.evidence import KEYS, evidence
 from suite.families import _SAMPLE, HISTORY, label_history
 from suite.model import catalog
+from suite.sources import _folder
 from suite.registry import EVENT_REQ, N, ORDER_REQ, R, aligned_sql, query, rounded, since_sql
 
 DAY = 86_400
@@ -165,15 +166,17 @@ def _(t):
     from pyspark.ml.classification import LogisticRegression
 
     menu = {"base": ("base",), "base+cdf": ("base", "cdf"), "all": fp.FAMILIES}
-    out = None
+    contract, store = io.contract_hash(fp.blueprint(catalog(t))), _folder(t, "trials")
     for name, families in menu.items():
         estimator = LogisticRegression(featuresCol="features", labelCol="label", maxIter=10, regParam=0.01)
         head = heads.fit_head(_joined(t, ["1997-01-01"], families), "y", estimator=estimator)
         held = _joined(t, ["1997-07-01", "1998-01-01"], families)
         scored = head.predict(held).join(held.select(*K, F.col("y").alias("truth")), K)
-        width = len(head.schema.columns)
-        part = ev.auc_standard_error(ev.roc_auc(scored, ["cutoff"])).withColumn("config", F.lit(name)).withColumn("features", F.lit(width))
-        out = part if out is None else out.unionByName(part)
+        trial = ev.auc_standard_error(ev.roc_auc(scored, ["cutoff"])).withColumns({
+            "config": F.lit(name), "features": F.lit(len(head.schema.columns)), "status": F.lit("completed")})
+        # Each trial is stored as it completes, so a rerun resumes after it.
+        io.save_trials(trial, store, contract)
+    out = t.spark.read.parquet(store).filter(F.col("contract") == contract)
     recent = stamp("1998-01-01")
     trials = out.groupBy("config").agg(
         F.avg("auc").alias("score"), (F.avg("auc") - 0.25 * F.stddev_pop("auc") / F.sqrt(F.count(F.lit(1)))).alias("objective"), F.avg("auc_error").alias("error"),
@@ -186,10 +189,7 @@ def _(t):
 def _(t):
     rows = ev.blends(evidence(t), [0.125, 0.5])
     names = sorted({p for p in ("alpha", "beta", "gamma")} | {f"{p}__blend_{w}" for p in ("alpha", "beta", "gamma") for w in ("0.125", "0.5")})
-    bounds = None
-    for p in names:
-        x = ev.gain_lower_bound(rows, p, 10, 0.05 / len(names))
-        bounds = x if bounds is None else bounds.unionByName(x)
+    bounds = ev.gain_lower_bounds(rows, names, 10, 0.05 / len(names))
     return ev.admission(ev.paired_scores(rows), bounds)
 
 

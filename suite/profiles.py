@@ -117,7 +117,7 @@ def _(t):
 def _(t):
     cat = catalog(t)
     relations = None
-    for p, c, k, fk in _EDGES:
-        x = pf.relationship_profile(getattr(t, p), getattr(t, c), k, fk)
+    for _, c, _, fk in _EDGES:
+        x = pf.mean_fanout(getattr(t, c), fk)
         relations = x if relations is None else relations.unionByName(x)
     return rounded(pf.schema_features(cat, pf.table_profiles(cat, CUT), relations))

@@ -9,6 +9,7 @@ from asofkit.requests import Requests
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+_OPENED: dict[tuple, DataFrame] = {}
 
 ORDER_CUTS = ("1998-01-01", "2000-01-01")
 EVENT_CUTS = ("2024-01-10", "2024-01-20")
@@ -23,7 +24,11 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Opening a path lists files and reads a footer; the lazy handle is reused.
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _OPENED:
+            _OPENED[key] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return _OPENED[key]
 
     # Point-in-time sources in the engine's column convention.
     def order_events(self) -> DataFrame:
