@@ -94,39 +94,34 @@ def structured_parent(frame: DataFrame, plan: list[tuple[str, str]], vocabularie
 # --- text -------------------------------------------------------------------
 
 
-def token_buckets(name: str, buckets: int = 8) -> list[Column]:
+HEX = "0123456789abcdef"
+
+
+def hashed_text(frame: DataFrame, key: str, name: str, buckets: int = 8) -> DataFrame:
     """Signed hash buckets of a text's words, scaled by the root of their number.
 
-    The bucket and the sign come from the word's MD5; the text is read whole.
+    The first eight hex digits of a word's MD5 form a number: its remainder
+    modulo ``buckets`` (a power of two up to 16) is the bucket and bit 256 the
+    sign, so two single digits are enough.  The text is read whole; words are
+    combined where they are read and one row per text is shuffled.
     """
+    if buckets not in (2, 4, 8, 16):
+        raise ValueError("buckets must be a power of two up to 16")
     words = F.regexp_extract_all(F.lower(as_column(name)), F.lit(WORD), F.lit(0))
-    numbers = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
-    zero = F.array(*[F.lit(0.0)] * buckets)
-
-    def add(total, n):
-        slot = F.pmod(n, F.lit(buckets)).cast("int")
-        sign = F.when(n.bitwiseAND(256) != 0, 1.0).otherwise(-1.0)
-        return F.transform(total, lambda x, i: F.when(i == slot, x + sign).otherwise(x))
-
-    sums = F.aggregate(numbers, zero, add)
-    scale = F.sqrt(F.greatest(F.size(words), F.lit(1)))
-    return [(sums[i] / scale).alias(f"{name}_hash{i}") for i in range(buckets)]
+    rows = frame.select(key, F.explode_outer(F.transform(words, F.md5)).alias("_h"))
 
+    def digit(place):
+        return F.instr(F.lit(HEX), F.substring("_h", place, 1)) - 1
 
-def hashed_text(frame: DataFrame, key: str, name: str, buckets: int = 8) -> DataFrame:
-    """The same buckets by exploding words: cheap per word and combined map-side."""
-    words = F.regexp_extract_all(F.lower(as_column(name)), F.lit(WORD), F.lit(0))
-    number = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")
-    rows = frame.select(key, F.explode_outer(words).alias("word")).withColumn("_n", number)
-    sign = F.when(F.col("_n").bitwiseAND(256) != 0, 1).otherwise(-1)
-    sums = rows.groupBy(key).agg(
-        F.count("word").alias("_words"),
-        *[F.sum(F.when(F.pmod("_n", F.lit(buckets)) == i, sign)).alias(f"_b{i}") for i in range(buckets)],
-    )
+    # Grouping by the bucket evaluates it once per word.
+    sign = F.when(digit(6) % 2 == 1, 1).otherwise(-1)
+    cells = rows.groupBy(key, F.pmod(digit(8), F.lit(buckets)).alias("_b")).agg(F.sum(sign).alias("_s"), F.count("_h").alias("_n"))
+    sums = cells.groupBy(key).agg(
+        F.sum("_n").alias("_words"), *[F.sum(F.when(F.col("_b") == i, F.col("_s"))).alias(f"_b{i}") for i in range(buckets)])
     scale = F.sqrt(F.greatest(F.col("_words"), F.lit(1)))
+    empty = F.col("_words") == 0
     return sums.select(
-        key, *[(F.coalesce(F.col(f"_b{i}"), F.lit(0)) / scale).alias(f"{name}_hash{i}") for i in range(buckets)]
-    )
+        key, *[F.when(empty, 0.0).otherwise(F.coalesce(F.col(f"_b{i}"), F.lit(0)) / scale).alias(f"{name}_hash{i}") for i in range(buckets)])
 
 
 def text_columns(frame: DataFrame, columns: list[str], mean_length: float = 32, distinct: int = 20, most: int = 8):

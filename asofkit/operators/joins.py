@@ -88,15 +88,18 @@ def snapshot_violations(features: DataFrame) -> DataFrame:
     return features.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
-def memberships(
-    facts: DataFrame, requests: Requests, neighbor: str, limit: int | None, known: str = "known", **rule
-) -> DataFrame:
-    """Distinct neighbours per request, at most ``limit`` by content hash."""
-    rows = visible(facts.filter(F.col(neighbor).isNotNull()), requests, known, **rule)
-    pairs = rows.select(*KEYS, F.col(neighbor).alias("neighbor")).distinct()
+def memberships(facts: DataFrame, requests: Requests, neighbor: str, limit: int | None, known: str = "known") -> DataFrame:
+    """Distinct neighbours per request, at most ``limit`` by content hash.
+
+    A pair stays visible once it is known, so facts reduce to each pair's first
+    appearance before any cutoff is applied and no later distinct is needed.
+    """
+    pairs = facts.filter(F.col(neighbor).isNotNull()).groupBy("entity", F.col(neighbor).alias("neighbor")).agg(
+        F.min(known).alias("_first"))
+    seen = visible(pairs, requests, "_first").select(*KEYS, "neighbor")
     if limit is None:
-        return pairs
-    return top_rows(pairs, KEYS, [content_rank("neighbor"), F.col("neighbor")], limit).drop("_rank")
+        return seen
+    return top_rows(seen, KEYS, [content_rank("neighbor"), F.col("neighbor")], limit).drop("_rank")
 
 
 def content_key(frame: DataFrame, columns: list[str], name: str = "content_key") -> DataFrame:

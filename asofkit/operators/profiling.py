@@ -60,11 +60,19 @@ def name_role(name: str, kind: str, structural: bool) -> str | None:
     return None
 
 
+def _identity(value, kind: str):
+    """Short values stand for themselves; long texts travel as a digest."""
+    if kind == "collection":
+        return F.lit(None).cast("string")
+    plain = value.cast("string")
+    return F.when(F.length(plain) > 31, F.md5(plain)).otherwise(plain) if kind == "string" else plain
+
+
 def value_counts(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Frequencies of all columns at once: (position, column, digest, n, number, length).
 
-    Values travel as digests, so wide texts are not shuffled, and each value is
-    combined where it is read before anything moves.
+    Long texts travel as digests, and each value is combined where it is read
+    before anything moves.
     """
     kinds = {f.name: physical_type(f.dataType) for f in frame.schema.fields}
     cells = []
@@ -74,7 +82,7 @@ def value_counts(frame: DataFrame, columns: list[str]) -> DataFrame:
         is_text = kinds[c] == "string"
         cells.append(F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"),
-            (F.md5(v.cast("string")) if kinds[c] != "collection" else F.lit(None).cast("string")).alias("digest"),
+            _identity(v, kinds[c]).alias("digest"),
             v.isNull().alias("missing"), (finite(v) if numeric else F.lit(None).cast("double")).alias("number"),
             (F.length(v) if is_text else F.lit(None).cast("int")).alias("length"),
         ))

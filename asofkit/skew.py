@@ -20,8 +20,12 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left"
 
     The small side is repeated ``salts`` times; rows choose a copy by content.
     The result is not partitioned by ``keys`` alone, so a following aggregation
-    on those keys combines partially before it shuffles.
+    on those keys combines partially before it shuffles.  With one salt this is
+    a plain join, for tables nearly as large as the rows: adaptive execution
+    splits a skewed partition there because another exchange follows anyway.
     """
+    if salts == 1:
+        return rows.join(table, keys, how)
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = [f.name for f in rows.schema.fields if f.dataType.typeName() != "map"]
     salted = rows.withColumn("_salt", row_salt(salts, *[F.col(c) for c in spread]))
@@ -145,6 +149,9 @@ def _large_percentiles(counted: DataFrame, keys: list[str], probabilities: dict[
     return hits.groupBy(*keys).agg(*columns)
 
 
+STRIDE = 16
+
+
 def running_totals(
     rows: DataFrame,
     keys: list[str],
@@ -160,13 +167,19 @@ def running_totals(
     sums (at most ``buckets`` + 1 per key) give each bucket its offset.  The
     borders only balance the work: any borders give the same sums.
     """
+    number = F.col(order).cast("double")
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    borders = rows.agg(F.percentile_approx(F.col(order).cast("double"), steps, F.lit(10_000)).alias("_cuts"))
-    spread = (
-        rows.withColumn("_cuts", borders.scalar())
-        .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(order).cast("double"))))
-        .drop("_cuts")
-    )
+    borders = rows.agg(F.percentile_approx(number, steps, F.lit(10_000)).alias("_cuts"))
+    spread = rows.withColumn("_cuts", borders.scalar())
+    if buckets > STRIDE:
+        # Two short scans instead of one over all borders.
+        marks = F.filter(F.transform(F.sequence(F.lit(1), F.lit(buckets // STRIDE - 1)), lambda i: F.col("_cuts")[i * STRIDE - 1]), lambda c: c <= number)
+        spread = spread.withColumn("_skip", F.size(marks) * STRIDE)
+        near = F.slice("_cuts", F.col("_skip") + 1, F.lit(STRIDE - 1))
+        bucket = F.col("_skip") + F.size(F.filter(near, lambda c: c <= number))
+    else:
+        bucket = F.size(F.filter("_cuts", lambda c: c <= number))
+    spread = spread.withColumn("_bucket", bucket).drop("_cuts", "_skip")
     direction = F.asc if ascending else F.desc
     inside = (
         Window.partitionBy(*keys, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
