@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from asofkit.functions.scalars import finite, hash_number, minus_seconds, when
 from asofkit.plans.frames import FrameSchema, fit_schema, prepare
 from asofkit.requests import Requests, visible
+from asofkit.session import checkpoint
 from asofkit.skew import lookup
 
 KEYS = ["entity", "cutoff"]
@@ -55,7 +56,8 @@ def fit_head(frame: DataFrame, target: str, task: str = "classification", estima
     """Learn the schema on training rows and fit an estimator on it."""
     extra = [target, *([weight] if weight else [])]
     schema = fit_schema(frame, [*keys, *extra])
-    inputs = _filled(prepare(frame, schema), schema).withColumn("label", F.col(target).cast("double"))
+    # Estimators pass over their input many times: cut the feature plan's lineage.
+    inputs = checkpoint(_filled(prepare(frame, schema), schema).withColumn("label", F.col(target).cast("double")))
     indexed = [f"{c}__code" for c in schema.categorical]
     stages = []
     if indexed:

@@ -151,8 +151,8 @@ def document(columns: list[str]) -> Column:
     fields = []
     for i, c in enumerate(columns):
         clean = F.regexp_replace(F.coalesce(text(c), F.lit("")), "<[^>]*>", " ")
-        # Only texts that hold a reference go through Python.
-        decoded = F.when(F.contains(clean, F.lit("&")), unescape(clean)).otherwise(clean)
+        # Texts without a reference travel to Python as nulls and keep their value.
+        decoded = F.coalesce(unescape(F.when(F.contains(clean, F.lit("&")), clean)), clean)
         squeezed = F.trim(F.regexp_replace(decoded, r"(?U)\s+", " "))
         fields.append(F.when(squeezed != "", F.concat(F.lit(f"Field {i + 1}: "), squeezed)))
     return F.concat_ws("\n", *fields)

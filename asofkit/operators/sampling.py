@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions.scalars import as_column, content_rank, days, hash_number, stamp, text
-from asofkit.skew import hashed_places, running_totals, top_rows
+from asofkit.skew import hashed_places, lookup, running_totals, top_rows
 
 
 def mature_labels(labels: DataFrame, boundary, available: str | None = None, horizon_days: float | None = None,
@@ -76,7 +76,7 @@ def stratified_budget(rows: DataFrame, target: str, limit: int, identity: list[s
     spare = F.least(budget, F.sum("_n").over(whole)) - F.sum("_take").over(whole)
     sizes = sizes.withColumn("_take", F.col("_take") + (F.row_number().over(order) <= spare).cast("long"))
     ranked = top_rows(rows, [*scope, target], [content_rank(*identity), *[as_column(i) for i in identity]], limit, "_place")
-    return ranked.join(F.broadcast(sizes.select(*scope, target, "_take")), [*scope, target]).filter(
+    return ranked.join(sizes.select(*scope, target, "_take"), [*scope, target]).filter(
         F.col("_place") <= F.col("_take")).drop("_place", "_take")
 
 
@@ -91,7 +91,7 @@ def time_split(rows: DataFrame, time: str, fraction: float, tie: list[str]) -> D
     keep = F.greatest(F.lit(1), F.least(total - 1, F.round(total * (1 - fraction)).cast("long")))
     micros = counts.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
     placed = running_totals(micros, [], "_t", {"_end": "_n"}).select(time, (F.col("_end") - F.col("_n")).alias("_start"), "_end")
-    out = rows.join(placed, time).withColumn("_keep", keep)
+    out = lookup(rows, placed, [time], "inner").withColumn("_keep", keep)
     split_here = (F.col("_start") < F.col("_keep")) & (F.col("_end") > F.col("_keep"))
     inside = hashed_places(out.filter(split_here), [time], tie, "_place")
     inside = inside.withColumn("_at", F.col("_start") + F.col("_place")).drop("_place")
@@ -165,7 +165,7 @@ def frame_quota(cohorts: DataFrame, total: int, time: str = "cutoff") -> DataFra
 
 def framed_sample(rows: DataFrame, target: str, total: int, identity: list[str], time: str = "cutoff") -> DataFrame:
     quotas = frame_quota(cohort_counts(rows, time).select(time), total, time)
-    return stratified_budget(rows.join(F.broadcast(quotas), time), target, total, identity, [time, "quota"], F.col("quota")).drop("quota")
+    return stratified_budget(lookup(rows, quotas, [time], "inner"), target, total, identity, [time, "quota"], F.col("quota")).drop("quota")
 
 
 def fit_regime(training: DataFrame, validation: DataFrame, time: str = "cutoff", max_rows: int = 100_000,
@@ -208,7 +208,7 @@ def mature_history_sample(training: DataFrame, boundary, preferred: int = 8, per
     eligible = training.filter(F.col(available) < stamp(boundary))
     counts = cohort_counts(eligible, time).withColumn("kept", F.least(F.col("rows"), F.lit(per_cutoff)))
     chosen = _recent_support(counts, time, least_rows, preferred, None, "kept").select(time)
-    rows = eligible.join(F.broadcast(chosen), time)
+    rows = lookup(eligible, chosen, [time], "inner")
     return top_rows(rows, [time], [content_rank("entity", time), F.col("entity")], per_cutoff).drop("_rank")
 
 
@@ -258,9 +258,11 @@ def required_cutoffs(training: DataFrame, size: int, horizon_days: float, lag_da
     folds = retrospective_folds(counts, size, origins, time)
     starts = folds.groupBy("fold").agg(F.min(time).alias("origin")).withColumn(
         "boundary", F.col("origin") - F.expr(f"INTERVAL {int(lag_days * 86_400)} SECONDS"))
+    # At most ``origins`` folds: each cutoff is repeated over that short list.
+    listed = starts.agg(F.collect_list(F.struct("fold", "boundary")).alias("f")).scalar()
     ready = F.col(time) + F.expr(f"INTERVAL {int(horizon_days * 86_400)} SECONDS")
-    # A few folds against a few hundred cutoffs: both sides are metadata sized.
-    open_rows = counts.join(F.broadcast(starts), (F.col(time) < F.col("boundary")) & (ready <= F.col("boundary")))
+    per_fold = counts.withColumn("_f", F.explode(listed)).select("*", "_f.fold", "_f.boundary").drop("_f")
+    open_rows = per_fold.filter((F.col(time) < F.col("boundary")) & (ready <= F.col("boundary")))
     newest = Window.partitionBy("fold").orderBy(F.desc(time))
     placed = open_rows.withColumn("_k", F.row_number().over(newest))
     refit = placed.filter(F.col("_k") <= size).select("fold", time, F.lit("refit").alias("role"))

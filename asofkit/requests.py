@@ -45,6 +45,7 @@ class Requests:
             cutoffs = [r[0] for r in rows] if len(rows) <= GRID_LIMIT else None
         if cutoffs is not None:
             cutoffs = tuple(sorted({_moment(c) for c in cutoffs}))
+            cutoffs = cutoffs if len(cutoffs) <= GRID_LIMIT else None
         return cls(frame, cutoffs, _moment(phase) if phase is not None else None)
 
     @classmethod

@@ -19,10 +19,10 @@ LOCAL_DEFAULTS = {
 }
 
 
-def local_session(cores: int | None = None, name: str = "asofkit") -> SparkSession:
+def local_session(cores: int | None = None, name: str = "asofkit", **settings: str) -> SparkSession:
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
-    for key, value in LOCAL_DEFAULTS.items():
+    for key, value in {**LOCAL_DEFAULTS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

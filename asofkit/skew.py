@@ -86,9 +86,9 @@ def percentiles(
     ranks and never meet in one task.  ``limit=None`` states that the distinct
     values are bounded by their nature (whole days, fan-outs, flags).
     """
-    if not keys:
-        out = percentiles(rows.withColumn("_all", F.lit(0)), ["_all"], value, probabilities, freq, limit)
-        return out.drop("_all")
+    whole = not keys
+    if whole:
+        rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     weight = F.sum(freq) if freq else F.count(F.lit(1))
     counted = (
         rows.filter(F.col(value).isNotNull())
@@ -103,11 +103,16 @@ def percentiles(
         return done.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
 
     if limit is None:
-        return small(counted)
-    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
-    large = sizes.filter(F.col("_distinct") > limit).select(*keys)
-    hot = _large_percentiles(counted.join(large, keys, "left_semi"), keys, probabilities)
-    return small(counted.join(large, keys, "left_anti")).unionByName(hot)
+        out = small(counted)
+    elif whole:
+        large = counted.agg(F.count(F.lit(1)) > limit).scalar()
+        out = small(counted.filter(~large)).unionByName(_large_percentiles(counted.filter(large), keys, probabilities))
+    else:
+        sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
+        large = sizes.filter(F.col("_distinct") > limit).select(*keys)
+        hot = _large_percentiles(counted.join(large, keys, "left_semi"), keys, probabilities)
+        out = small(counted.join(large, keys, "left_anti")).unionByName(hot)
+    return out.drop("_all") if whole else out
 
 
 def _large_percentiles(counted: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
