@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions.scalars import as_column, content_rank, finite, hash_number, logit, sigmoid
+from asofkit.functions.scalars import as_column, content_rank, finite, hash_number, logit, sigmoid, stamp
 from asofkit.requests import Requests, visible
 from asofkit.skew import lookup, top_rows
 
@@ -32,14 +32,19 @@ def dimension(
     return out.withColumns({c: F.when(seen, F.col(c)) for c in columns}).drop("_dim_time")
 
 
-def path_facts(hops: list[dict]) -> DataFrame:
+def path_facts(hops: list[dict], until=None) -> DataFrame:
     """Join a foreign-key path once, before any cutoff is applied.
 
     Each hop is ``{"frame", "time", "key", "fk"}`` from the root's child down to
     the fact; ``fk`` of the first hop is the entity.  A fact is visible when
     every hop is, so the latest clock along the path (``known``) decides.  One
-    join serves all cutoffs.
+    join serves all cutoffs.  ``until`` is the last cutoff that will be asked:
+    as a literal it reaches every hop's scan, which the joint clock cannot.
     """
+    if until is not None:
+        hops = [
+            {**h, "frame": h["frame"].filter(as_column(h["time"]) <= stamp(until))} if h.get("time") else h for h in hops
+        ]
     first, *rest = hops
     current = first["frame"].withColumn("entity", as_column(first["fk"]))
     known = [as_column(first["time"])] if first.get("time") else []

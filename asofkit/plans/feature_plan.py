@@ -61,7 +61,7 @@ class FeaturePlan:
     @classmethod
     def fit(cls, catalog: Catalog, steps, cutoff, numeric, categorical, identity, periods=(30, 365), top=2, **options) -> FeaturePlan:
         """Learn vocabularies and cutpoints on rows before the training cutoff."""
-        facts = path_facts(path_hops(catalog, steps)).filter(F.col("known") < stamp(cutoff))
+        facts = path_facts(path_hops(catalog, steps), until=cutoff).filter(F.col("known") < stamp(cutoff))
         sample = fam.calibration_sample(facts, list(identity))
         cuts = fam.cutpoints(sample, list(numeric), steps=3)
         words = {c: tuple(fam.frequent_values(facts, c, top=top, threshold=top)) for c in categorical}
@@ -111,7 +111,7 @@ class FeaturePlan:
     def transform(self, catalog: Catalog, requests: Requests) -> DataFrame:
         """One row per request; discovery is off and bindings are checked first."""
         self.verify(catalog)
-        facts = path_facts(path_hops(catalog, self.steps))
+        facts = path_facts(path_hops(catalog, self.steps), until=requests.latest())
         rows = visible(facts, requests, "known").filter(F.col("ts") >= minus_seconds("cutoff", self.lookback_days * 86_400))
         block = rows.groupBy(*KEYS).agg(*self.aggregates())
         zero = [c for c in block.columns if c == "rows" or c.startswith("rows_") or "_v" in c and c.endswith("_count")]

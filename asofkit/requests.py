@@ -62,6 +62,12 @@ class Requests:
         cutoff = F.col("cutoff") if cutoff is None else cutoff
         return cutoff if self.phase is None else F.least(cutoff, stamp(self.phase))
 
+    def latest(self) -> dt.datetime | None:
+        """Last moment any request can see, when the cutoffs are listed."""
+        if self.cutoffs is None:
+            return None
+        return self.cutoffs[-1] if self.phase is None else min(self.cutoffs[-1], self.phase)
+
     def keys(self) -> DataFrame:
         return self.frame.select("entity", "cutoff").distinct()
 

@@ -191,18 +191,18 @@ def _(t):
     parts = t.part.join(firsts, F.col("p_partkey") == F.col("l_partkey")).select(
         "p_partkey", "p_retailprice", "p_size", (F.col("since") + F.expr("INTERVAL 180 DAYS")).alias("since"))
     req = t.order_requests()
-    v = visible(order_lines(t), req, "known")
+    v = visible(order_lines(t, req.latest()), req, "known")
     v = jn.dimension(v, parts, "l_partkey", "p_partkey", ["p_retailprice", "p_size"], time="since")
     return rounded(req.align(v.groupBy(*K).agg(
         F.count(F.lit(1)).alias("lines"), F.count("p_size").alias("known_parts"),
         F.avg("p_retailprice").alias("retail_mean"), F.sum("p_size").alias("sizes")), zero=["lines", "known_parts"]))
 
 
-def order_lines(t):
+def order_lines(t, until=None):
     """Lines reached from customers through orders, with the path's clock."""
     cat = catalog(t)
     steps = (("orders", "o_custkey"), ("lineitem", "l_orderkey"))
-    return jn.path_facts(pl.path_hops(cat, steps))
+    return jn.path_facts(pl.path_hops(cat, steps), until)
 
 
 LINE_VIS = f"""{ORDER_REQ}, visible AS (SELECT r.entity, r.cutoff, l_shipdate AS ts, o.*, l.* FROM requests r
@@ -214,7 +214,7 @@ LINE_VIS = f"""{ORDER_REQ}, visible AS (SELECT r.entity, r.cutoff, l_shipdate AS
     ("max(ts)", "last_ship", "t")]))
 def _(t):
     req = t.order_requests()
-    v = visible(order_lines(t), req, "known")
+    v = visible(order_lines(t, req.latest()), req, "known")
     return rounded(req.align(v.groupBy(*K).agg(
         F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"),
         F.count_distinct("l_suppkey").alias("suppliers"), F.max("ts").alias("last_ship")),

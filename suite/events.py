@@ -16,7 +16,7 @@ from suite.core import K, LINE_VIS, order_lines
 from suite.families import _MARKS, _SAMPLE, HISTORY, _line_sample, label_history
 from suite.model import catalog
 from suite.registry import (
-    EVENT_REQ, EVENT_VIS, N, ORDER_REQ, ORDER_VIS, R, aligned_sql, query, rounded, secs, since_sql,
+    EVENT_REQ, EVENT_VIS, N, ORDER_CUTS, ORDER_REQ, ORDER_VIS, R, aligned_sql, query, rounded, secs, since_sql,
 )
 
 DAY = 86_400
@@ -37,7 +37,8 @@ _WIDE = f"""{ORDER_REQ}, visible AS (SELECT r.entity, r.cutoff, l_shipdate AS ts
 
 
 def _wide(t):
-    rows = ev.window_rows(order_lines(t), t.order_requests(), 730, "known")
+    req = t.order_requests()
+    rows = ev.window_rows(order_lines(t, req.latest()), req, 730, "known")
     return jn.dimension(rows, t.part, "l_partkey", "p_partkey", ["p_retailprice", "p_size"])
 
 
@@ -163,7 +164,7 @@ def _(t):
 
 
 def _marked_lines(t):
-    return order_lines(t).withColumn("returned", (F.col("l_returnflag") == "R").cast("int")).withColumn(
+    return order_lines(t, ORDER_CUTS[-1]).withColumn("returned", (F.col("l_returnflag") == "R").cast("int")).withColumn(
         "still_open", (F.col("l_linestatus") == "O").cast("int"))
 
 
@@ -265,7 +266,7 @@ def _(t):
 
 
 def exposure_facts(t):
-    lines = order_lines(t).withColumn("returned", (F.col("l_returnflag") == "R").cast("int")).withColumn(
+    lines = order_lines(t, ORDER_CUTS[-1]).withColumn("returned", (F.col("l_returnflag") == "R").cast("int")).withColumn(
         "hint", F.col("l_discount") * 4)
     return ex.events_view(lines, "o_orderkey", "l_partkey", "l_linenumber", "returned", "hint")
 

@@ -17,7 +17,8 @@ _ZERO = ("_count",)
 
 
 def _lines(t):
-    return visible(order_lines(t), t.order_requests(), "known")
+    req = t.order_requests()
+    return visible(order_lines(t, req.latest()), req, "known")
 
 
 def _orders(t):
