@@ -278,7 +278,9 @@ def gain_lower_bounds(
     """
     rows = _paired(evidence, policies, seed)
     draws = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    draws = draws.withColumn("_w", poisson_one(hash_unit("entity", "repeat"))).filter("_w > 0")
+    # Zero weights stay: they add nothing to a sum, and a filter on the weight
+    # would evaluate the hash once more per threshold.
+    draws = draws.withColumn("_u", hash_unit("entity", "repeat")).withColumn("_w", poisson_one(F.col("_u")))
     gains = _weighted_gains(draws, ["policy", "repeat", "origin"], task)
     origins = evidence.filter(F.col("policy") == INCUMBENT).groupBy("origin").agg(F.count(F.lit(1)).alias("_rows"))
     plan = origins.agg(F.struct(F.max("origin").alias("last"), F.count(F.lit(1)).alias("n")).alias("p")).scalar()
@@ -292,8 +294,8 @@ def gain_lower_bounds(
 
 def recent_resample(evidence: DataFrame, policy: str, repeats: int, alpha: float, task: str = "classification", seed: int = 0):
     """The newest origin only, entities drawn with replacement."""
-    last = evidence.agg(F.max("origin").alias("m")).scalar()
-    rows = _paired(evidence, [policy], seed).filter(F.col("origin") == last)
+    newest = evidence.agg(F.max("origin").alias("origin"))
+    rows = _paired(evidence.join(F.broadcast(newest), "origin"), [policy], seed)
     entities = hashed_places(rows.select("entity").distinct(), [], ["entity"], "place").withColumn("place", F.col("place") - 1)
     n = entities.agg(F.count(F.lit(1)).alias("n")).scalar()
     drawn = entities.select(F.col("place").alias("draw")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))

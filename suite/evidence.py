@@ -195,16 +195,16 @@ def _poisson(u):
     return "(" + "+".join(parts) + ")"
 
 
-def _pair(policy):
-    return f"(SELECT a.origin, a.entity, a.truth, a.prediction AS control, b.prediction AS candidate FROM ev a JOIN ev b ON a.origin=b.origin AND a.entity=b.entity AND a.seed=0 AND b.seed=0 AND a.policy='incumbent' AND b.policy='{policy}')"
+def _pair(policy, source="ev"):
+    return f"(SELECT a.origin, a.entity, a.truth, a.prediction AS control, b.prediction AS candidate FROM ev a JOIN {source} b ON a.origin=b.origin AND a.entity=b.entity AND a.seed=0 AND b.seed=0 AND a.policy='incumbent' AND b.policy='{policy}')"
 
 
 _REPEATS = 20
 
 
-def _bound_sql(tag, policy, alpha):
+def _bound_sql(tag, policy, alpha, source="ev", repeats=_REPEATS):
     u = "(CAST('0x'||substr(md5(concat_ws('|', entity, repeat)),1,8) AS BIGINT)/4294967296.0)"
-    return f"""{tag}d AS (SELECT * FROM (SELECT p.*, r.repeat, {_poisson(u)} AS w FROM {_pair(policy)} p, (SELECT range AS repeat FROM range({_REPEATS})) r) WHERE w>0),
+    return f"""{tag}d AS (SELECT * FROM (SELECT p.*, r.repeat, {_poisson(u)} AS w FROM {_pair(policy, source)} p, (SELECT range AS repeat FROM range({repeats})) r) WHERE w>0),
       {tag}s AS (SELECT repeat, origin, 0 AS side, truth, control AS sc, w FROM {tag}d UNION ALL SELECT repeat, origin, 1, truth, candidate, w FROM {tag}d), {auc_sql(tag + 'a', tag + 's', ['repeat', 'origin', 'side'], 'sc', 'truth', 'w')},
       {tag}g AS (SELECT repeat, origin, CASE WHEN count(auc)=2 THEN sum(CASE WHEN side=1 THEN auc ELSE -auc END) END AS gain FROM {tag}a GROUP BY 1,2), {tag}n AS (SELECT max(origin) AS last, count(DISTINCT origin) AS n FROM ev),
       {tag}r AS (SELECT repeat, sum(CASE WHEN origin=last THEN 0.5 ELSE 0.5/greatest(1,n-1) END*gain) AS g FROM {tag}g, {tag}n GROUP BY repeat, n HAVING count(gain)=n),
@@ -227,10 +227,19 @@ def _(t):
 _PS = f"{SC}, ps AS (SELECT a.*, a.auc-c.auc AS gain, 0.005 AS cap FROM au a JOIN au c ON c.origin=a.origin AND c.seed=a.seed AND c.policy='incumbent')"
 
 
-@query("V17_admission", f"""WITH {EV}, {_PS}, {', '.join(_bound_sql('b' + p[0], p, 0.05 / 3) for p in ('alpha', 'beta', 'gamma'))}, bo AS (SELECT * FROM ba UNION ALL SELECT * FROM bb UNION ALL SELECT * FROM bg), la AS (SELECT max(origin) AS last FROM ev),
+def admission_sql(policies, source="ev", repeats=_REPEATS):
+    """The admission rule over a menu of challengers scored on ``source`` rows."""
+    tags = [f"b{i}" for i in range(len(policies))]
+    scored = _PS if source == "ev" else _PS.replace(SC, auc_sql("au", source, KEYS))
+    bounds = ", ".join(_bound_sql(g, p, 0.05 / len(policies), source, repeats) for g, p in zip(tags, policies))
+    extra = "" if source == "ev" else f"{_BLEND}, "
+    return f"""WITH {EV}, {extra}{scored}, {bounds}, bo AS ({' UNION ALL '.join(f'SELECT * FROM {g}' for g in tags)}), la AS (SELECT max(origin) AS last FROM ev),
   st AS (SELECT policy, max(gain) FILTER (origin=last AND seed=0) AS rg, min(gain) FILTER (origin=last) AS ws, max((origin<>last AND seed=0 AND gain<-cap)::INT) AS ol FROM ps, la WHERE policy<>'incumbent' GROUP BY 1),
   de AS (SELECT st.*, lower_bound, CASE WHEN rg<=0 THEN 'no_recent_improvement' WHEN ws<=0 THEN 'recent_gain_not_seed_stable' WHEN ol=1 THEN 'older_origin_regression' WHEN lower_bound IS NULL OR lower_bound<=0 THEN 'no_confident_temporal_improvement' ELSE 'eligible' END AS reason FROM st LEFT JOIN bo USING (policy))
-  SELECT policy, {R('rg', 6)} AS recent_gain, {R('ws', 6)} AS worst_recent_seed, {R('lower_bound', 6)} AS lower_bound, reason, (reason='eligible' AND row_number() OVER (ORDER BY (reason='eligible') DESC, rg DESC, policy)=1) AS selected FROM de""")
+  SELECT policy, {R('rg', 6)} AS recent_gain, {R('ws', 6)} AS worst_recent_seed, {R('lower_bound', 6)} AS lower_bound, reason, (reason='eligible' AND row_number() OVER (ORDER BY (reason='eligible') DESC, rg DESC, policy)=1) AS selected FROM de"""
+
+
+@query("V17_admission", admission_sql(("alpha", "beta", "gamma")))
 def _(t):
     rows = evidence(t)
     bounds = ev.gain_lower_bounds(rows, ["alpha", "beta", "gamma"], _REPEATS, 0.05 / 3)

@@ -15,7 +15,7 @@ from asofkit.plans import frames as fr
 from asofkit.requests import visible
 from asofkit.sources import io
 from suite.core import K, LINE_VIS, example_rows, order_lines
-from suite.evidence import KEYS, evidence
+from suite.evidence import KEYS, admission_sql, evidence
 from suite.families import _SAMPLE, HISTORY, label_history
 from suite.model import catalog
 from suite.sources import _folder
@@ -185,12 +185,14 @@ def _(t):
     return ev.rerank_choice(trials, out.select("config", F.col("cutoff").alias("fold"), F.col("auc").alias("score")))
 
 
-@query("K9_candidate_menu")
+_MENU = [f"{p}{b}" for p in ("alpha", "beta", "gamma") for b in ("", "__blend_0.125", "__blend_0.5")]
+
+
+@query("K9_candidate_menu", admission_sql(_MENU, "bl", 10))
 def _(t):
-    rows = ev.blends(evidence(t), [0.125, 0.5])
-    names = sorted({p for p in ("alpha", "beta", "gamma")} | {f"{p}__blend_{w}" for p in ("alpha", "beta", "gamma") for w in ("0.125", "0.5")})
+    rows, names = ev.blends(evidence(t), [0.125, 0.5]), _MENU
     bounds = ev.gain_lower_bounds(rows, names, 10, 0.05 / len(names))
-    return ev.admission(ev.paired_scores(rows), bounds)
+    return rounded(ev.admission(ev.paired_scores(rows), bounds), places=6)
 
 
 @query("X3_learner_plugin")

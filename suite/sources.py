@@ -179,14 +179,18 @@ def _(t):
         F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.sum(F.length("text")).alias("characters"))
 
 
-@query("S10_bundle_export")
+_PHASES = f"""WITH {HISTORY}, p AS (SELECT 'training' AS name, * FROM hist WHERE available_at<=TIMESTAMP '1999-01-01' UNION ALL SELECT 'validation', * FROM hist WHERE ts>=TIMESTAMP '1999-01-01' AND available_at<=TIMESTAMP '2000-01-15'
+  UNION ALL SELECT 'requests', * FROM hist WHERE ts>=TIMESTAMP '2000-01-01')"""
+
+
+@query("S10_bundle_export", f"{_PHASES} SELECT name, {N('count(*)')} AS rows FROM p GROUP BY 1")
 def _(t):
     _, training, validation, requests = _phases(t)
     frames = {"training": training, "validation": validation, "requests": requests.withColumn("y", F.lit(None).cast("double"))}
     return io.export_bundle(t.spark, _folder(t, "bundle"), frames, "y").select("name", "rows")
 
 
-@query("S11_bundle_reopen")
+@query("S11_bundle_reopen", f"{_PHASES} SELECT name AS source, {N('count(*)')} AS rows FROM p WHERE name<>'training' OR ts<TIMESTAMP '1998-06-01' GROUP BY 1")
 def _(t):
     folder = _folder(t, "bundle")
     _, training, validation, requests = _phases(t)
