@@ -133,6 +133,30 @@ def without_own(
     return joined.withColumns({f"others_{n}": F.col(f"all_{n}") - F.col(f"own_{n}") for n in totals})
 
 
+def cohort_rows(rows: DataFrame, cohort: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the requested roots, kept before any aggregation.
+
+    The semi join is salted, so a root with many rows is spread over tasks and
+    the aggregation that follows combines before it shuffles.
+    """
+    return lookup(rows, cohort.select(*keys).distinct(), keys, "left_semi")
+
+
+def reachable(tables: list[tuple[DataFrame, str | None, str | None]], cohort: DataFrame, key: str) -> list[DataFrame]:
+    """Scope a path of tables to the rows a root cohort can reach.
+
+    Each entry is (frame, foreign key to the table before, own key).  Statistics
+    over other roots must not be built on the scoped rows.
+    """
+    kept, parent, parent_key = [], cohort, key
+    for frame, fk, own in tables:
+        owners = parent.select(F.col(parent_key).alias(fk))
+        frame = cohort_rows(frame, owners, [fk])
+        kept.append(frame)
+        parent, parent_key = frame, own
+    return kept
+
+
 def available_roots(examples: DataFrame, roots: DataFrame, key: str, root_key: str, time: str, root_time: str):
     """Examples whose root exists at their timestamp."""
     known = roots.filter(F.col(root_key).isNotNull()).select(

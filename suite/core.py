@@ -96,7 +96,7 @@ _COHORT = "SELECT c_custkey FROM customer WHERE c_mktsegment='BUILDING'"
   FROM orders WHERE o_custkey IN ({_COHORT}) AND o_orderdate<TIMESTAMP '2000-01-01' GROUP BY 1""")
 def _(t):
     cohort = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("entity"))
-    rows = t.order_events().filter(F.col("ts") < stamp("2000-01-01")).join(cohort, "entity", "left_semi")
+    rows = jn.cohort_rows(t.order_events().filter(F.col("ts") < stamp("2000-01-01")), cohort, ["entity"])
     return rounded(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean")), "mean")
 
 
@@ -105,8 +105,8 @@ def _(t):
   SELECT 'lineitem', {N('count(*)')} FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""")
 def _(t):
     cohort = t.customer.filter("c_mktsegment = 'BUILDING'")
-    orders = t.orders.join(cohort, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    lines = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    walk = [(t.orders, "o_custkey", "o_orderkey"), (t.lineitem, "l_orderkey", None)]
+    orders, lines = jn.reachable(walk, cohort, "c_custkey")
     count = lambda f, n: f.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(n).alias("source"), "kept")
     return count(orders, "orders").unionByName(count(lines, "lineitem"))
 
