@@ -121,7 +121,7 @@ def conditional(name: str, values: list, time: str, windows=(7, 30, 90, 365)) ->
             shares.append(share)
             out += [
                 n.alias(f"{name}_v{i}_{w}d_count"), share.alias(f"{name}_v{i}_{w}d_share"),
-                (n > 0).cast("int").alias(f"{name}_v{i}_{w}d_present"),
+                (n > 0).cast("long").alias(f"{name}_v{i}_{w}d_present"),
             ]
         out += [
             (a - b).alias(f"{name}_v{i}_change_{p}v{q}")

@@ -152,7 +152,7 @@ _FOLDS = "fo AS (SELECT cutoff, cnt-1-back AS fold FROM (SELECT *, floor((total-
 
 @query("T15_retrospective_folds", f"""WITH {_CO}, {_FOLDS}, st AS (SELECT fold, min(cutoff)-INTERVAL 30 DAY AS b FROM fo GROUP BY 1), op AS (SELECT st.fold, co.*, row_number() OVER (PARTITION BY fold ORDER BY cutoff DESC) AS k FROM co JOIN st ON cutoff<b AND cutoff+INTERVAL 90 DAY<=b),
   fi AS (SELECT fold, min(cutoff) AS f FROM op WHERE k<=2 GROUP BY 1), ol AS (SELECT op.fold, op.cutoff, coalesce(sum(rows) OVER (PARTITION BY op.fold ORDER BY cutoff DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS r FROM op JOIN fi USING (fold) WHERE cutoff<f AND cutoff+INTERVAL 90 DAY<=f)
-  SELECT CAST(fold AS BIGINT) AS fold, cutoff, 'heldout' AS role FROM fo UNION ALL SELECT fold, cutoff, 'refit' FROM op WHERE k<=2 UNION ALL SELECT fold, cutoff, 'initial' FROM ol WHERE r<1000""")
+  SELECT CAST(fold AS BIGINT) AS fold, cutoff, role FROM (SELECT fold, cutoff, 'heldout' AS role FROM fo UNION ALL SELECT fold, cutoff, 'refit' FROM op WHERE k<=2 UNION ALL SELECT fold, cutoff, 'initial' FROM ol WHERE r<1000)""")
 def _(t):
     return sp.required_cutoffs(examples(t), 2, 90, 30, 1000)
 
