@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from asofkit.llm import ngram_join, rule_ledger
+from asofkit.llm import ngram_join, rule_ledger, super_kmers
 
 QUERIES = {
     "op2_ngram_join": ngram_join.query,
     "op6_rule_ledger": rule_ledger.query,
+    "op7_super_kmers": super_kmers.query,
 }
 ORACLES = {
     "op2_ngram_join": ngram_join.SQL,
     "op6_rule_ledger": rule_ledger.SQL,
+    "op7_super_kmers": super_kmers.SQL,
 }
