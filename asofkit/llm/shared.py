@@ -62,6 +62,28 @@ def row_key() -> list:
     ]
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(id, sig, packed): whole texts under zstd, for joins that must move them. A null text stays null."""
+    def pack(batches):
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            data = [None if t is None else squeeze.compress(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["id", "sig", "packed"])
+
+    return docs.select(*row_key(), F.col("text").cast("binary").alias("text")).mapInArrow(pack, "id long, sig long, packed binary")
+
+
+def unpacker():
+    """A function from packed text to UTF-8 bytes; null gives no bytes."""
+    import zstandard
+
+    spread = zstandard.ZstdDecompressor()
+    return lambda data: b"" if data is None else spread.decompress(data)
+
+
 # Words and their hashes.
 class WordHashes(dict):
     """64-bit hash of each word, remembered; emptied when it grows past ``most`` words."""
