@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from asofkit.llm import ngram_join, rule_ledger, super_kmers
+from asofkit.llm import mixing, ngram_join, pattern_packing, rule_ledger, super_kmers
 
 QUERIES = {
     "op2_ngram_join": ngram_join.query,
+    "op4_pattern_packing": pattern_packing.query,
+    "op5_mixing": mixing.query,
     "op6_rule_ledger": rule_ledger.query,
     "op7_super_kmers": super_kmers.query,
 }
 ORACLES = {
     "op2_ngram_join": ngram_join.SQL,
+    "op5_mixing": mixing.SQL,
     "op6_rule_ledger": rule_ledger.SQL,
     "op7_super_kmers": super_kmers.SQL,
 }
