@@ -59,6 +59,11 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _once(value: Column) -> Column:
+    """A generated column: filters on it stay above, so the optimiser never copies its expression into lambdas."""
+    return F.explode(F.array(value))
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_RUN), "")
 
@@ -100,7 +105,8 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(row, measurements, failures): ``row`` is the input row, ``failures`` has bit i for rule i."""
     whole = F.coalesce(F.col(f"row.{text}"), F.lit(""))
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("_words", words_of(whole))
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    base = base.select("row", _once(words_of(whole)).alias("_words"))
     lines = F.filter(F.split(whole, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     measured = base.withColumn("_lines", bound(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))).select(
         "row",
@@ -115,7 +121,8 @@ def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     failures = bits[0]
     for b in bits[1:]:
         failures = failures.bitwiseOR(b)
-    return measured.withColumn("failures", failures)
+    book = measured.withColumn("failures", failures)
+    return book.select("row", _once(F.struct(*MEASURES, "failures")).alias("m")).select("row", "m.*")
 
 
 def fails(policy: Policy) -> Column:
