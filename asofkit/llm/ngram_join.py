@@ -2,11 +2,12 @@
 
 A document's set holds its distinct runs of ``width`` words (lower-cased A-Z). Under any global
 order of the tokens, two sets of similarity ``percent`` share a token among the first
-``n - ceil(n * percent / 100) + 1`` of each. Order 0 gives the join keys; keys that too many sets share
-are narrowed by the prefix tokens of order 1, then of order 2. Pairs must share prefix tokens under
-orders 1 and 2 before their whole sets are compared.
+``n - ceil(n * percent / 100) + 1`` of each. Order 0 gives the join keys, each with a class of set sizes; keys that too many sets share
+are narrowed by the prefix tokens of order 1, then of order 2. A pair found by order 0 must share as many prefix tokens there as
+a link needs, then a prefix token under order 1 and under order 2, before the whole sets are compared.
 
-Tokens that very many documents hold come last in every order. Which ones is found from all
+Every order puts long shingles, which are rare, before short ones, and hashes decide within a length; the tokens
+that very many documents hold come last. Which ones is found from all
 documents: each batch reports tokens in over ``COMMON`` of its documents, and those sums are compared
 with the number of documents. At most (shingles per document / COMMON) tokens qualify, so the
 list is bounded whatever the input. It only changes the order, never the result.
@@ -19,37 +20,51 @@ Input columns that clash with result columns never meet them.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.shared import WordHashes, link, mixed, new_folder, row_key, stored, window_hashes
+from asofkit.llm.shared import NULL_ID, WordHashes, link, mixed, packed_texts, row_key, stored, unpacker, window_hashes
 
 COMMON = 1 / 256
 ORDERS = 3
+CLASS = 1.5  # ratio of the sizes in a size class
 
 
-def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted 64-bit tokens of the set."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def shingle_set(text: bytes, width: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit tokens of the set, and the bytes of each one's words."""
+    words = text.lower().split()
     if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(window_hashes(hashes.of(words), min(width, len(words))))
+        return np.zeros(0, np.uint64), np.zeros(0, int)
+    width = min(width, len(words))
+    tokens, at = np.unique(window_hashes(hashes.of(words), width), return_index=True)
+    ends = np.cumsum([0, *map(len, words)])
+    return tokens, (ends[width:] - ends[:-width])[at]
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1
+def prefix(tokens: np.ndarray, sizes: np.ndarray, order: int, common: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set in a global order: common ones last, longer words (which are rarer) first, then by hash."""
+    n = len(tokens)
+    size = n - -(-n * percent // 100) + 1
+    if size >= n:
+        return tokens
+    place = np.uint64(127) - np.minimum(sizes // 4, 127).astype(np.uint64)
+    if len(common):
+        place += np.isin(tokens, common).astype(np.uint64) << np.uint64(7)
+    place = place << np.uint64(56) | mixed(tokens, order + 1) >> np.uint64(8)
+    return tokens[np.argpartition(place, size - 1)[:size]]
 
 
-def _ranked(tokens: np.ndarray, order: int, common: np.ndarray) -> np.ndarray:
-    """Tokens in the global order: common ones last, hashes of the order's seed otherwise."""
-    late = np.isin(tokens, common) if len(common) else np.zeros(len(tokens), bool)
-    return tokens[np.lexsort((mixed(tokens, order + 1), late))]
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values.view("i8")))
 
 
-def common_tokens(docs: DataFrame, width: int) -> np.ndarray:
+def common_tokens(texts: DataFrame, width: int) -> np.ndarray:
     """Tokens that over COMMON of all documents hold, from one pass over all documents.
 
     A batch reports its tokens above half that share, so a token that qualifies overall is reported by the batches
@@ -58,97 +73,109 @@ def common_tokens(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, width, hashes) for t in batch["text"]]
+            sets = [shingle_set(t, width, hashes)[0] for t in batch.column(0).to_pylist()]
             tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             most = n >= max(3, COMMON / 2 * len(sets))
-            yield pd.DataFrame({"token": np.append(tokens[most].view("i8"), 0), "n": np.append(n[most], len(sets)).astype("i8"), "total": np.append(np.zeros(most.sum(), bool), True)})
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(tokens[most].view("i8"), 0)), pa.array(np.append(n[most], len(sets)).astype("i8")), pa.array(np.append(np.zeros(most.sum(), bool), True))], ["token", "n", "total"])
 
-    found = docs.select("text").mapInPandas(count, "token long, n long, total boolean").groupBy("total", "token").agg(F.sum("n").alias("n"))
+    found = texts.select("text").mapInArrow(count, "token long, n long, total boolean").groupBy("total", "token").agg(F.sum("n").alias("n"))
     found = stored(found, "common")
     documents = found.filter("total").agg(F.sum("n")).first()[0] or 0
-    least = max(16, int(COMMON * documents))
-    rows = found.filter(~F.col("total") & (F.col("n") >= least)).select("token").collect()
+    rows = found.filter(~F.col("total") & (F.col("n") >= max(16, int(COMMON * documents)))).select("token").collect()
     return np.sort(np.array([r[0] for r in rows], "i8").view("u8"))
 
 
 def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, keep): ``keep`` marks one row of each component.
+    """(doc_id, n_shingles, component_id, id, sig, keep): ``keep`` marks one row of each component.
 
     The kept row is the one with the smallest id; among rows of that id, the one whose text
     hash is smallest. Rows without a set are all kept.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    common = spark.sparkContext.broadcast(common_tokens(docs, width))
+    texts = docs.select(*row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_tokens(texts, width))
 
     def sign(batches):
         hashes = WordHashes()
         for batch in batches:
-            out = []
-            for doc, key, sig, text in zip(batch["doc_id"], batch["id"], batch["sig"], batch["text"], strict=True):
-                tokens = shingle_set(text, width, hashes)
-                n = len(tokens)
-                first = _ranked(tokens, 0, common.value)[: prefix_size(n, percent)] if n else tokens
-                out.append((doc, key, sig, n, xxhash.xxh3_128_digest(tokens.tobytes()) if n else None, first.view("i8")))
-            frame = pd.DataFrame(out, columns=["doc_id", "id", "sig", "n", "digest", "first"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    rows = docs.select("doc_id", *row_key(), "text").mapInPandas(sign, "doc_id long, id long, sig long, n long, digest binary, first array<long>")
-    signed = stored(rows, "signed")
+            sets = [shingle_set(t, width, hashes) for t in batch.column("text").to_pylist()]
+            digests = [xxhash.xxh3_128_digest(t.tobytes()) if len(t) else None for t, _ in sets]
+            first = _lists([prefix(t, s, 0, common.value, percent) for t, s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sig"), pa.array([len(t) for t, _ in sets], pa.int64()), pa.array(digests, pa.binary()), first], ["id", "sig", "n", "digest", "p0"])
+
+    signed = stored(texts.mapInArrow(sign, "id long, sig long, n long, digest binary, p0 array<long>"), "signed")
     sets = stored(
-        signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first"))
+        signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "p0")])
         .withColumn("node", F.monotonically_increasing_id()), "sets",
     )
-    holders = signed.select("digest", "id", "sig")
-
-    # Whole sets are made again for nodes that share a key with another one, and for those only.
-    wanted = sets.select(F.explode("first").alias("key"), "node").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    rivals = sets.select(F.explode("first").alias("key"), "node").join(wanted, "key", "left_semi").select("node").distinct()
-    lead = sets.join(rivals, "node").select("node", "n", "digest", F.col("id"))
-    source = lead.join(holders.groupBy("digest", "id").agg(F.min("sig").alias("sig")), ["digest", "id"]).select("node", "id", "sig")
-
-    def build(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            out = []
-            for node, text in zip(batch["node"], batch["text"], strict=True):
-                tokens = shingle_set(text, width, hashes)
-                p = prefix_size(len(tokens), percent)
-                out.append((node, len(tokens), tokens.view("i8"), *[_ranked(tokens, k, common.value)[:p].view("i8") for k in range(ORDERS)]))
-            yield pd.DataFrame(out, columns=["node", "n", "tokens", "p0", "p1", "p2"])
-
-    texts = docs.select(*row_key(), "text").join(source, ["id", "sig"]).select("node", "text")
-    whole = stored(texts.mapInPandas(build, "node long, n long, tokens array<long>, p0 array<long>, p1 array<long>, p2 array<long>").dropDuplicates(["node"]), "whole")
+    holders = signed.groupBy("digest", "id").agg(F.min("sig").alias("sig"))
+
+    # Texts are fetched again for nodes that share a key with another one.
+    # Linked sets lie in one size class or in neighbouring ones: the smaller is found in its own, the larger looks in its own and,
+    # where a set of the least size it can link with would lie below, in the one below. A key is a token and a size class.
+    size = F.floor(F.log("n") / math.log(CLASS))
+    below = F.floor(F.log(F.col("n") * (percent - 1) / 100) / math.log(CLASS))
+    tokens = sets.select(F.explode("p0").alias("token"), "node", size.alias("class"), below.alias("below"))
+    looks = F.filter(F.array(F.struct(F.col("class").alias("c"), F.lit(True).alias("idx")), F.struct(F.col("below").alias("c"), F.lit(False).alias("idx"))), lambda x: x["idx"] | (x["c"] < F.col("class")))
+    keys = tokens.select("token", "node", F.explode(looks).alias("l")).select(F.xxhash64("token", "l.c").alias("key"), "node", "l.idx", F.lit(True).alias("prb"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("i")).filter("n > 1 AND i").select("key")
+    shared = stored(keys.join(shared, "key"), "keys")
+    rivals = sets.join(shared.select("node").distinct(), "node").select("node", "digest", "id").join(holders, ["digest", "id"]).select("node", "id", "sig")
+    once = packed_texts(docs).dropDuplicates(["id", "sig"])
+    whole = stored(once.join(rivals, ["id", "sig"]).select("node", "packed"), "texts")
+
+    def narrow(level):
+        def rows(batches):
+            hashes, text_of = WordHashes(), unpacker()
+            for batch in batches:
+                sets = [shingle_set(text_of(x), width, hashes) for x in batch.column("packed").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([prefix(t, s, level, common.value, percent) for t, s in sets])], ["node", "tokens"])
+
+        return rows
 
     def entries(level, kept):
-        if level == 0:
-            rows = whole.select(F.explode("p0").alias("key"), "node")
-        else:
-            rows = kept.join(whole.select("node", F.explode(f"p{level}").alias("token")), "node").select(F.xxhash64("key", "token").alias("key"), "node").distinct()
-        return rows.select("key", "node", F.lit(True).alias("idx"), F.lit(True).alias("prb"))
+        if not level:
+            return shared
+        firsts = stored(whole.join(kept.select("node").distinct(), "node").mapInArrow(narrow(level), "node long, tokens array<long>"), "prefixes")
+        rows = kept.join(firsts, "node").select("key", "node", F.explode("tokens").alias("token")).select(F.xxhash64("key", "token").alias("key"), "node").distinct()
+        return rows.withColumns({"idx": F.lit(True), "prb": F.lit(True)})
+
+    def compare(batches):
+        hashes, text_of = WordHashes(), unpacker()
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                a, b = shingle_set(text_of(x), width, hashes), shingle_set(text_of(y), width, hashes)
+                if all(len(np.intersect1d(prefix(*a, k, common.value, percent), prefix(*b, k, common.value, percent))) for k in range(1, ORDERS)):
+                    both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+                    good.append(100 * both >= percent * (len(a[0]) + len(b[0]) - both))
+                else:
+                    good.append(False)
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     def verify(pairs):
-        a = whole.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
-        b = whole.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
-        sizes = whole.select(F.col("node"), F.col("n"))
-        near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("an")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("bn")), "b")
-        near = near.filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b")
-        both = near.join(a, "a").join(b, "b").filter(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2"))
-        both = both.withColumn("i", F.size(F.array_intersect("at", "bt")))
-        return both.filter(f"100 * i >= {percent} * (an + bn - i)").select("a", "b")
+        near = pairs
+        for side in ("a", "b"):
+            near = near.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}n")), side)
+        near = near.filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
+        # Of two linked sets, the one whose prefix ends first misses at most its size less the least overlap of the other's tokens there.
+        least = f"({percent} * (an + bn) + {99 + percent}) div {100 + percent} - ({percent} * greatest(an, bn) + 99) div 100 + 1"
+        near = near.filter(f"shared IS NULL OR shared >= {least}").select("a", "b").distinct()
+        sides = [whole.select(F.col("node").alias(s), F.col("packed").alias(t)) for s, t in (("a", "x"), ("b", "y"))]
+        return near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
     roots = link(entries, 2, verify)
-    named = sets.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    # A component is named after its smallest id; sums per class come first, so a hot component combines partially.
-    smallest = sets.select("digest", "id").join(named, "digest").groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = named.join(smallest, "root").select("digest", "component_id")
-    firsts = signed.join(labels.withColumnRenamed("component_id", "id"), ["digest", "id"]).groupBy("id").agg(F.min("sig").alias("first_sig"))
-    out = signed.join(labels, "digest", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    out = out.join(firsts.withColumnRenamed("id", "component_id"), "component_id", "left")
-    keep = F.col("digest").isNull() | ((F.col("id") == F.col("component_id")) & (F.col("sig") == F.col("first_sig")))
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(-(2**63))))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "id", "sig", keep.alias("keep"))
+    named = sets.select("digest", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # A component is named after its smallest id.
+    smallest = named.groupBy("root").agg(F.min("id").alias("component"))
+    labels = stored(named.join(smallest, "root").select("digest", "component"), "labels")
+    light = signed.select("id", "sig", "n", "digest").join(labels, "digest", "left")
+    firsts = holders.join(labels.withColumnRenamed("component", "id"), ["digest", "id"]).groupBy("id").agg(F.min("sig").alias("first_sig"))
+    out = light.join(firsts.withColumnRenamed("id", "component"), "component", "left")
+    keep = F.col("digest").isNull() | ((F.col("id") == F.col("component")) & (F.col("sig") == F.col("first_sig")))
+    doc = F.nullif(F.col("id"), F.lit(NULL_ID))
+    component = F.nullif(F.coalesce("component", "id"), F.lit(NULL_ID))
+    return out.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), "id", "sig", keep.alias("keep"))
 
 
 SQL = r"""
@@ -176,12 +203,13 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The input rows without those that another row of their component stands for."""
-    names = docs.columns
-    packed = docs.select(*row_key(), F.struct(*[docs[c] for c in names]).alias("row"))
+    """The input rows without those that another row of their component stands for.
+
+    Rows of equal id and text are one document, of which one row is kept.
+    """
+    rows = docs.select(*row_key(), F.struct(*[docs[c] for c in docs.columns]).alias("row")).dropDuplicates(["id", "sig"])
     dropped = classes(docs).filter("NOT keep").select("id", "sig").distinct()
-    once = packed.withColumn("copy", F.lit(1))
-    return once.join(dropped, ["id", "sig"], "left_anti").select("row.*")
+    return rows.join(dropped, ["id", "sig"], "left_anti").select("row.*")
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:

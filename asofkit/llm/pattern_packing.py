@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.llm.shared import TokenBytes, stored
+from asofkit.llm.shared import stored, token_bytes
 
 CAPACITY = 1024
 END = 2
@@ -32,11 +32,11 @@ STEPS = 400
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) and, if asked for, the ids as little-endian 32-bit numbers."""
     def cut(batches):
-        token_bytes, closing = TokenBytes(tokenizer), np.array([end], "<u4").tobytes()
+        tokens, closing = token_bytes(tokenizer), np.array([end], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = token_bytes.ids(text) + closing
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1).to_pylist()), strict=True):
+                ids += closing
                 n = len(ids) // 4
                 head = (n - 1) % capacity + 1
                 starts = [0, *range(head, n, capacity)]

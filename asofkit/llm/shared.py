@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,42 +124,62 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 # Token ids of a public byte-level vocabulary.
-#: The split that comes before the merges of byte-level vocabularies (fixed value).
-SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Characters on whose classes all regular-expression libraries agree.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
+PLAIN = re.compile(r"[\n\x20-\x7e\xa1-\xac\xae-\u024f]*")
+#: White space that the vocabulary's split does not cut before its last character.
+RUNS = ("  ", " \n", "\n ", "\n\n")
+FIRST = "\0"
 
 
 class TokenBytes(dict):
     """Little-endian 32-bit ids of a text.
 
-    The vocabulary merges inside the pieces of its split only, so each distinct piece is
-    encoded by the tokenizer once and remembered (at most ``most`` pieces). A text with
-    characters outside ``PLAIN`` is encoded whole.
+    The vocabulary never merges across its split, and that split cuts before a single space and around a
+    single line end. So a text without longer white space is the sum of its words with their leading
+    space (or line end, or neither for the first), and each distinct one is encoded by the tokenizer once
+    and remembered, at most ``most`` of them. Other texts, and texts with characters outside
+    ``PLAIN``, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.most, self.tokenizer = most, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
+    def ids(self, texts: list[str | None], step: int = 100):
+        """The ids of each text, in order."""
+        for k in range(0, len(texts), step):
+            yield from self._ids([t or "" for t in texts[k : k + step]])
+
+    def _ids(self, texts: list[str]):
+        cut = [_words(t) for t in texts]
+        if len(self) > self.most:
             self.clear()
-        value = self[piece] = self.whole(piece)
-        return value
+        new = list({w for words in cut if words for w in words if w not in self})
+        self.update(zip(new, self.encoded([w[1:] if w[:1] == FIRST else w if w[:1] == "\n" else " " + w for w in new]), strict=True))
+        whole = iter(self.encoded([t for t, words in zip(texts, cut, strict=True) if words is None]))
+        for words in cut:
+            yield next(whole) if words is None else b"".join(map(self.__getitem__, words))
+
+
+def _words(text: str) -> list[str] | None:
+    if not PLAIN.fullmatch(text) or any(run in text for run in RUNS):
+        return None
+    words = text.replace("\n", " \n").split(" ")
+    words[0] = FIRST + words[0]
+    return words
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not PLAIN.fullmatch(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, SPLIT.findall(text)))
+
+@functools.cache
+def token_bytes(path: str) -> TokenBytes:
+    """One per Python worker, kept for its next tasks."""
+    return TokenBytes(path)
 
 
 # Components.
@@ -200,48 +221,76 @@ def link(entries, refine, verify, dense: int = 64) -> DataFrame:
     ``entries(level, kept)`` gives (key, node, idx, prb) with one row per key and node: level 0
     of all nodes, deeper ones of the (key, node) rows in ``kept``, with narrower keys; ``refine`` is
     the number of deeper levels. A link needs a key that one node has as idx and the other
-    as prb. ``verify`` keeps the true links of pairs (a, b).
+    as prb. ``verify`` keeps the true links of pairs (a, b, shared); ``shared`` is null, or the pair shares at most so many keys of level 0.
 
-    No key's members are paired while it is large. First each node is compared with the
-    smallest member of one of its keys and with the largest of one; keys whose members are linked by then are
-    done. Only keys of at most ``dense`` nodes are paired, and only across components. Larger
-    ones get narrower keys on the next level.
+    A key's members are paired only while that makes at most ``dense`` pairs for each of them, counting pairs of
+    different components only. Larger keys first compare each member with the smallest and the largest one, then
+    with two others picked by hash, which leaves a group of similar members in one component. What
+    is still open gets narrower keys on the next level.
     """
     links, roots = None, None
     level, kept = 0, None
+
+    def joined(paired, stars=None):
+        nonlocal links, roots
+        pairs = paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
+        if stars is not None:
+            unknown = _ordered(stars).withColumn("shared", F.lit(None).cast("long"))
+            pairs = pairs.unionByName(unknown)
+        found = stored(verify(pairs), "links")
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = stored(components(links), "roots")
+
     while True:
         rows = entries(level, kept)
         both = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"), F.max("idx").alias("i"), F.max("prb").alias("p"))
         shared = both.filter("lo < hi AND i AND p").drop("i", "p")
         kept = stored(rows.join(shared, "key"), "shared")
         near = _across(kept, roots)
-        leads = near.groupBy("node").agg(F.min(F.when(F.col("node") != F.col("lo"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("node") != F.col("hi"), F.col("hi"))).alias("hi"))
-        pairs = leads.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array_compact(F.array("lo", "hi")))).alias("b"))
-        found = stored(verify(_ordered(pairs)), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = stored(components(links), "roots")
-        near = _across(kept, roots)
-        last = level == refine
-        small = near if last else near.filter(F.col("n") <= dense)
-        a = small.filter("idx").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-        b = small.filter("prb").select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs = a.join(b, "key").filter("a <> b AND ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(verify(pairs), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = stored(components(links), "roots")
-        if last:
+        if level == refine:
+            joined(_pairs(near, near.limit(0), False))
+            return roots
+        many = near.filter(F.col("open") > dense)
+        joined(_pairs(near.filter(F.col("open") <= dense), many, level == 0), many.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")))
+        large = stored(many.select("key", "node", "idx", "prb", "lo", "hi", "n"), "large")
+        if large.isEmpty():
             return roots
-        kept = stored(_across(kept, roots).filter(F.col("n") > dense).select("key", "node"), "large")
+        near = _across(large, roots)
+        many = near.filter(F.col("open") > dense)
+        picks = many.groupBy("key").agg(*[F.min(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (1, 2)])
+        picked = many.join(picks, "key").filter((F.xxhash64("node", F.lit(1)) == F.col("m1")) | (F.xxhash64("node", F.lit(2)) == F.col("m2")))
+        stars = many.select("key", F.col("node").alias("a")).join(picked.select("key", F.col("node").alias("b")), "key").select("a", "b")
+        joined(_pairs(near.filter(F.col("open") <= dense), many, False), stars)
+        kept = stored(_across(large, roots).filter(F.col("open") > dense).select("key", "node").distinct(), "large")
         if kept.isEmpty():
             return roots
         level += 1
 
 
+def _pairs(rows: DataFrame, rest: DataFrame, known: bool) -> DataFrame:
+    """Pairs (a, b, shared) of different components within a key, one as idx, the other as prb.
+
+    Where known, shared is the number of keys in which the pair was found, and those of ``rest`` that both could have.
+    """
+    a = rows.filter("idx").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = rows.filter("prb").select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("idx").alias("ib"))
+    each = a.join(b, "key").filter("a <> b AND ra <> rb AND (NOT ib OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    if not known:
+        return pairs.withColumn("shared", F.lit(None).cast("long"))
+    more = rest.groupBy("node").agg(F.count(F.lit(1)).alias("more"))
+    for side in ("a", "b"):
+        pairs = pairs.join(more.select(F.col("node").alias(side), F.col("more").alias(f"more_{side}")), side, "left")
+    slack = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    return pairs.select("a", "b", (F.col("shared") + slack).alias("shared"))
+
+
 def _across(kept: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The rows of keys whose nodes are not yet in one component."""
-    if roots is None:
-        return kept.withColumn("root", F.col("node"))
-    rows = kept.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
-    return rows.join(open_keys, "key", "left_semi")
+    """The rows of keys whose nodes are not in one component, with ``open``: pairs across components for each node."""
+    rows = kept.withColumn("root", F.col("node"))
+    if roots is not None:
+        rows = kept.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    spread = sizes.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2 / F.sum("m")).alias("open"))
+    return rows.join(spread.filter("open > 0"), "key")
