@@ -168,10 +168,11 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     named = sets.select("digest", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A component is named after its smallest id.
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))
-    labels = stored(named.join(smallest, "root").select("digest", "component"), "labels")
+    labels = stored(named.join(smallest, "root").select("digest", "root", "component"), "labels")
     light = signed.select("id", "sig", "n", "digest").join(labels, "digest", "left")
-    firsts = holders.join(labels.withColumnRenamed("component", "id"), ["digest", "id"]).groupBy("id").agg(F.min("sig").alias("first_sig"))
-    out = light.join(firsts.withColumnRenamed("id", "component"), "component", "left")
+    # By root: an id that repeats can name two components.
+    firsts = holders.join(labels, "digest").filter("id = component").groupBy("root").agg(F.min("sig").alias("first_sig"))
+    out = light.join(firsts, "root", "left")
     keep = F.col("digest").isNull() | ((F.col("id") == F.col("component")) & (F.col("sig") == F.col("first_sig")))
     doc = F.nullif(F.col("id"), F.lit(NULL_ID))
     component = F.nullif(F.coalesce("component", "id"), F.lit(NULL_ID))

@@ -118,9 +118,10 @@ def plan(counts: np.ndarray, capacity: int) -> dict[int, tuple]:
     made = patterns(lengths, capacity) if len(lengths) else np.zeros((0, 3), int)
     if len(made):
         x = fit(made, left.astype(float))
-        for i in np.argsort(-x, kind="stable"):
+        # Longest pieces first, whose partners are few; their likeliest patterns first.
+        for i in np.lexsort((-x, -made[:, 0])):
             if x[i] < 1e-3:
-                break
+                continue
             parts = [int(n) for n in made[i] if n]
             most = min(left[n] // parts.count(n) for n in parts)
             number = int(min(most, np.ceil(x[i])))

@@ -8,7 +8,7 @@ manifest is, and readers open only what manifests list.
 
 Of rows with equal payloads of ``REVISIT_FROM`` bytes or more, those with the largest page_id are response records
 and the others revisit it, without a payload; smaller payloads are always responses. A null html is an empty
-payload. A null page_id comes first and is never the largest. Rows that repeat an id and payload become records of their
+payload, a null url an empty one. A null page_id comes first and is never the largest. Rows that repeat an id and payload become records of their
 own. An empty table makes no file and gives no rows. Extra columns are not read.
 """
 
@@ -49,7 +49,8 @@ def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     if not n:
         return rows.withColumn("shard", F.lit(0))
     width = -(-(high - low + 1) // CELLS)
-    cell = F.floor((F.col("id").cast("decimal(38,0)") - F.lit(str(low)).cast("decimal(38,0)")) / width).cast("int")
+    behind = F.col("id").cast("decimal(38,0)") - F.lit(str(low)).cast("decimal(38,0)")
+    cell = F.when(F.col("id") > LEAST, F.floor(behind / width).cast("int"))
     counts = np.zeros(CELLS, np.int64)
     for r in ids.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["cell"]] = r["n"]
