@@ -160,7 +160,13 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         near = near.filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
         # Of two linked sets, the one whose prefix ends first misses at most its size less the least overlap of the other's tokens there.
         least = f"({percent} * (an + bn) + {99 + percent}) div {100 + percent} - ({percent} * greatest(an, bn) + 99) div 100 + 1"
-        near = near.filter(f"shared IS NULL OR shared >= {least}").select("a", "b").distinct()
+        known = near.filter(f"shared >= {least}").select("a", "b")
+        # Other pairs are counted on their prefixes before any text is fetched.
+        unknown = near.filter("shared IS NULL").drop("shared").distinct()
+        for side in ("a", "b"):
+            unknown = unknown.join(sets.select(F.col("node").alias(side), F.col("p0").alias(f"{side}0")), side)
+        unknown = unknown.withColumn("shared", F.size(F.array_intersect("a0", "b0"))).filter(f"shared >= {least}").select("a", "b")
+        near = known.unionByName(unknown).distinct()
         sides = [whole.select(F.col("node").alias(s), F.col("packed").alias(t)) for s, t in (("a", "x"), ("b", "y"))]
         return near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
