@@ -127,11 +127,16 @@ def _(t):
 
 
 def _folder(t, name):
-    """A fresh folder: the cluster's shared checkpoint folder, or a local one where none is set."""
+    """A fresh folder in the cluster's shared checkpoint folder; a local one only for a local master without one."""
     import tempfile
     import uuid
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="asofkit-")
+    context = t.spark.sparkContext
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = tempfile.mkdtemp(prefix="asofkit-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
