@@ -20,7 +20,9 @@ Input columns that clash with result columns never meet them.
 
 from __future__ import annotations
 
+import functools
 import math
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +30,45 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.shared import NULL_ID, WordHashes, link, mixed, packed_texts, row_key, stored, unpacker, window_hashes
+from asofkit.llm.shared import NULL_ID, link, mixed, packed_texts, row_key, stored, unpacker, window_hashes
 
 COMMON = 1 / 256
 ORDERS = 3
 CLASS = 1.5  # ratio of the sizes in a size class
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+CODES = mixed(np.arange(256, dtype=np.uint64))
+WEIGHTS = mixed(np.arange(1 << 12, dtype=np.uint64), 1) | np.uint64(1)
 
 
-def shingle_set(text: bytes, width: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(text: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and its bytes: random codes of its bytes, summed with weights by their place in it.
+
+    Words are hashed together, about ``block`` bytes at a time.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    solid = np.zeros(len(raw) + 2, bool)
+    solid[1:-1] = ~SPACE[raw]
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    lengths = edges[1::2] - edges[::2]
+    ends = np.cumsum(lengths)
+    letters, out = raw[solid[1:-1]], []
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(letters), block)))
+    for i, j in pairwise([*cuts, len(lengths)]):
+        first = ends[i:j] - lengths[i:j]
+        place = np.arange(first[0], ends[j - 1]) - np.repeat(first, lengths[i:j])
+        weights = WEIGHTS[place] if lengths[i:j].max() <= len(WEIGHTS) else mixed(place.astype(np.uint64), 1) | np.uint64(1)
+        out.append(np.add.reduceat(CODES[letters[first[0] : ends[j - 1]]] * weights, first - first[0]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), lengths
+
+
+def shingle_set(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 64-bit tokens of the set, and the bytes of each one's words."""
-    words = text.lower().split()
-    if not words:
+    words, lengths = word_hashes(text.lower())
+    if not len(words):
         return np.zeros(0, np.uint64), np.zeros(0, int)
     width = min(width, len(words))
-    tokens, at = np.unique(window_hashes(hashes.of(words), width), return_index=True)
-    ends = np.cumsum([0, *map(len, words)])
+    tokens, at = np.unique(window_hashes(words, width), return_index=True)
+    ends = np.append(0, np.cumsum(lengths))
     return tokens, (ends[width:] - ends[:-width])[at]
 
 
@@ -72,9 +98,8 @@ def common_tokens(texts: DataFrame, width: int) -> np.ndarray:
     that hold most of it.
     """
     def count(batches):
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, width, hashes)[0] for t in batch.column(0).to_pylist()]
+            sets = [shingle_set(t, width)[0] for t in batch.column(0).to_pylist()]
             tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             most = n >= max(3, COMMON / 2 * len(sets))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(tokens[most].view("i8"), 0)), pa.array(np.append(n[most], len(sets)).astype("i8")), pa.array(np.append(np.zeros(most.sum(), bool), True))], ["token", "n", "total"])
@@ -97,9 +122,8 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(texts, width))
 
     def sign(batches):
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, width, hashes) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
             digests = [xxhash.xxh3_128_digest(t.tobytes()) if len(t) else None for t, _ in sets]
             first = _lists([prefix(t, s, 0, common.value, percent) for t, s in sets])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sig"), pa.array([len(t) for t, _ in sets], pa.int64()), pa.array(digests, pa.binary()), first], ["id", "sig", "n", "digest", "p0"])
@@ -116,9 +140,10 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     # where a set of the least size it can link with would lie below, in the one below. A key is a token and a size class.
     size = F.floor(F.log("n") / math.log(CLASS))
     below = F.floor(F.log(F.col("n") * (percent - 1) / 100) / math.log(CLASS))
-    tokens = sets.select(F.explode("p0").alias("token"), "node", size.alias("class"), below.alias("below"))
-    looks = F.filter(F.array(F.struct(F.col("class").alias("c"), F.lit(True).alias("idx")), F.struct(F.col("below").alias("c"), F.lit(False).alias("idx"))), lambda x: x["idx"] | (x["c"] < F.col("class")))
-    keys = tokens.select("token", "node", F.explode(looks).alias("l")).select(F.xxhash64("token", "l.c").alias("key"), "node", "l.idx", F.lit(True).alias("prb"))
+    own = F.struct(size.alias("c"), F.lit(True).alias("idx"))
+    looks = F.when(below < size, F.array(own, F.struct(below.alias("c"), F.lit(False).alias("idx")))).otherwise(F.array(own))
+    tokens = sets.select("p0", "node", looks.alias("looks")).select(F.explode("p0").alias("token"), "node", "looks")
+    keys = tokens.select("token", "node", F.explode("looks").alias("l")).select(F.xxhash64("token", "l.c").alias("key"), "node", "l.idx", F.lit(True).alias("prb"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("i")).filter("n > 1 AND i").select("key")
     shared = stored(keys.join(shared, "key"), "keys")
     rivals = sets.join(shared.select("node").distinct(), "node").select("node", "digest", "id").join(holders, ["digest", "id"]).select("node", "id", "sig")
@@ -127,9 +152,9 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 
     def narrow(level):
         def rows(batches):
-            hashes, text_of = WordHashes(), unpacker()
+            text_of = unpacker()
             for batch in batches:
-                sets = [shingle_set(text_of(x), width, hashes) for x in batch.column("packed").to_pylist()]
+                sets = [shingle_set(text_of(x), width) for x in batch.column("packed").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([prefix(t, s, level, common.value, percent) for t, s in sets])], ["node", "tokens"])
 
         return rows
@@ -142,14 +167,20 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         return rows.withColumns({"idx": F.lit(True), "prb": F.lit(True)})
 
     def compare(batches):
-        hashes, text_of = WordHashes(), unpacker()
+        text_of = unpacker()
+
+        @functools.lru_cache(8)  # pairs of one document come together
+        def known(packed):
+            found = shingle_set(text_of(packed), width)
+            return found[0], [prefix(*found, k, common.value, percent) for k in range(1, ORDERS)]
+
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = shingle_set(text_of(x), width, hashes), shingle_set(text_of(y), width, hashes)
-                if all(len(np.intersect1d(prefix(*a, k, common.value, percent), prefix(*b, k, common.value, percent))) for k in range(1, ORDERS)):
-                    both = len(np.intersect1d(a[0], b[0], assume_unique=True))
-                    good.append(100 * both >= percent * (len(a[0]) + len(b[0]) - both))
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                (a, firsts), (b, others) = known(x.as_py()), known(y.as_py())
+                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(firsts, others, strict=True)):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    good.append(100 * both >= percent * (len(a) + len(b) - both))
                 else:
                     good.append(False)
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
