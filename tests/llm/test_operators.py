@@ -104,6 +104,21 @@ def brute_classes(rows, percent=85, width=4):
     return sets, group
 
 
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(3)
+    long = b"q" * 9000
+    texts = [bytes(rng.choice(b"ab \t\n\x0b\x1cxy\xc3\xa9\x00") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    seen = {}
+    for text in [*texts, b"", b" ", long + b" " + long[:-1] + b"r z " + long]:
+        for block in (1, 7, 1 << 20):
+            hashes, lengths = ngram_join.word_hashes(text, block)
+            words = text.split()
+            assert lengths.tolist() == [len(w) for w in words]
+            for word, value in zip(words, hashes.tolist(), strict=True):
+                assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_ngram_join(spark, docs, empty):
     rows = corpus()
     sets, group = brute_classes(rows)
