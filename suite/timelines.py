@@ -214,7 +214,7 @@ def _(t):
 
 
 @query("A57_label_state", f"""WITH {HISTORY}, {ORDER_REQ}, a AS (SELECT *, row_number() OVER w AS n, avg(y) OVER (w ROWS UNBOUNDED PRECEDING) AS rate, avg(y) OVER (w ROWS 2 PRECEDING) AS m3, avg(y) OVER (w ROWS 4 PRECEDING) AS m5,
-   list(y) OVER (w ROWS 59 PRECEDING) AS ys, lag(y) OVER w AS py FROM hist WINDOW w AS (PARTITION BY entity ORDER BY available_at, ts)),
+   list(y) OVER (w ROWS UNBOUNDED PRECEDING) AS ys, lag(y) OVER w AS py FROM hist WINDOW w AS (PARTITION BY entity ORDER BY available_at, ts)),
   b AS (SELECT *, list_reduce(ys, lambda p, x: (p+x)/2) AS ewma, last_value(CASE WHEN py IS DISTINCT FROM y THEN n END IGNORE NULLS) OVER w AS st, last_value(CASE WHEN y=1 THEN available_at END IGNORE NULLS) OVER w AS lp FROM a WINDOW w AS (PARTITION BY entity ORDER BY available_at, ts ROWS UNBOUNDED PRECEDING)),
   c AS (SELECT r.cutoff, b.*, row_number() OVER (PARTITION BY r.entity, r.cutoff ORDER BY available_at DESC, ts DESC) AS rn FROM requests r JOIN b ON b.entity=r.entity AND b.available_at<r.cutoff)
   SELECT r.entity, r.cutoff, {R('y')} AS last, {N('coalesce(n,0)')} AS labels, {R('rate')} AS rate, {R('m3')} AS mean3, {R('m5')} AS mean5, {R('ewma')} AS ewma, {N('n-st+1')} AS run_length, {R('(n-st+1)*(2*y-1)')} AS signed_run,

@@ -227,3 +227,16 @@ def test_fact_paths_take_turns():
     assert kept == [(("a", "r1"),), (("b", "r"),), (("a", "r2"),)] and len(omitted) == 2
     assert pl.balanced_pairs(4, 3) == [(0, 1), (2, 3), (0, 2)]
     assert pl.unrolled("root", cat.relationships, 2, 2)
+
+
+def test_moving_average_of_labels_covers_all_of_them(spark):
+    start = dt.datetime(2000, 1, 1)
+    labels = {1: [1.0] + [0.0] * 69, 2: [float(i % 3 == 0) for i in range(1100)], 3: [1.0]}
+    rows = [(e, *[start + dt.timedelta(hours=i)] * 2, y) for e, ys in labels.items() for i, y in enumerate(ys)]
+    history = spark.createDataFrame(rows, "entity long, ts timestamp, available_at timestamp, y double")
+    asked = Requests.every(spark.createDataFrame([(e,) for e in labels], "k long"), "k", ["2005-01-01"])
+    for row in tl.label_state(asked, history).collect():
+        expected = labels[row.entity][0]
+        for y in labels[row.entity][1:]:
+            expected = (expected + y) / 2
+        assert abs(row.ewma - expected) <= 1e-12 * expected
