@@ -225,8 +225,8 @@ def link(entries, refine, verify, dense: int = 64) -> DataFrame:
 
     A key's members are paired only while that makes at most ``dense`` pairs for each of them, counting pairs of
     different components only. Larger keys first compare each member with the smallest and the largest one, then
-    with two others picked by hash, which leaves a group of similar members in one component. What
-    is still open gets narrower keys on the next level.
+    with two others picked by hash, which leaves a group of similar members in one component. Those with
+    members in different components after that get narrower keys on the next level, however few they are.
     """
     links, roots = None, None
     level, kept = 0, None
@@ -262,7 +262,7 @@ def link(entries, refine, verify, dense: int = 64) -> DataFrame:
         picked = many.join(picks, "key").filter((F.xxhash64("node", F.lit(1)) == F.col("m1")) | (F.xxhash64("node", F.lit(2)) == F.col("m2")))
         stars = many.select("key", F.col("node").alias("a")).join(picked.select("key", F.col("node").alias("b")), "key").select("a", "b")
         joined(_pairs(near.filter(F.col("open") <= dense), many, False), stars)
-        kept = stored(_across(large, roots).filter(F.col("open") > dense).select("key", "node").distinct(), "large")
+        kept = stored(_across(many.select("key", "node"), roots).select("key", "node").distinct(), "large")
         if kept.isEmpty():
             return roots
         level += 1

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from asofkit.llm import line_join, mixing, ngram_join, pattern_packing, progressive_jpeg, registry, rule_ledger, separator_scan, snapshots, super_kmers, warc
-from asofkit.llm.shared import NULL_ID, components, new_folder
+from asofkit.llm.shared import NULL_ID, components, link, new_folder
 from tests.conftest import DATA
 from tools.compare import TABLES, rows_of
 
@@ -139,6 +139,25 @@ def test_components(spark):
     assert {r.node: r.root for r in found} == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_link_of_large_keys(spark):
+    rng = random.Random(4)
+    names = rng.sample(range(10_000), 1_200)
+    # (key, nodes): all nodes of a group are linked, others are not. Stars alone bring most of these keys from above dense to below.
+    groups = [(key, [names.pop() for _ in range(size)]) for key in range(40) for size in (8, 6, 2, 2, 2)]
+    nodes = spark.createDataFrame([(key, node, g) for g, (key, held) in enumerate(groups) for node in held], "key long, node long, g long").cache()
+
+    def entries(level, kept):
+        rows = nodes.select("key", "node") if not level else kept.join(nodes.select("node", "g"), "node").selectExpr("xxhash64(key, g) AS key", "node")
+        return rows.selectExpr("key", "node", "true AS idx", "true AS prb")
+
+    def verify(pairs):
+        a, b = (nodes.selectExpr(f"node AS {s}", f"g AS g{s}") for s in "ab")
+        return pairs.join(a, "a").join(b, "b").filter("ga = gb").select("a", "b").distinct()
+
+    found = {r.node: r.root for r in link(entries, 1, verify, dense=8).collect()}
+    assert found == {node: min(held) for _, held in groups for node in held}
+
+
 def test_warc(spark):
     same = "<p>" + "same" * 400
     rows = [(1, "u", same, 1), (5, None, same, 1), (3, "v", same, 1), (2, "w", None, 1), (4, "x", "", 1), (6, 'q"\r\nx', "short", 1), (7, "y", "short", 1), (5, None, same, 1), (None, "n", same, 1), (8, "z", "ü\u0000" * 900, 1)]
