@@ -241,15 +241,16 @@ def query(spark, folder: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """The input rows without those that another row of their component stands for.
 
     Rows of equal id and text are one document, of which one row is kept.
     """
     rows = docs.select(*row_key(), F.struct(*[docs[c] for c in docs.columns]).alias("row")).dropDuplicates(["id", "sig"])
-    dropped = classes(docs).filter("NOT keep").select("id", "sig").distinct()
+    dropped = classes(docs, width, percent).filter("NOT keep").select("id", "sig").distinct()
     return rows.join(dropped, ["id", "sig"], "left_anti").select("row.*")
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    return keep_one(docs)
+    """One document of each component under five words and similarity 0.8; the query has four words and 0.85."""
+    return keep_one(docs, width=5, percent=80)

@@ -133,6 +133,21 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.classes(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
+def test_near_duplicates_stage(spark):
+    words = iter(range(100_000))
+    texts = []
+    for n, changed in ((49, (20,)), (50, (25,)), (52, (30,)), (94, (30, 60)), (101, (20, 70)), (40, (20,)), (60, (30,)), (60, (20, 40))):
+        base = [f"w{next(words)}" for _ in range(n)]
+        texts += [" ".join(base), " ".join("changed" if i in changed else w for i, w in enumerate(base))]
+    rows = [(i, text) for i, text in enumerate([*texts, texts[0], "one two", "one two", "", None])]
+    sets, group = brute_classes(rows, 80, 5)
+    assert group != brute_classes(rows)[1]
+    first = {}
+    expected = [r[0] for r, s, g in zip(rows, sets, group, strict=True) if not s or first.setdefault(g, r[0]) == r[0]]
+    found = ngram_join.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in found.collect()) == expected
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (102, 101)]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
