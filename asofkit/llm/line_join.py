@@ -2,8 +2,9 @@
 
 A line is compared without its outer ASCII white space. Lines of ``SHORTEST`` characters or more link when
 their edit distance (characters) is at most ``tau``; a class is a component of links. A line goes if its class has an
-earlier one: smaller document, then smaller place. Shorter lines stay, since one edit would make another
-word of them. Lines end at ``\\n`` only.
+earlier one: smaller document, then smaller place. Shorter lines link with equal ones only, since one edit would make
+another word of them; the query and the stage take them from one character on, ``repeats`` from ``least``.
+Lines without characters stay. Lines end at ``\\n`` only.
 
 Each line is cut into tau + 1 segments, one of which any line within tau edits holds
 unchanged. Segments are indexed with the line's length; other lines probe with the substrings that
@@ -238,10 +239,13 @@ def line_classes(docs: DataFrame, seen: DataFrame, tau: int = TAU, shortest: int
     return link(entries, 1, verify)
 
 
-def repeats(docs: DataFrame, tau: int = TAU, shortest: int = SHORTEST) -> DataFrame:
-    """(id, sig, removed): places of the lines of each document that an earlier one stands for."""
+def repeats(docs: DataFrame, tau: int = TAU, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
+    """(id, sig, removed): places of the lines of each document that an earlier one stands for.
+
+    Lines of ``least`` to ``shortest`` characters have only equal ones; without ``least`` they are left out.
+    """
     docs = docs.select("doc_id", "text")
-    seen = stored(occurrences(docs, shortest), "lines-seen")
+    seen = stored(occurrences(docs, shortest if least is None else min(least, shortest)), "lines-seen")
     roots = line_classes(docs, seen, tau, shortest)
     by_node = seen.groupBy("node").agg(F.min(F.struct("id", "sig", "pos")).alias("at"), F.count(F.lit(1)).alias("n"))
     classed = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -253,7 +257,7 @@ def repeats(docs: DataFrame, tau: int = TAU, shortest: int = SHORTEST) -> DataFr
 
 def query(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    removed = repeats(docs)
+    removed = repeats(docs, least=1)
     rows = docs.select("doc_id", *row_key(), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     rows = rows.withColumn("n_lines", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")))
     out = rows.join(removed, ["id", "sig"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
@@ -263,7 +267,7 @@ def query(spark, folder: str) -> DataFrame:
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without their repeated lines; one whose lines with a word have all gone is dropped."""
     names = docs.columns
-    rows = docs.select(*row_key(), F.struct(*[docs[c] for c in names]).alias("row")).join(repeats(docs), ["id", "sig"], "left")
+    rows = docs.select(*row_key(), F.struct(*[docs[c] for c in names]).alias("row")).join(repeats(docs, least=1), ["id", "sig"], "left")
     left = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
     out = rows.withColumn("left", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left))
     out = out.filter(F.col("removed").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))

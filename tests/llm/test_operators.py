@@ -391,6 +391,17 @@ def test_line_join(spark, empty):
     assert line_join.stage(spark, empty, "").count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    long = "a line of more than twenty-four characters"
+    texts = ["yes\nno\n\n  yes", f"no \nyep\n\n{long}", f"maybe\n{long}s\nyes", "no", None, "", "\n"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_removed, r.removed) for r in line_join.query(spark, str(tmp_path)).collect()}
+    assert found == {0: (1, [3]), 1: (1, [0]), 2: (2, [1, 2]), 3: (1, [0]), 4: (0, []), 5: (0, []), 6: (0, [])}
+    left = {r.doc_id: r.text for r in line_join.stage(spark, frame, "").collect()}
+    assert left == {0: "yes\nno\n", 1: f"yep\n\n{long}", 2: "maybe", 4: None, 5: "", 6: "\n"}
+
+
 def test_jpeg_round_trip(spark, docs, empty):
     found = progressive_jpeg.digests(progressive_jpeg.media(docs)).collect()
     expected = []
