@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from asofkit.llm import line_join, mixing, ngram_join, pair_counts, pattern_packing, progressive_jpeg, rule_ledger, separator_scan, snapshots, super_kmers, warc
+from asofkit.llm import line_join, mixing, ngram_join, pair_counts, pattern_packing, phrases, progressive_jpeg, rule_ledger, separator_scan, snapshots, super_kmers, warc
 
 QUERIES = {
     "op1_separator_scan": separator_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_join": line_join.query,
     "op10_progressive_jpeg": progressive_jpeg.query,
     "op12_pair_counts": pair_counts.query,
+    "op13_phrases": phrases.query,
 }
 ORACLES = {
     "op2_ngram_join": ngram_join.SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_rule_ledger": rule_ledger.SQL,
     "op7_super_kmers": super_kmers.SQL,
     "op8_snapshots": snapshots.SQL,
+    "op13_phrases": phrases.SQL,
 }
