@@ -40,9 +40,10 @@ from asofkit.llm.shared import stored
 LEAST = 100
 TOP = 2000
 LONGEST = 5
-FILTER_BITS = 24  # a filter is 2 MB, whatever the corpus
+FILTER_BITS = 23  # a filter is 1 MB, whatever the corpus
 WAVES = (1 / 16, 1 / 4, 1.0)  # share of the occurrences of frequent words that first words up to each wave hold
 BLOCK_WORDS = 1 << 20
+SLICE_WORDS = 1 << 17  # words of a block that a scan looks at together
 BREAK = 0
 
 # Fixed values of the contract: bytes that end a piece become line ends, tabs become spaces.
@@ -101,7 +102,8 @@ def encoded(docs: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
 
         sizes = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row in _each(batch):
+                lang, text = row["lang"], row["text"]
                 vocabulary, parts = held.setdefault(lang, (Vocabulary(), []))
                 ids = vocabulary.encode(text)
                 parts += [ids, np.zeros(1, np.int32)]
@@ -128,6 +130,12 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _each(batch):
+    """The rows of a batch one by one: a block is large."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _rows(names, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view("i8")) for c in columns], list(names))
 
@@ -136,7 +144,7 @@ def word_counts(blocks: DataFrame, least: int) -> DataFrame:
     """(h, g, a) of words found at least so often."""
     def counts(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 h = _unpack(row["vocabulary"], np.uint64)
                 yield _rows(("h", "g", "a"), [h, np.full(len(h), row["g"], np.int64), _unpack(row["counts"], np.uint32).astype(np.int64)])
 
@@ -165,18 +173,22 @@ class Filter:
         return self.set[hashes & self.mask]
 
 
-def _phrases(row: dict, known: Filter):
-    """The block's word hashes, BREAK for words that are not frequent, with margins; the hashes of runs of 1, 2, ... words."""
+def _phrases(row: dict, known: Filter, size: int):
+    """Slice by slice the block's word hashes with margins, BREAK for words that are not frequent, and the hashes of runs of 1 to ``size`` words."""
     words = np.append(np.uint64(BREAK), _unpack(row["vocabulary"], np.uint64))
     words[~known(words)] = BREAK
+    ids = _unpack(row["ids"], np.int32)
     margin = np.full(LONGEST + 1, BREAK, np.uint64)
-    h = np.concatenate([margin, words[_unpack(row["ids"], np.int32)], margin])
-    n = len(h) - LONGEST - 1
-    runs, whole = [h[:n]], [h[:n] != BREAK]
-    for k in range(1, LONGEST):
-        runs.append(joined(runs[-1], h[k : n + k]))
-        whole.append(whole[-1] & (h[k : n + k] != BREAK))
-    return h, runs, whole
+    for start in range(0, len(ids), SLICE_WORDS):
+        n = min(SLICE_WORDS, len(ids) - start)
+        # h[1:] begins at the slice; one word before it and some behind it are seen too.
+        before = words[ids[start - 1 : start]] if start else margin[:1]
+        h = np.concatenate([before, words[ids[start : start + n + LONGEST]], margin])
+        runs, whole = [h[1 : n + 1]], [h[1 : n + 1] != BREAK]
+        for k in range(1, size):
+            runs.append(joined(runs[-1], h[k + 1 : n + k + 1]))
+            whole.append(whole[-1] & (h[k + 1 : n + k + 1] != BREAK))
+        yield h, runs, whole
 
 
 GROWN = ("h", "p", "last", "a", "left_low", "left_high", "right_low", "right_high")
@@ -186,8 +198,7 @@ def _grown(batches, known: bytes, front: bytes, bits: int, size: int):
     """Extensions of the frontier's phrases of ``size`` words: count, and the range of neighbours on both sides."""
     known, front = Filter(known, bits), Filter(front, bits)
     for batch in batches:
-        for row in batch.to_pylist():
-            h, runs, whole = _phrases(row, known)
+        for h, runs, whole in (p for row in _each(batch) for p in _phrases(row, known, size + 1)):
             at = np.flatnonzero(whole[size])
             at = at[front(runs[size - 1][at])]
             if not len(at):
@@ -196,10 +207,10 @@ def _grown(batches, known: bytes, front: bytes, bits: int, size: int):
             order = np.argsort(keys)
             keys, at = keys[order], at[order]
             edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            left, right = h[at - 1].view("i8"), h[at + size + 1].view("i8")
+            left, right = h[at].view("i8"), h[at + size + 2].view("i8")
             first = at[edges]
             yield _rows(GROWN, [
-                keys[edges], runs[size - 1][first], h[first + size], np.diff(np.append(edges, len(at))),
+                keys[edges], runs[size - 1][first], h[first + size + 1], np.diff(np.append(edges, len(at))),
                 np.minimum.reduceat(left, edges), np.maximum.reduceat(left, edges), np.minimum.reduceat(right, edges), np.maximum.reduceat(right, edges),
             ])
 
@@ -208,8 +219,7 @@ def _counted(batches, known: bytes, wanted: bytes, bits: int):
     """Counts of phrases of 2 and more words, but not of the longest ones, that the filter lets through."""
     known, wanted = Filter(known, bits), Filter(wanted, bits)
     for batch in batches:
-        for row in batch.to_pylist():
-            _, runs, whole = _phrases(row, known)
+        for _, runs, whole in (p for row in _each(batch) for p in _phrases(row, known, LONGEST - 1)):
             for size in range(2, LONGEST):
                 keys = runs[size - 1][whole[size - 1]]
                 keys, counts = np.unique(keys[wanted(keys)], return_counts=True)
@@ -347,7 +357,7 @@ def _spelled(phrases: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
 
         some, spread = Filter(packed, bits), zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 h = _unpack(row["vocabulary"], np.uint64)
                 at = np.flatnonzero(some(h))
                 words = spread.decompress(row["words"]).split(b"\n") if len(at) else []
