@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from asofkit.llm import line_join, mixing, ngram_join, pair_counts, pattern_packing, phrases, progressive_jpeg, rule_ledger, separator_scan, snapshots, super_kmers, warc
+from asofkit.llm import block_labels, line_join, mixing, ngram_join, pair_counts, pattern_packing, phrases, progressive_jpeg, rule_ledger, separator_scan, snapshots, super_kmers, warc
 
 QUERIES = {
     "op1_separator_scan": separator_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_snapshots": snapshots.query,
     "op9_line_join": line_join.query,
     "op10_progressive_jpeg": progressive_jpeg.query,
+    "op11_block_labels": block_labels.query,
     "op12_pair_counts": pair_counts.query,
     "op13_phrases": phrases.query,
 }

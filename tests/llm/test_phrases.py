@@ -79,3 +79,23 @@ def test_driver_table(spark):
     out = phrases.query(spark, DATA)
     assert sorted(names) == sorted(out.columns)
     assert rows_of(out.columns, out.collect()) == rows_of(names, relation.fetchall())
+
+
+def test_slices_of_blocks(monkeypatch):
+    """What a scan sees does not depend on where slices end."""
+    import numpy as np
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    pack = lambda a: zstandard.compress(a.tobytes())
+    row = {"vocabulary": pack(rng.integers(1, 2**63, 30).astype(np.uint64)), "ids": pack(rng.integers(0, 31, 200).astype(np.int32))}
+    known = phrases.Filter(zstandard.compress(b"\xff" * 4096), 15)
+    seen = []
+    for size in (7, 1, 200):
+        monkeypatch.setattr(phrases, "SLICE_WORDS", size)
+        out = []
+        for h, runs, whole in phrases._phrases(row, known, 5):
+            n = len(runs[0])
+            out += zip(h[:n].tolist(), *(np.where(w, r, 0).tolist() for r, w in zip(runs, whole, strict=True)), *(h[k : n + k].tolist() for k in range(2, 7)), strict=True)
+        seen.append(out)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 200
