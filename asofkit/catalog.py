@@ -6,6 +6,7 @@ A table is a lazy DataFrame plus its roles; nothing is read when it is declared.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,23 @@ def column(name: str):
     return F.col(quoted(name))
 
 
+def names_of(key) -> tuple[str, ...]:
+    """A key of one column may be declared by its name alone, one of several as an ordered tuple."""
+    return (key,) if isinstance(key, str) else tuple(key)
+
+
+def key_value(key, qualifier: str = ""):
+    """One value for a key: its column, or a struct whose fields have the same names on both sides of a join."""
+    parts = [column(f"{qualifier}{c}") for c in names_of(key)]
+    return parts[0] if len(parts) == 1 else F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def complete(key, qualifier: str = ""):
+    """Whether no part of a key is null; a key with a null part refers to nothing."""
+    tests = [column(f"{qualifier}{c}").isNotNull() for c in names_of(key)]
+    return reduce(lambda a, b: a & b, tests)
+
+
 @dataclass(frozen=True)
 class Relationship:
     """Edge from a parent table to a child row set.
@@ -44,7 +62,7 @@ class Table:
     key: tuple[str, ...] = ()
     time: str | None = None
     available_at: str | None = None
-    foreign_keys: tuple[tuple[str, str], ...] = ()
+    foreign_keys: tuple[tuple[str | tuple[str, ...], str], ...] = ()
     context_keys: tuple[str, ...] = ()
     boundary: str = "strict"
     predicates: tuple[str, ...] = ()
@@ -63,7 +81,7 @@ class Table:
     @property
     def structural(self) -> tuple[str, ...]:
         """Keys, clocks, foreign keys and peer-group keys, without repeats."""
-        found = [*self.key, *(fk for fk, _ in self.foreign_keys), *self.context_keys]
+        found = [*self.key, *(c for fk, _ in self.foreign_keys for c in names_of(fk)), *self.context_keys]
         found += [c for c in (self.time, self.available_at) if c]
         return tuple(dict.fromkeys(found))
 
@@ -102,12 +120,14 @@ class Catalog:
         """One reducing edge and one lookup edge per declared foreign key."""
         edges = []
         for name in sorted(self.tables):
-            for fk, parent in sorted(self.tables[name].foreign_keys):
-                if parent not in self.tables or len(self.tables[parent].key) != 1:
+            for fk, parent in sorted((names_of(fk), p) for fk, p in self.tables[name].foreign_keys):
+                if parent not in self.tables or not self.tables[parent].key:
                     continue
                 parent_key = self.tables[parent].key
-                edges.append(Relationship(parent, name, parent_key, (fk,), True))
-                edges.append(Relationship(name, parent, (fk,), parent_key, False))
+                if len(parent_key) != len(fk):
+                    raise ValueError(f"{name}: foreign key {fk} does not fit the key {parent_key} of {parent}")
+                edges.append(Relationship(parent, name, parent_key, fk, True))
+                edges.append(Relationship(name, parent, fk, parent_key, False))
         return tuple(edges)
 
     def describe(self) -> list[dict]:
@@ -118,7 +138,7 @@ class Catalog:
                 "key": ",".join(t.key),
                 "time": t.time or "",
                 "available_at": t.available_at or "",
-                "foreign_keys": ",".join(f"{fk}->{p}" for fk, p in t.foreign_keys),
+                "foreign_keys": ",".join(f"{'+'.join(names_of(fk))}->{p}" for fk, p in t.foreign_keys),
             }
             for name, t in sorted(self.tables.items())
         ]
@@ -126,37 +146,41 @@ class Catalog:
     def with_column_metadata(self, name: str) -> DataFrame:
         """Store the roles in the frame's own schema, next to the data."""
         table = self.tables[name]
-        parents = dict(table.foreign_keys)
+        parents = [(names_of(fk), p) for fk, p in table.foreign_keys]
         out = []
         for f in table.frame.schema.fields:
             meta = {}
             if f.name in table.key:
-                meta["role"] = "key"
+                meta.update(role="key", place=table.key.index(f.name))
             elif f.name == table.time:
                 meta["role"] = "event_time"
             elif f.name == table.available_at:
                 meta["role"] = "available_at"
-            elif f.name in parents:
-                meta.update(role="foreign_key", references=parents[f.name])
+            # A column can be part of the key and of several foreign keys.
+            parts = [f"{n}:{fk.index(f.name)}:{p}" for n, (fk, p) in enumerate(parents) if f.name in fk]
+            if parts:
+                meta["references"] = parts
             out.append(column(f.name).alias(f.name, metadata=meta))
         return table.frame.select(*out)
 
 
 def table_from_metadata(name: str, frame: DataFrame) -> Table:
     """Rebuild a declaration from the roles stored in a schema."""
-    roles: dict[str, list[str]] = {"key": [], "event_time": [], "available_at": []}
-    foreign = []
+    roles: dict[str, list] = {"key": [], "event_time": [], "available_at": []}
+    foreign: dict[int, tuple[str, list]] = {}
     for f in frame.schema.fields:
-        role = (f.metadata or {}).get("role")
-        if role == "foreign_key":
-            foreign.append((f.name, f.metadata["references"]))
-        elif role in roles:
-            roles[role].append(f.name)
+        meta = f.metadata or {}
+        if meta.get("role") in roles:
+            roles[meta["role"]].append((meta.get("place", 0), f.name))
+        for part in meta.get("references", ()):
+            number, place, parent = part.split(":", 2)
+            foreign.setdefault(int(number), (parent, []))[1].append((int(place), f.name))
+    keys = [(tuple(c for _, c in sorted(parts)), parent) for _, (parent, parts) in sorted(foreign.items())]
     return Table(
         name,
         frame,
-        key=tuple(roles["key"]),
-        time=next(iter(roles["event_time"]), None),
-        available_at=next(iter(roles["available_at"]), None),
-        foreign_keys=tuple(foreign),
+        key=tuple(c for _, c in sorted(roles["key"])),
+        time=next((c for _, c in roles["event_time"]), None),
+        available_at=next((c for _, c in roles["available_at"]), None),
+        foreign_keys=tuple((fk[0] if len(fk) == 1 else fk, parent) for fk, parent in keys),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofkit.catalog import key_value, names_of, quoted
 from asofkit.functions.scalars import as_column, content_rank, finite, hash_number, logit, sigmoid, stamp
 from asofkit.requests import Requests, visible
 from asofkit.skew import lookup, top_rows
@@ -36,7 +37,8 @@ def path_facts(hops: list[dict], until=None) -> DataFrame:
     """Join a foreign-key path once, before any cutoff is applied.
 
     Each hop is ``{"frame", "time", "key", "fk"}`` from the root's child down to
-    the fact; ``fk`` of the first hop is the entity.  A fact is visible when
+    the fact, keys as names or ordered tuples of names; ``fk`` of the first hop is the entity (a struct where
+    it has several columns).  A fact is visible when
     every hop is, so the latest clock along the path (``known``) decides.  One
     join serves all cutoffs.  ``until`` is the last cutoff that will be asked:
     as a literal it reaches every hop's scan, which the joint clock cannot.
@@ -46,12 +48,13 @@ def path_facts(hops: list[dict], until=None) -> DataFrame:
             {**h, "frame": h["frame"].filter(as_column(h["time"]) <= stamp(until))} if h.get("time") else h for h in hops
         ]
     first, *rest = hops
-    current = first["frame"].withColumn("entity", as_column(first["fk"]))
+    current = first["frame"].withColumn("entity", key_value(first["fk"]))
     known = [as_column(first["time"])] if first.get("time") else []
     parent = first
     for hop in rest:
         child = hop["frame"]
-        current = child.join(current, child[hop["fk"]] == current[parent["key"]], "inner")
+        pairs = zip(names_of(hop["fk"]), names_of(parent["key"]), strict=True)
+        current = child.join(current, [child[quoted(a)] == current[quoted(b)] for a, b in pairs], "inner")
         if hop.get("time"):
             known.append(as_column(hop["time"]))
         parent = hop

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asofkit.catalog import Catalog, Table, column
+from asofkit.catalog import Catalog, Table, column, names_of
 from asofkit.functions.scalars import count_if, finite, ratio, seconds, stamp, text, when
 from asofkit.skew import lookup, numbered, percentiles, previous, top_rows
 
@@ -223,7 +223,7 @@ def column_profiles(table: Table, cutoff) -> DataFrame:
     spread = centred.groupBy("column").agg(
         F.sqrt(F.sum((x - F.col("mean")) * (x - F.col("mean")) * F.col("n")) / F.first("_n")).alias("standard_deviation"))
     kinds = {f.name: physical_type(f.dataType) for f in frame.schema.fields}
-    parents = dict(table.foreign_keys)
+    parents = {c for fk, _ in table.foreign_keys for c in names_of(fk)}
 
     def role(c):
         if c in table.key:

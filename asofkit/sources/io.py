@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asofkit.catalog import Catalog, Table, column
+from asofkit.catalog import Catalog, Table, column, complete, key_value, names_of
 from asofkit.functions.scalars import stamp, text
 from asofkit.skew import lookup
 
@@ -62,15 +62,16 @@ def key_violations(table: Table) -> DataFrame:
 def orphan_report(catalog: Catalog, names: list[str]) -> DataFrame:
     """Foreign-key values without a parent row, per declared edge.
 
-    The child is reduced to one row per key value before the anti join.
+    The child is reduced to one row per key value before the anti join. Values of keys of several columns
+    are rendered with bars; a key with a null part refers to nothing and is no orphan.
     """
     out = None
     for name in names:
-        for fk, parent in sorted(catalog[name].foreign_keys):
-            key = catalog[parent].key[0]
-            values = catalog[name].frame.filter(column(fk).isNotNull()).groupBy(column(fk).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
-            lost = values.join(catalog[parent].frame.select(column(key).alias("k")), "k", "left_anti")
-            part = lost.select(F.lit(f"{name}.{fk}").alias("edge"), F.col("k").cast("string").alias("key"), "rows")
+        for fk, parent in sorted((names_of(fk), p) for fk, p in catalog[name].foreign_keys):
+            values = catalog[name].frame.filter(complete(fk)).groupBy(key_value(fk).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
+            lost = values.join(catalog[parent].frame.select(key_value(catalog[parent].key).alias("k")), "k", "left_anti")
+            key = F.col("k").cast("string") if len(fk) == 1 else F.concat_ws("|", *[F.col(f"k.k{i}").cast("string") for i in range(len(fk))])
+            part = lost.select(F.lit(f"{name}.{'+'.join(fk)}").alias("edge"), key.alias("key"), "rows")
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -91,20 +92,23 @@ def phase_snapshot(catalog: Catalog, boundary) -> Catalog:
 
 
 def prune_orphans(catalog: Catalog, rounds: int | None = None) -> Catalog:
-    """Drop rows whose non-null foreign key lost its parent, parents first.
+    """Drop rows whose complete foreign key lost its parent, parents first.
 
     Over an acyclic schema one pass in topological order is the fixpoint; a
-    cycle needs at most ``rounds`` repetitions.  Surviving rows keep their keys.
+    cycle needs at most ``rounds`` repetitions.  Surviving rows keep their keys. Every table is read once: a row is
+    marked by an outer join with the parent's distinct keys, and an incomplete key needs no mark.
     """
     order, cyclic = _parents_first(catalog)
     tables = dict(catalog.tables)
     for _ in range(rounds or len(order) if cyclic else 1):
         for name in order:
-            frame = tables[name].frame
-            for fk, parent in tables[name].foreign_keys:
-                keys = tables[parent].frame.select(column(tables[parent].key[0]).alias(fk))
-                kept = frame.filter(column(fk).isNotNull()).join(keys, fk, "left_semi")
-                frame = kept.unionByName(frame.filter(column(fk).isNull()))
+            frame, columns = tables[name].frame, [column(c) for c in tables[name].frame.columns]
+            for n, (fk, parent) in enumerate(tables[name].foreign_keys):
+                mark, value = f"_found_{n}", f"_key_{n}"
+                keys = tables[parent].frame.select(key_value(tables[parent].key).alias(value)).distinct().withColumn(mark, F.lit(True))
+                # A null value meets nothing, so its rows pass through the join without a shuffle of their own.
+                valued = frame.withColumn(value, F.when(complete(fk), key_value(fk)))
+                frame = valued.join(keys, value, "left").filter(F.col(value).isNull() | F.col(mark)).select(*columns)
             tables[name] = tables[name].with_frame(frame)
     return Catalog(tables)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from asofkit import Requests, Table
+from asofkit import Catalog, Requests, Table
 from asofkit.functions.scalars import count_if, days, finite, flag, hash_unit, minus_seconds, seconds, stamp, when
 from asofkit.operators import families as fam
 from asofkit.operators import joins as jn
 from asofkit.plans import paths as pl
+from asofkit.plans import reduction as rd
 from asofkit.requests import visible
 from suite.model import catalog
 from suite.registry import (
@@ -175,9 +176,96 @@ def _(t):
     CAST(line_count AS BIGINT) AS line_count, {R('price_max_max')} AS price_max_max, {R('price_avg_avg')} AS price_avg_avg
   FROM requests r LEFT JOIN b USING (entity, cutoff)""")
 def _(t):
-    from asofkit.plans.reduction import customer_line_features
+    cat = catalog(t)
+    out = rd.reduce_tree(cat, rd.along(cat, ("customer", "orders", "lineitem")), t.order_requests(), {
+        "orders": {rd.ROWS: ("count",), "o_totalprice": ("sum", "avg")},
+        "lineitem": {rd.ROWS: ("count",), "l_extendedprice": ("max", "avg")}})
+    return rounded(out.select(*K, F.col("orders_rows").alias("orders"), F.col("orders_o_totalprice_sum").alias("total_sum"), F.col("orders_o_totalprice_avg").alias("total_avg"),
+        F.col("orders_lineitem_rows_count").alias("line_count"), F.col("orders_lineitem_l_extendedprice_max_max").alias("price_max_max"),
+        F.col("orders_lineitem_l_extendedprice_avg_avg").alias("price_avg_avg")))
+
+
+_SUPPLIER_REQ = f"""requests AS (SELECT s_suppkey AS entity, v.cutoff FROM supplier, (VALUES {','.join(f"(TIMESTAMP '{c}')" for c in ORDER_CUTS)}) v(cutoff))"""
+
+
+@query("J1_supplier_reduction", f"""WITH {_SUPPLIER_REQ},
+  b AS (SELECT l_suppkey AS entity, r.cutoff, count(*) AS n, sum(l_quantity) AS q, max(p_retailprice) AS p, min(p_size) AS s, avg(o.o_totalprice) AS o
+    FROM requests r JOIN lineitem l ON l_suppkey=r.entity AND l_shipdate<r.cutoff LEFT JOIN part ON p_partkey=l_partkey
+    LEFT JOIN (SELECT o_orderkey, o_totalprice, o_orderdate FROM orders) o ON o_orderkey=l_orderkey AND o_orderdate<r.cutoff GROUP BY 1,2)
+  SELECT r.entity, r.cutoff, {R('s_acctbal', 2)} AS s_acctbal, n_name AS nation, CAST(n AS BIGINT) AS lines, {R('q')} AS quantity, {R('p', 2)} AS dearest, CAST(s AS INT) AS smallest, {R('o')} AS order_mean
+  FROM requests r JOIN supplier ON s_suppkey=r.entity LEFT JOIN nation ON n_nationkey=s_nationkey LEFT JOIN b USING (entity, cutoff)""")
+def _(t):
+    cat = catalog(t)
+    tree = rd.along(cat, ("supplier", "lineitem", "part"), ("supplier", "lineitem", "orders"), ("supplier", "nation"))
+    out = rd.reduce_tree(cat, tree, Requests.every(t.supplier, "s_suppkey", ORDER_CUTS), {
+        "supplier": {"s_acctbal": ()}, "nation": {"n_name": ()}, "lineitem": {rd.ROWS: ("count",), "l_quantity": ("sum",)},
+        "part": {"p_retailprice": ("max",), "p_size": ("min",)}, "orders": {"o_totalprice": ("avg",)}})
+    out = out.select(*K, "s_acctbal", F.col("nation_n_name").alias("nation"), F.col("lineitem_rows").alias("lines"), F.col("lineitem_l_quantity_sum").alias("quantity"),
+        F.col("lineitem_part_p_retailprice_max").alias("dearest"), F.col("lineitem_part_p_size_min").alias("smallest"), F.col("lineitem_orders_o_totalprice_avg").alias("order_mean"))
+    return rounded(rounded(out, "s_acctbal", "dearest", places=2), "quantity", "order_mean")
+
+
+_NATION_SQL = f"""WITH requests AS (SELECT n_nationkey AS entity, v.cutoff FROM nation, (VALUES {{cuts}}) v(cutoff)),
+  o AS (SELECT r.cutoff, o_custkey, count(*) AS n, sum(o_totalprice) AS s FROM (SELECT DISTINCT cutoff FROM requests) r JOIN orders ON o_orderdate<r.cutoff GROUP BY 1,2),
+  e AS (SELECT r.cutoff, user_id, count(*) AS n, max(value) AS m FROM (SELECT DISTINCT cutoff FROM requests) r JOIN events ON ts<r.cutoff GROUP BY 1,2),
+  l AS (SELECT r.cutoff, l_suppkey, avg(l_discount) AS a FROM (SELECT DISTINCT cutoff FROM requests) r JOIN lineitem ON l_shipdate<r.cutoff GROUP BY 1,2),
+  c AS (SELECT c_nationkey AS entity, r.cutoff, count(*) AS n, avg(c_acctbal) AS b, sum(o.n) AS orders, sum(o.s) AS total, sum(e.n) AS events, max(e.m) AS peak
+    FROM (SELECT DISTINCT cutoff FROM requests) r CROSS JOIN customer LEFT JOIN o ON o.cutoff=r.cutoff AND o_custkey=c_custkey LEFT JOIN e ON e.cutoff=r.cutoff AND user_id=c_custkey GROUP BY 1,2),
+  s AS (SELECT s_nationkey AS entity, r.cutoff, count(*) AS n, avg(l.a) AS a FROM (SELECT DISTINCT cutoff FROM requests) r CROSS JOIN supplier LEFT JOIN l ON l.cutoff=r.cutoff AND l_suppkey=s_suppkey GROUP BY 1,2)
+  SELECT r.entity, r.cutoff, c.n AS customers, {R('c.b')} AS balance, CAST(c.orders AS BIGINT) AS orders, {R('c.total')} AS total, CAST(c.events AS BIGINT) AS events, {R('c.peak')} AS peak, s.n AS suppliers, {R('s.a', 6)} AS discount
+  FROM requests r LEFT JOIN c ON c.entity=r.entity AND c.cutoff=r.cutoff LEFT JOIN s ON s.entity=r.entity AND s.cutoff=r.cutoff"""
+
+
+def _nations(t, requests):
+    """Two children with children of their own on both sides: neither multiplies the other."""
+    cat = catalog(t)
+    tree = rd.along(cat, ("nation", "customer", "orders"), ("nation", "customer", "events"), ("nation", "supplier", "lineitem"))
+    out = rd.reduce_tree(cat, tree, requests, {
+        "customer": {rd.ROWS: ("count",), "c_acctbal": ("avg",)}, "supplier": {rd.ROWS: ("count",)}, "lineitem": {"l_discount": ("avg",)},
+        "orders": {rd.ROWS: ("count",), "o_totalprice": ("sum",)}, "events": {rd.ROWS: ("count",), "value": ("max",)}})
+    out = out.select("entity", "cutoff", F.col("customer_rows").alias("customers"), F.col("customer_c_acctbal_avg").alias("balance"), F.col("customer_orders_rows_count").alias("orders"),
+        F.col("customer_orders_o_totalprice_sum_sum").alias("total"), F.col("customer_events_rows_count").alias("events"), F.col("customer_events_value_max_max").alias("peak"),
+        F.col("supplier_rows").alias("suppliers"), F.col("supplier_lineitem_l_discount_avg_avg").alias("discount"))
+    return rounded(rounded(out, "balance", "total", "peak"), "discount", places=6)
+
+
+@query("J1_sibling_reduction", _NATION_SQL.format(cuts=",".join(f"(TIMESTAMP '{c}')" for c in (*ORDER_CUTS, *EVENT_CUTS))))
+def _(t):
+    return _nations(t, Requests.every(t.nation, "n_nationkey", (*ORDER_CUTS, *EVENT_CUTS)))
+
+
+@query("J1_many_cutoffs", _NATION_SQL.format(cuts="").replace("SELECT n_nationkey AS entity, v.cutoff FROM nation, (VALUES ) v(cutoff)",
+    "SELECT n_nationkey AS entity, TIMESTAMP '1998-01-01' + to_days(CAST(i AS INT)) AS cutoff FROM nation, (SELECT unnest(generate_series(0, 2970, 11)) AS i)"))
+def _(t):
+    # More cutoffs than are listed: the requests go down the tree.
+    days = F.explode(F.sequence(F.lit(0), F.lit(2970), F.lit(11)))
+    frame = t.nation.select(F.col("n_nationkey").alias("entity"), days.alias("i")).select("entity", F.expr("TIMESTAMP_NTZ '1998-01-01' + make_dt_interval(i)").alias("cutoff"))
+    return _nations(t, Requests.of(frame))
 
-    return rounded(customer_line_features(t.order_requests(), t.order_events(), t.lineitem))
+
+def _offers(t, cat):
+    """Offers of a part by a supplier, named by both keys, and the lines that refer to them."""
+    offers = t.lineitem.filter("l_linenumber <= 2").groupBy("l_partkey", "l_suppkey").agg(F.min("l_extendedprice").alias("price")).select(
+        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "price")
+    lines = Table("lineitem", t.lineitem, time="l_shipdate", foreign_keys=(("l_orderkey", "orders"), (("l_partkey", "l_suppkey"), "offer")))
+    offer = Table("offer", offers, ("part", "supplier"), foreign_keys=(("supplier", "supplier"),))
+    return Catalog({**cat.tables, "offer": offer, "lineitem": lines})
+
+
+_OFFERS = "offers AS (SELECT l_partkey AS p, l_suppkey AS s, min(l_extendedprice) AS price FROM lineitem WHERE l_linenumber<=2 GROUP BY 1,2)"
+
+
+@query("J1_composite_reduction", f"""WITH {_SUPPLIER_REQ}, {_OFFERS},
+  x AS (SELECT p, s, r.cutoff, price, count(l_partkey) AS n, sum(l_quantity) AS q FROM offers CROSS JOIN (SELECT DISTINCT cutoff FROM requests) r
+    LEFT JOIN lineitem ON l_partkey=p AND l_suppkey=s AND l_shipdate<r.cutoff GROUP BY ALL),
+  b AS (SELECT s AS entity, cutoff, count(*) AS offers, min(price) AS price, sum(CASE WHEN n>0 THEN n END) AS n, sum(q) AS q FROM x GROUP BY 1,2)
+  SELECT r.entity, r.cutoff, CAST(offers AS BIGINT) AS offers, {R('price')} AS cheapest, CAST(n AS BIGINT) AS lines, {R('q')} AS quantity FROM requests r LEFT JOIN b USING (entity, cutoff)""")
+def _(t):
+    cat = _offers(t, catalog(t))
+    out = rd.reduce_tree(cat, rd.along(cat, ("supplier", "offer", "lineitem")), Requests.every(t.supplier, "s_suppkey", ORDER_CUTS), {
+        "offer": {rd.ROWS: ("count",), "price": ("min",)}, "lineitem": {rd.ROWS: ("count",), "l_quantity": ("sum",)}})
+    return rounded(out.select(*K, F.col("offer_rows").alias("offers"), F.col("offer_price_min").alias("cheapest"),
+        F.col("offer_lineitem_rows_count").alias("lines"), F.col("offer_lineitem_l_quantity_sum_sum").alias("quantity")))
 
 
 @query("J2_dimension_lookup", aligned_sql(
@@ -221,6 +309,17 @@ def _(t):
         zero=["lines", "suppliers"], defaults={"quantity": 0.0}))
 
 
+@query("J3_composite_path", f"""WITH {_SUPPLIER_REQ}, {_OFFERS}, visible AS (SELECT r.entity, r.cutoff, l.* FROM requests r JOIN offers ON s=r.entity
+    JOIN lineitem l ON l_partkey=p AND l_suppkey=s AND l_shipdate<r.cutoff)
+  SELECT r.entity, r.cutoff, CAST(coalesce(n,0) AS BIGINT) AS lines, {R('q')} AS quantity FROM requests r LEFT JOIN (SELECT entity, cutoff, count(*) AS n, sum(l_quantity) AS q FROM visible GROUP BY 1,2) b USING (entity, cutoff)""")
+def _(t):
+    cat = _offers(t, catalog(t))
+    req = Requests.every(t.supplier, "s_suppkey", ORDER_CUTS)
+    facts = jn.path_facts(pl.path_hops(cat, (("offer", "supplier"), ("lineitem", ("l_partkey", "l_suppkey")))), req.latest())
+    block = visible(facts, req, "known").groupBy(*K).agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
+    return rounded(req.align(block, zero=["lines"]))
+
+
 _HIST = """hist AS (SELECT o_custkey AS who, o_orderdate AS ts, o_orderdate + INTERVAL 30 DAY AS ready, o_orderkey, o_totalprice FROM orders)"""
 
 
@@ -289,13 +388,27 @@ def _(t):
 @query("J10_unrolled_self_walk", f"""WITH n AS (SELECT c_nationkey AS k, count(*) AS peers, avg(c_acctbal) AS bal FROM customer GROUP BY 1)
   SELECT c_custkey AS entity, {N('peers')} AS peers, {R('bal')} AS peer_balance FROM customer JOIN n ON k=c_nationkey""")
 def _(t):
-    from asofkit.plans.reduction import unrolled_walk
-
     cat = catalog(t)
     walk = next(w for w in pl.unrolled("customer", cat.relationships, 2, 2) if w == ("customer", "nation", "customer"))
-    aggs = [F.count(F.lit(1)).alias("peers"), F.avg("c_acctbal").alias("peer_balance")]
-    out = unrolled_walk(cat, walk, aggs)
-    return rounded(out.select(F.col("c_custkey").alias("entity"), "peers", "peer_balance"), "peer_balance")
+    req = Requests.every(t.customer, "c_custkey", ORDER_CUTS[:1])
+    out = rd.reduce_tree(cat, rd.along(cat, walk), req, {"customer": {rd.ROWS: ("count",), "c_acctbal": ("avg",)}})
+    return rounded(out.select("entity", F.col("nation_customer_rows").alias("peers"), F.col("nation_customer_c_acctbal_avg").alias("peer_balance")), "peer_balance")
+
+
+@query("J10_five_step_walk", f"""WITH {ORDER_REQ}, w AS (SELECT DISTINCT cutoff FROM requests),
+  l AS (SELECT cutoff, l_orderkey AS k, count(*) AS n, sum(l_quantity) AS q, max(s.s_acctbal) AS m FROM w JOIN lineitem ON l_shipdate<cutoff LEFT JOIN supplier s ON s_suppkey=l_suppkey GROUP BY 1,2),
+  o AS (SELECT w.cutoff, o_custkey AS k, sum(l.n) AS n, sum(l.q) AS q, max(l.m) AS m FROM w JOIN orders ON o_orderdate<cutoff LEFT JOIN l ON l.k=o_orderkey AND l.cutoff=w.cutoff GROUP BY 1,2),
+  c AS (SELECT w.cutoff, c_nationkey AS k, count(*) AS peers, sum(o.n) AS n, sum(o.q) AS q, max(o.m) AS m FROM w CROSS JOIN customer LEFT JOIN o ON o.k=c_custkey AND o.cutoff=w.cutoff GROUP BY 1,2)
+  SELECT r.entity, r.cutoff, CAST(peers AS BIGINT) AS peers, CAST(n AS BIGINT) AS peer_lines, {R('q')} AS peer_quantity, {R('m', 2)} AS richest_supplier
+  FROM requests r JOIN customer ON c_custkey=r.entity LEFT JOIN c ON c.k=c_nationkey AND c.cutoff=r.cutoff""")
+def _(t):
+    cat = catalog(t)
+    tree = rd.along(cat, ("customer", "nation", "customer", "orders", "lineitem", "supplier"))
+    out = rd.reduce_tree(cat, tree, t.order_requests(), {
+        "customer": {rd.ROWS: ("count",)}, "lineitem": {rd.ROWS: ("count",), "l_quantity": ("sum",)}, "supplier": {"s_acctbal": ("max",)}})
+    name = "nation_customer_orders_lineitem"
+    return rounded(rounded(out.select(*K, F.col("nation_customer_rows").alias("peers"), F.col(f"{name}_rows_count_count").alias("peer_lines"),
+        F.col(f"{name}_l_quantity_sum_sum_sum").alias("peer_quantity"), F.col(f"{name}_supplier_s_acctbal_max_max_max").alias("richest_supplier")), "peer_quantity"), "richest_supplier", places=2)
 
 
 @query("J11_leave_own_out", f"""WITH own AS (SELECT o_custkey, c_nationkey, sum(o_totalprice) AS s, count(*) AS n FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY 1,2),

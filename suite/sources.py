@@ -60,6 +60,33 @@ def _(t):
     return io.orphan_report(Catalog({**cat.tables, "orders": early}), ["lineitem"])
 
 
+_OFFERS = "offers AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber<=2)"
+
+
+def _with_offers(t, cat, kept="l_linenumber <= 2"):
+    """Offers have a key of two columns, to which lines refer."""
+    offers = t.lineitem.filter(kept).select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).distinct()
+    lines = Table("lineitem", t.lineitem, time="l_shipdate", foreign_keys=(("l_orderkey", "orders"), (("l_partkey", "l_suppkey"), "offer")))
+    return Catalog({**cat.tables, "lineitem": lines, "offer": Table("offer", offers, ("part", "supplier"), foreign_keys=(("supplier", "supplier"),))})
+
+
+@query("S4_composite_orphans", f"""WITH {_OFFERS} SELECT 'lineitem.l_partkey+l_suppkey' AS edge, l_partkey||'|'||l_suppkey AS key, {N('count(*)')} AS rows
+  FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM offers WHERE p=l_partkey AND s=l_suppkey) GROUP BY 2""")
+def _(t):
+    return io.orphan_report(_with_offers(t, catalog(t)), ["lineitem"])
+
+
+@query("S6_composite_prune", f"""WITH s AS (SELECT * FROM supplier WHERE s_acctbal>0), {_OFFERS}, o AS (SELECT * FROM offers WHERE s IN (SELECT s_suppkey FROM s)),
+  l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND EXISTS (SELECT 1 FROM o WHERE p=l_partkey AND s=l_suppkey))
+  SELECT 'offer' AS "table", {N('count(*)')} AS rows FROM o UNION ALL SELECT 'lineitem', count(*) FROM l""")
+def _(t):
+    cat = _with_offers(t, catalog(t))
+    solvent = cat["supplier"].with_frame(t.supplier.filter("s_acctbal > 0"))
+    pruned = io.prune_orphans(Catalog({**cat.tables, "supplier": solvent}))
+    parts = [pruned[n].frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n in ("offer", "lineitem")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("S5_phase_snapshot", " UNION ALL ".join(
     f"""SELECT '{n}' AS "table", {N('count(*)')} AS rows FROM {n}{f" WHERE {c}<TIMESTAMP '1999-06-01'" if c else ''}""" for n, _, c, _ in _DECL))
 def _(t):

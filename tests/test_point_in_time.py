@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asofkit import Catalog, Requests, Table
+from asofkit.functions.scalars import stamp
 from asofkit.operators import events as ev
 from asofkit.operators import exposure as ex
 from asofkit.operators import families as fam
@@ -14,7 +15,7 @@ from asofkit.operators import peers as pr
 from asofkit.operators import responses as rs
 from asofkit.operators import timelines as tl
 from asofkit.plans import paths as pl
-from asofkit.plans.reduction import customer_line_features
+from asofkit.plans import reduction as rd
 from asofkit.requests import visible
 
 K = ["entity", "cutoff"]
@@ -37,13 +38,56 @@ def shop(spark):
     return customers, orders, lines
 
 
-def test_worked_example(shop, rows):
+@pytest.fixture
+def shop_catalog(shop):
     customers, orders, lines = shop
-    out = rows(customer_line_features(Requests.every(customers, "customer", [CUT]), orders, lines), "entity")
-    assert [(r["orders"], r["total_sum"], r["total_avg"], r["price_max_max"], r["price_avg_avg"]) for r in out] == [
+    return Catalog({t.name: t for t in (
+        Table("customers", customers, ("customer",)), Table("orders", orders, ("o_orderkey",), time="ts", foreign_keys=(("entity", "customers"),)),
+        Table("lines", lines, time="l_shipdate", foreign_keys=(("l_orderkey", "orders"),)))})
+
+
+PROGRAM = {"orders": {rd.ROWS: ("count",), "o_totalprice": ("sum", "avg")}, "lines": {"l_extendedprice": ("max", "avg")}}
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_worked_example(shop_catalog, rows, listed):
+    cat = shop_catalog
+    requests = Requests.every(cat["customers"].frame, "customer", [CUT])
+    if not listed:
+        requests = Requests(requests.frame, None)
+    out = rows(rd.reduce_tree(cat, rd.along(cat, ("customers", "orders", "lines")), requests, PROGRAM), "entity")
+    assert [(r["orders_rows"], r["orders_o_totalprice_sum"], r["orders_o_totalprice_avg"], r["orders_lines_l_extendedprice_max_max"], r["orders_lines_l_extendedprice_avg_avg"]) for r in out] == [
         (2, 120.0, 60.0, 100.0, 55.0), (1, 60.0, 60.0, 60.0, 60.0), (None,) * 5]
 
 
+def test_occurrence_trees(shop_catalog):
+    cat = shop_catalog
+    assert set(rd.occurrences(cat, "customers", 2).walks()) == {("customers",), ("customers", "orders"), ("customers", "orders", "lines")}
+    again = set(rd.occurrences(cat, "orders", 3, repeats=2).walks())
+    # The way back over the edge just taken leads to the same row only; the way down again leads to others.
+    assert ("orders", "customers", "orders", "lines") in again and ("orders", "lines", "orders") not in again
+    with pytest.raises(ValueError):
+        rd.along(cat, ("customers", "lines"))
+
+
+def test_reduction_by_keys_of_two_columns(spark, rows):
+    """Null parts refer to nothing; names with odd characters, ``entity`` and ``cutoff`` included, stay apart."""
+    owner = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 7.0), ("b", 1, 9.0)], "tenant string, id int, `cut/off.x` double")
+    act = spark.createDataFrame(
+        [("a", 1, day(3), 1.0, "u"), ("a", 1, day(12), 2.0, "u"), ("a", None, day(3), 4.0, "u"), ("b", 1, day(3), 8.0, "v"), (None, 1, day(3), 16.0, None), ("c", 1, day(3), 32.0, "u")],
+        "entity string, cutoff int, at timestamp_ntz, `a.b` double, kind string")
+    kinds = spark.createDataFrame([("u", 10.0), ("v", 20.0)], "kind string, entity double")
+    cat = Catalog({"owner": Table("owner", owner, ("tenant", "id")), "kind": Table("kind", kinds, ("kind",)),
+                   "act": Table("act", act, time="at", foreign_keys=((("entity", "cutoff"), "owner"), ("kind", "kind")))})
+    frame = owner.select(F.struct(F.col("tenant").alias("k0"), F.col("id").alias("k1")).alias("entity")).withColumn("cutoff", stamp(CUT))
+    tree = rd.along(cat, ("owner", "act", "kind"))
+    for requests in (Requests.of(frame), Requests(frame, None)):
+        out = rd.reduce_tree(cat, tree, requests, {"act": {rd.ROWS: ("count",), "a.b": ("sum",)}, "kind": {"entity": ("max",)}, "owner": {"cut/off.x": ("min",)}})
+        found = {tuple(r["entity"].values()): tuple(r.values())[2:] for r in rows(out)}
+        assert found == {("a", 1): (5.0, 1, 1.0, 10.0), ("a", 2): (7.0, None, None, None), ("b", 1): (9.0, 1, 8.0, 20.0)}
+    assert {c.child for c in cat.relationships if c.reduce} == {"act"}
+
+
 @pytest.mark.parametrize("boundary,expected", [("strict", 2), ("inclusive", 3), ("exact", 1)])
 def test_boundaries(shop, boundary, expected):
     customers, orders, _ = shop
