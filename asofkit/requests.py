@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.catalog import column
 from asofkit.functions.scalars import minus_seconds, row_salt, stamp
 
 GRID_LIMIT = 256
@@ -125,7 +126,7 @@ def visible(events: DataFrame, requests: Requests, time: str = "ts", **rule) ->
     asked = requests.keys().withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    salted = events.withColumn("_salt", row_salt(SALTS, *[F.col(c) for c in _hashable(events)]))
+    salted = events.withColumn("_salt", row_salt(SALTS, *[column(c) for c in _hashable(events)]))
     return salted.join(asked, ["entity", "_salt"]).filter(condition).drop("_salt")
 
 
