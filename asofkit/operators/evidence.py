@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions.scalars import as_column, count_if, finite, hash_number, hash_unit, ratio, text, when
+from asofkit.functions.scalars import as_column, count_if, finite, hash_number, ratio, text, when
 from asofkit.skew import hashed_places, lookup, numbered, percentiles, running_totals, top_rows
 
 INCUMBENT = "incumbent"
@@ -232,14 +234,17 @@ def reliability(rows: DataFrame, base: str, extra: str, numbers: list[str], text
 # --- paired uncertainty -------------------------------------------------------------
 
 
-def poisson_one(unit: Column, most: int = 12) -> Column:
-    """Poisson(1) count from a uniform number by inverting its distribution."""
+def _poisson_bounds(most: int = 12) -> tuple[float, ...]:
+    """The distribution function of Poisson(1); the count is how many of its values a uniform number reaches."""
     total, term, bounds = 0.0, math.exp(-1.0), []
     for k in range(most):
         total += term
         bounds.append(total)
         term /= k + 1
-    return sum(((unit >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    return tuple(bounds)
+
+
+POISSON_BOUNDS = _poisson_bounds()
 
 
 def _paired(evidence: DataFrame, policies: list[str], seed: int) -> DataFrame:
@@ -267,6 +272,88 @@ def _weighted_gains(rows: DataFrame, keys: list[str], task: str) -> DataFrame:
     return area.groupBy(*keys).agg(F.when(F.count("auc") == 2, F.sum(sign)).alias("gain"))
 
 
+BUCKETS = 64
+HOT_PARTS = 64
+
+
+def multipliers(entities, repeats: int):
+    """Poisson(1) counts (entities, repeats) from the entities' content: four numbers of each MD5 digest."""
+    blocks = -(-repeats // 4)
+    digests = [b"".join(hashlib.md5(f"{e}|{k}".encode()).digest() for k in range(blocks)) for e in entities]
+    units = np.frombuffer(b"".join(digests), ">u4").reshape(len(digests), 4 * blocks)[:, :repeats] / 4294967296.0
+    return np.searchsorted(np.array(POISSON_BOUNDS), units, side="right").astype(np.float64)
+
+
+def _resampled_areas(rows: DataFrame, keys: list[str], repeats: int) -> DataFrame:
+    """(keys, repeat, value): the area under the curve of each repeat, null without both classes.
+
+    A group's rows (entity, truth, score) are dealt to value buckets. A task multiplies its bucket's rows with their
+    multiplier arrays and returns three arrays over repeats: positives, negatives, and pairs won inside; a last step
+    adds the negatives of lower buckets. A score that fills whole buckets is one of its own, split over tasks by
+    entity, as only its sums count. So rows are shuffled once, whatever the number of repeats.
+    """
+    steps = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    borders = rows.agg(F.percentile_approx("score", steps, F.lit(10_000)).alias("c")).scalar()
+    known = rows.withColumn("_c", F.coalesce(borders, F.array().cast("array<double>")))
+    score = F.col("score")
+    known = known.withColumn("_b", 2 * F.size(F.filter("_c", lambda c: c <= score)))
+    # A border that occurs twice is a score that fills a bucket.
+    hot = F.size(F.filter("_c", lambda c: c == score)) > 1
+    part = F.when(hot, F.pmod(F.xxhash64("entity"), F.lit(HOT_PARTS))).otherwise(0).cast("int")
+    dealt = known.select(*keys, "entity", "truth", "score", F.when(hot, F.col("_b") - 1).otherwise(F.col("_b")).alias("_b"), part.alias("_p"), hot.alias("_hot"))
+    names = [f.name for f in rows.schema.fields if f.name in keys]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+    arrays = "pos array<double>, neg array<double>, won array<double>"
+
+    def inside(pdf):
+        pdf = pdf.sort_values("score", kind="stable")
+        weights = multipliers(pdf["entity"], repeats)
+        truth, score = pdf["truth"].to_numpy(float), pdf["score"].to_numpy(float)
+        pos, neg = weights * truth[:, None], weights * (1 - truth)[:, None]
+        won = np.zeros(repeats)
+        if not pdf["_hot"].iloc[0]:
+            # Equal scores count half of each other's negatives.
+            first = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+            p, n = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
+            won = (p * (np.cumsum(n, 0) - n / 2)).sum(0)
+        out = pdf.iloc[:1][[*names, "_b", "_hot"]].copy()
+        out["pos"], out["neg"], out["won"] = [pos.sum(0).tolist()], [neg.sum(0).tolist()], [won.tolist()]
+        return out[[*names, "_b", "_hot", "pos", "neg", "won"]]
+
+    def across(pdf):
+        below, pairs, positives = np.zeros(repeats), np.zeros(repeats), np.zeros(repeats)
+        for _, bucket in pdf.groupby("_b", sort=True):
+            pos, neg, won = (np.stack(bucket[c]).sum(0) for c in ("pos", "neg", "won"))
+            pairs += won + pos * below + (pos * neg / 2 if bucket["_hot"].iloc[0] else 0)
+            below, positives = below + neg, positives + pos
+        both = positives * below
+        value = np.divide(pairs, both, out=np.full(repeats, np.nan), where=both > 0)
+        out = pdf.iloc[:1][names].copy()
+        out["value"] = [[None if np.isnan(v) else float(v) for v in value]]
+        return out
+
+    parts = dealt.groupBy(*keys, "_b", "_p", "_hot").applyInPandas(inside, f"{kinds}, _b int, _hot boolean, {arrays}")
+    found = parts.groupBy(*keys).applyInPandas(across, f"{kinds}, value array<double>")
+    return found.select(*keys, F.posexplode("value").alias("repeat", "value"))
+
+
+def _resampled_means(rows: DataFrame, keys: list[str], repeats: int) -> DataFrame:
+    """(keys, repeat, value): the weighted mean of ``loss`` of each repeat, from one pair of arrays for each part of a group."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+    names = [f.name for f in rows.schema.fields if f.name in keys]
+
+    def inside(pdf):
+        weights = multipliers(pdf["entity"], repeats)
+        out = pdf.iloc[:1][names].copy()
+        out["top"], out["weight"] = [(weights * pdf["loss"].to_numpy(float)[:, None]).sum(0).tolist()], [weights.sum(0).tolist()]
+        return out
+
+    dealt = rows.select(*keys, "entity", "loss", F.pmod(F.xxhash64("entity"), F.lit(HOT_PARTS)).alias("_p"))
+    parts = dealt.groupBy(*keys, "_p").applyInPandas(inside, f"{kinds}, top array<double>, weight array<double>")
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("top", "weight")).alias("repeat", "v"))
+    return each.groupBy(*keys, "repeat").agg(ratio(F.sum("v.top"), F.sum("v.weight")).alias("value"))
+
+
 def gain_lower_bounds(
     evidence: DataFrame, policies: list[str], repeats: int, alpha: float, task: str = "classification", seed: int = 0
 ) -> DataFrame:
@@ -274,14 +361,17 @@ def gain_lower_bounds(
 
     One Poisson(1) multiplier per entity is shared by all origins, so repeated
     entities stay dependent.  A repeat counts only when every origin is scored.
-    All challengers are resampled in one pass.
+    All challengers and repeats are resampled in one pass over the rows.
     """
     rows = _paired(evidence, policies, seed)
-    draws = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    # Zero weights stay: they add nothing to a sum, and a filter on the weight
-    # would evaluate the hash once more per threshold.
-    draws = draws.withColumn("_u", hash_unit("entity", "repeat")).withColumn("_w", poisson_one(F.col("_u")))
-    gains = _weighted_gains(draws, ["policy", "repeat", "origin"], task)
+    if task == "regression":
+        loss = F.abs(F.col("truth") - F.col("control")) - F.abs(F.col("truth") - F.col("candidate"))
+        gains = _resampled_means(rows.withColumn("loss", loss), ["policy", "origin"], repeats).withColumnRenamed("value", "gain")
+    else:
+        sides = F.array(F.struct(F.lit(-1).alias("side"), F.col("control").alias("score")), F.struct(F.lit(1).alias("side"), F.col("candidate").alias("score")))
+        both = rows.withColumn("_s", F.explode(sides)).select("policy", "origin", "entity", "truth", "_s.side", "_s.score")
+        areas = _resampled_areas(both, ["policy", "origin", "side"], repeats)
+        gains = areas.groupBy("policy", "origin", "repeat").agg(F.when(F.count("value") == 2, F.sum(F.col("side") * F.col("value"))).alias("gain"))
     origins = evidence.filter(F.col("policy") == INCUMBENT).groupBy("origin").agg(F.count(F.lit(1)).alias("_rows"))
     plan = origins.agg(F.struct(F.max("origin").alias("last"), F.count(F.lit(1)).alias("n")).alias("p")).scalar()
     gains = gains.withColumn("_plan", plan)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from asofkit.catalog import key_value, names_of, quoted
 from asofkit.functions.scalars import as_column, content_rank, finite, hash_number, logit, sigmoid, stamp
 from asofkit.requests import Requests, visible
-from asofkit.skew import lookup, top_rows
+from asofkit.session import checkpoint
+from asofkit.skew import hashed_places, lookup, running_totals, top_rows
 
 KEYS = ["entity", "cutoff"]
 
@@ -214,11 +215,6 @@ def nearest_negative(examples: DataFrame, coordinates: list[str], count: int, sc
     )
 
 
-def _class_ranks(examples: DataFrame, cohort: str, keep: int) -> DataFrame:
-    """Content-hash order inside every (cohort, class), bounded by ``keep``."""
-    return top_rows(examples, [cohort, "truth"], [content_rank("entity", cohort), F.col("entity")], keep, "place")
-
-
 def quota(cohorts: DataFrame, cohort: str, maximum: int) -> DataFrame:
     """Split a global budget over cohorts; the earliest ones take the remainder."""
     order = Window.orderBy(cohort)
@@ -228,77 +224,92 @@ def quota(cohorts: DataFrame, cohort: str, maximum: int) -> DataFrame:
     return cohorts.withColumn("quota", (base + (place < F.lit(maximum) % n).cast("int")).cast("long"))
 
 
+def _cohorts(examples: DataFrame, maximum: int, cohort: str) -> DataFrame:
+    """(cohort, quota, _pos, _neg) of cohorts with both classes."""
+    sizes = examples.groupBy(cohort).agg(
+        F.sum("truth").cast("long").alias("_pos"), F.sum(1 - F.col("truth")).cast("long").alias("_neg")
+    ).filter("_pos > 0 and _neg > 0")
+    return quota(sizes, cohort, maximum)
+
+
+def _numbered(cohorts: DataFrame, cohort: str, most) -> DataFrame:
+    """One row for each number below ``most`` with the place of its positive and how often it has come up before."""
+    each = cohorts.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
+    return each.withColumn("_pp", F.pmod("_i", "_pos") + 1).withColumn("_round", F.floor(F.col("_i") / F.col("_pos")))
+
+
+def _uniform(placed: DataFrame, cohorts: DataFrame, cohort: str) -> DataFrame:
+    """(cohort, quota, _i, positive, negative): the first pairs of a permutation of each cohort's product.
+
+    Pair ``i`` has the positive at place ``i mod P``. Its negative is ``i div P`` places behind one that the
+    positive's own hash picks among all N, wrapping around: every pair comes up once before any comes
+    again, and from the first pairs on the negatives spread over the whole class.
+    """
+    draws = _numbered(cohorts, cohort, F.least(F.col("quota"), F.col("_pos") * F.col("_neg")))
+    pos = placed.filter("truth = 1").select(cohort, F.col("place").alias("_pp"), F.col("entity").alias("positive"))
+    neg = placed.filter("truth = 0").select(cohort, F.col("place").alias("_np"), F.col("entity").alias("negative"))
+    start = hash_number("positive", cohort, F.lit("pair"))
+    drawn = draws.join(pos, [cohort, "_pp"]).withColumn("_np", F.pmod(start + F.col("_round"), F.col("_neg")) + 1)
+    return drawn.join(neg, [cohort, "_np"]).select(cohort, "quota", "_i", "positive", "negative")
+
+
 def cohort_pairs(examples: DataFrame, maximum: int, cohort: str = "cutoff") -> DataFrame:
-    """Positive/negative pairs inside each cohort under one global budget.
+    """Distinct positive/negative pairs inside each cohort under one global budget, spread over both classes.
 
-    Pair number ``i`` of a cohort joins the positives and negatives at places
-    ``i mod P`` and ``i div P`` of their content-hash order: distinct pairs by
-    construction, generated by index instead of from the full product.
+    They are generated by index; the full product is never formed, and all of it comes out where the budget covers it.
     """
-    kept = _class_ranks(examples, cohort, maximum)
-    sizes = examples.groupBy(cohort).agg(
-        F.sum("truth").alias("_pos"), F.sum(1 - F.col("truth")).alias("_neg")
-    ).filter("_pos > 0 and _neg > 0")
-    budget = quota(sizes, cohort, maximum)
-    wide = F.least(F.col("_pos"), F.lit(maximum))
-    budget = budget.withColumn("_n", F.least(F.col("quota"), F.col("_pos") * F.col("_neg")))
-    numbered = budget.select(cohort, wide.alias("_p"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("pair"))
-    numbered = numbered.withColumn("_pp", F.pmod("pair", "_p") + 1).withColumn(
-        "_np", F.floor(F.col("pair") / F.col("_p")) + 1
-    )
-    pos = kept.filter("truth = 1").select(cohort, F.col("place").cast("long").alias("_pp"), F.col("entity").alias("positive"))
-    neg = kept.filter("truth = 0").select(cohort, F.col("place").cast("long").alias("_np"), F.col("entity").alias("negative"))
-    return numbered.join(pos, [cohort, "_pp"]).join(neg, [cohort, "_np"]).select(cohort, "positive", "negative")
+    placed = checkpoint(hashed_places(examples.select(cohort, "entity", "truth"), [cohort, "truth"], ["entity", cohort]))
+    return _uniform(placed, _cohorts(placed, maximum, cohort), cohort).select(cohort, "positive", "negative")
 
 
-def hard_pairs(examples: DataFrame, maximum: int, cohort: str = "cutoff", score: str = "p") -> DataFrame:
-    """One near rival per positive, up to each cohort's quota of positives.
+def _near(placed: DataFrame, cohorts: DataFrame, cohort: str, rounds: int) -> DataFrame:
+    """(cohort, quota, _i, positive, negative): ``rounds`` x quota draws of a rival within one unit of log-odds.
 
-    Log-odds are cut into cells one unit wide, so every negative in the
-    positive's own cell is within one unit.  A cell offers its lowest content
-    hashes and each positive picks one by its own hash.  Where the cell is empty
-    the nearest score is taken from the extremes of the other cells, of which
-    clipping leaves fewer than thirty per cohort.
+    Negatives are ranked by score. How many lie below a positive's interval and up to its end is counted
+    exactly, from running totals of negatives per score, and a draw takes a hashed rank between. Where the interval is
+    empty the nearer of the two neighbouring ranks is taken.
     """
-    z = logit(F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6)))
-    scored = examples.withColumn("z", z).withColumn("cell", F.floor("z"))
-    sizes = scored.groupBy(cohort).agg(
-        F.sum("truth").alias("_pos"), F.sum(1 - F.col("truth")).alias("_neg")
-    ).filter("_pos > 0 and _neg > 0")
-    budget = quota(sizes, cohort, maximum).select(cohort, "quota")
-    positives = (
-        _class_ranks(scored.filter("truth = 1"), cohort, maximum)
-        .join(budget, cohort).filter(F.col("place") <= F.col("quota"))
-        .select(cohort, F.col("entity").alias("positive"), F.col("z").alias("zp"), "cell")
-    )
-    negatives = scored.filter("truth = 0").select(cohort, F.col("entity").alias("negative"), F.col("z").alias("zn"), "cell")
-    offered = top_rows(negatives, [cohort, "cell"], [content_rank("negative"), F.col("negative")], 64, "place")
-    cells = negatives.groupBy(cohort, "cell").agg(
-        F.least(F.count(F.lit(1)), F.lit(64)).alias("_n"),
-        F.min(F.struct("zn", "negative")).alias("_low"), F.max(F.struct("zn", "negative")).alias("_high"),
-    )
-    own = lookup(positives, cells.select(cohort, "cell", "_n"), [cohort, "cell"])
-    own = own.withColumn("place", (F.pmod(hash_number("positive"), F.col("_n")) + 1).cast("int"))
-    near = lookup(
-        own.filter(F.col("_n").isNotNull()), offered.select(cohort, "cell", "place", "negative"),
-        [cohort, "cell", "place"],
-    ).select(cohort, "positive", "negative")
-    edges = cells.groupBy(cohort).agg(F.collect_list(F.array("_low", "_high")).alias("_edges"))
-    far = own.filter(F.col("_n").isNull()).join(edges, cohort)
-    ordered = F.array_sort(
-        F.transform(
-            F.flatten("_edges"),
-            lambda e: F.struct(F.abs(e["zn"] - F.col("zp")).alias("gap"), e["negative"].alias("negative")),
-        )
-    )
-    return near.unionByName(far.select(cohort, "positive", ordered[0]["negative"].alias("negative")))
+    neg = placed.filter("truth = 0").select(cohort, F.col("entity").alias("negative"), "z")
+    pos = placed.filter("truth = 1").select(cohort, F.col("place").alias("_pp"), F.col("entity").alias("positive"), "z")
+    # Three marks for each positive: the ends of its interval and its own score.
+    ends = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("z") + step).alias("at")) for k, step in enumerate((-1, 1, 0))])
+    marks = pos.withColumn("_m", F.explode(ends)).select(cohort, "_pp", "positive", "z", "_m.k", "_m.at")
+    zero = marks.select(cohort, F.col("at").alias("z"), F.lit(0).cast("long").alias("n"))
+    cells = neg.select(cohort, "z", F.lit(1).cast("long").alias("n")).unionByName(zero).groupBy(cohort, "z").agg(F.sum("n").alias("n"))
+    totals = running_totals(cells, [cohort], "z", {"upto": "n"}).withColumn("below", F.col("upto") - F.col("n"))
+    totals = checkpoint(totals.select(cohort, "z", "upto", "below"))
+    ranked = hashed_places(neg, [cohort, "z"], ["negative", cohort], "_tie").join(totals.select(cohort, "z", "below"), [cohort, "z"])
+    ranked = ranked.select(cohort, "negative", F.col("z").alias("zn"), (F.col("below") + F.col("_tie") - 1).alias("_rank"))
+    known = marks.join(totals.select(cohort, F.col("z").alias("at"), "upto", "below"), [cohort, "at"])
+    pos = known.groupBy(cohort, "_pp", "positive", "z").agg(
+        F.max(F.when(F.col("k") == 0, F.col("below"))).alias("_from"), F.max(F.when(F.col("k") == 1, F.col("upto"))).alias("_to"),
+        F.max(F.when(F.col("k") == 2, F.col("below"))).alias("_under"))
+    drawn = _numbered(cohorts, cohort, F.col("quota") * rounds).join(pos, [cohort, "_pp"])
+    inside = F.col("_from") + F.pmod(hash_number("positive", cohort, "_round", F.lit("near")), F.col("_to") - F.col("_from"))
+    beside = F.filter(F.array(F.col("_under") - 1, F.col("_under")), lambda r: (r >= 0) & (r < F.col("_neg")))
+    drawn = drawn.withColumn("_rank", F.explode(F.when(F.col("_to") > F.col("_from"), F.array(inside)).otherwise(beside)))
+    gap = F.round(F.abs(F.col("zn") - F.col("z")), 9)
+    best = F.min(F.struct(gap.alias("gap"), "negative")).alias("_best")
+    found = drawn.join(ranked, [cohort, "_rank"]).groupBy(cohort, "quota", "_i", "positive").agg(best)
+    return found.select(cohort, "quota", "_i", "positive", F.col("_best.negative").alias("negative"))
 
 
 def mixed_pairs(examples: DataFrame, maximum: int, cohort: str = "cutoff", score: str = "p") -> DataFrame:
-    """Half uniform pairs and half near rivals, without repeats."""
-    uniform = cohort_pairs(examples, maximum // 2, cohort)
-    near = hard_pairs(examples, maximum - maximum // 2, cohort, score)
-    return uniform.unionByName(near).distinct()
+    """Half uniform pairs and half near rivals, without repeats, under one global budget.
+
+    Each cohort takes the first half of its uniform pairs, then new pairs among four times its quota of near draws, and
+    fills what is short with further uniform pairs.
+    """
+    z = logit(F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6)))
+    placed = checkpoint(hashed_places(examples.select(cohort, "entity", "truth", z.alias("z")), [cohort, "truth"], ["entity", cohort]))
+    cohorts = checkpoint(_cohorts(placed, maximum, cohort))
+    i, q = F.col("_i"), F.col("quota")
+    uniform = _uniform(placed, cohorts, cohort).withColumn("_turn", F.when(i < F.floor(q / 2), i).otherwise(5 * q + i))
+    near = _near(placed, cohorts, cohort, 4).withColumn("_turn", q + i)
+    first = uniform.unionByName(near).groupBy(cohort, "quota", "positive", "negative").agg(F.min("_turn").alias("_turn"))
+    # At most six times the budget's rows stand here.
+    place = F.row_number().over(Window.partitionBy(cohort).orderBy("_turn"))
+    return first.withColumn("_place", place).filter(F.col("_place") <= q).select(cohort, "positive", "negative")
 
 
 def pair_gradient(pairs: DataFrame, scores: DataFrame, cohort: str = "cutoff", score: str = "p") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,17 +31,24 @@ def local_session(cores: int | None = None, name: str = "asofkit", **settings: s
     return spark
 
 
-def checkpoint(frame):
-    """Cut lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, named by ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; without one (plain local
-    runs) the frame is returned as it is rather than written to a place the
-    other executors cannot see.
+    Where it is not set, a run on one machine gets a temporary folder; a cluster must name one, as a folder of one
+    machine would be lost to the others.
     """
-    spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return frame
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="asofkit-")
         spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint()
+    return folder.rstrip("/")
+
+
+def checkpoint(frame):
+    """Cut lineage by a table in the shared folder: it is computed once however often what follows reads it."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/asofkit-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -468,44 +468,43 @@ def _(t):
     return rounded(out.withColumn("place", F.col("place").cast("long")), "log_distance", places=6)
 
 
-_RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY cutoff, truth ORDER BY md5(concat_ws('|', entity, CAST(cutoff AS VARCHAR))), entity) AS place FROM ex),
-  sz AS (SELECT cutoff, sum(truth) AS np, sum(1-truth) AS nn FROM ex GROUP BY 1 HAVING sum(truth)>0 AND sum(1-truth)>0)"""
+def _h(*parts):
+    return f"CAST('0x'||substr(md5(concat_ws('|', {', '.join(parts)})),1,8) AS BIGINT)"
 
 
-def _quota(maximum):
-    return f"""(SELECT *, {maximum}//(count(*) OVER ()) + CASE WHEN row_number() OVER (ORDER BY cutoff)-1 < {maximum}%(count(*) OVER ()) THEN 1 ELSE 0 END AS q FROM sz)"""
+_CUT = "CAST(cutoff AS VARCHAR)"
 
 
-def _uniform_sql(maximum):
-    return f"""SELECT p.cutoff, p.entity AS positive, n.entity AS negative FROM {_quota(maximum)} s
-    JOIN ranked p ON p.cutoff=s.cutoff AND p.truth=1 AND p.place<=least(s.np,{maximum}) JOIN ranked n ON n.cutoff=s.cutoff AND n.truth=0
-    WHERE (n.place-1)*least(s.np,{maximum}) + (p.place-1) < least(s.q, s.np*s.nn)"""
+def _pairs_sql(maximum):
+    """Classes in hash order, each cohort's quota, and the uniform pairs by number."""
+    return f"""pl AS (SELECT *, ln(p/(1-p)) AS z, {_h('entity', _CUT, "'pair'")} AS off, row_number() OVER (PARTITION BY cutoff, truth ORDER BY {_h('entity', _CUT)}, entity)-1 AS place FROM ex),
+  sz AS (SELECT cutoff, sum(truth) AS np, sum(1-truth) AS nn FROM ex GROUP BY 1 HAVING sum(truth)>0 AND sum(1-truth)>0),
+  qu AS (SELECT *, {maximum}//(count(*) OVER ()) + CASE WHEN row_number() OVER (ORDER BY cutoff)-1 < {maximum}%(count(*) OVER ()) THEN 1 ELSE 0 END AS q FROM sz),
+  ui AS (SELECT *, unnest(generate_series(0, CAST(least(q, np*nn) AS BIGINT)-1)) AS i FROM qu),
+  un AS (SELECT ui.cutoff, q, i, p.entity AS positive, n.entity AS negative FROM ui JOIN pl p ON p.cutoff=ui.cutoff AND p.truth=1 AND p.place=i%np
+    JOIN pl n ON n.cutoff=ui.cutoff AND n.truth=0 AND n.place=(p.off+i//np)%nn)"""
 
 
-@query("J15_cohort_pairs", f"WITH {EXAMPLES}, {_RANKED} {_uniform_sql(500)}")
-def _(t):
-    return jn.cohort_pairs(example_rows(t), 500)
-
+_NEAR_SQL = f"""nz AS (SELECT cutoff, entity, z, row_number() OVER (PARTITION BY cutoff ORDER BY z, {_h('entity', _CUT)}, entity)-1 AS r FROM pl WHERE truth=0),
+  pi AS (SELECT p.cutoff, p.entity, p.place, p.z, count(*) FILTER (n.z<p.z-1) AS lo, count(*) FILTER (n.z<=p.z+1) AS hi, count(*) FILTER (n.z<p.z) AS under FROM pl p JOIN nz n ON n.cutoff=p.cutoff WHERE p.truth=1 GROUP BY ALL),
+  dr AS (SELECT *, unnest(generate_series(0, CAST(4*q AS BIGINT)-1)) AS j FROM qu),
+  di AS (SELECT dr.cutoff, q, j, pi.entity AS positive, z, lo, hi, under, lo+{_h('pi.entity', 'CAST(dr.cutoff AS VARCHAR)', 'CAST(j//np AS BIGINT)', "'near'")}%greatest(hi-lo,1) AS r FROM dr JOIN pi ON pi.cutoff=dr.cutoff AND pi.place=j%np),
+  ca AS (SELECT di.cutoff, q, j, positive, n.entity AS negative, row_number() OVER (PARTITION BY di.cutoff, j ORDER BY round(abs(n.z-di.z),9), n.entity) AS rn
+    FROM di JOIN nz n ON n.cutoff=di.cutoff AND ((hi>lo AND n.r=di.r) OR (hi=lo AND n.r BETWEEN under-1 AND under))),
+  mx AS (SELECT cutoff, q, positive, negative, min(t) AS t FROM (SELECT cutoff, q, positive, negative, CASE WHEN i<q//2 THEN i ELSE 5*q+i END AS t FROM un UNION ALL SELECT cutoff, q, positive, negative, q+j FROM ca WHERE rn=1) GROUP BY ALL)"""
 
-def _hard_sql(maximum):
-    return f"""SELECT cutoff, positive, negative FROM (SELECT p.cutoff, p.entity AS positive, n.entity AS negative,
-     row_number() OVER (PARTITION BY p.cutoff, p.entity ORDER BY CASE WHEN n.place=1+p.h%p.cn THEN 0 ELSE 1 END, abs(n.z-p.z), n.entity) AS rn
-     FROM pz p JOIN nz n ON n.cutoff=p.cutoff AND ((p.cn IS NOT NULL AND n.cell=p.cell AND n.place=1+p.h%p.cn) OR p.cn IS NULL)
-     JOIN {_quota(maximum)} s ON s.cutoff=p.cutoff WHERE p.place<=s.q) WHERE rn=1"""
 
-
-_HARD = """z AS (SELECT *, ln(p/(1-p)) AS z, floor(ln(p/(1-p))) AS cell FROM ranked),
-  nz AS (SELECT cutoff, entity, z, cell, row_number() OVER (PARTITION BY cutoff, cell ORDER BY md5(CAST(entity AS VARCHAR)), entity) AS place FROM z WHERE truth=0),
-  cn AS (SELECT cutoff, cell, least(count(*),64) AS cn FROM nz GROUP BY 1,2),
-  pz AS (SELECT z.*, cn.cn, CAST('0x'||substr(md5(CAST(entity AS VARCHAR)),1,8) AS BIGINT) AS h FROM z LEFT JOIN cn USING (cutoff, cell) WHERE truth=1)"""
+@query("J15_cohort_pairs", f"WITH {EXAMPLES}, {_pairs_sql(500)} SELECT cutoff, positive, negative FROM un")
+def _(t):
+    return jn.cohort_pairs(example_rows(t), 500)
 
 
-@query("J16_hard_pairs", f"WITH {EXAMPLES}, {_RANKED}, {_HARD} SELECT * FROM ({_uniform_sql(100)}) UNION SELECT * FROM ({_hard_sql(100)})")
+@query("J16_hard_pairs", f"WITH {EXAMPLES}, {_pairs_sql(600)}, {_NEAR_SQL} SELECT cutoff, positive, negative FROM (SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY t) AS k FROM mx) WHERE k<=q")
 def _(t):
-    return jn.mixed_pairs(example_rows(t), 200)
+    return jn.mixed_pairs(example_rows(t), 600)
 
 
-@query("J17_pair_gradient", f"""WITH {EXAMPLES}, {_RANKED}, pairs AS ({_uniform_sql(500)}),
+@query("J17_pair_gradient", f"""WITH {EXAMPLES}, {_pairs_sql(500)}, pairs AS (SELECT cutoff, positive, negative FROM un),
   e AS (SELECT pr.*, 1/(1+exp(-(ln(n.p/(1-n.p))-ln(a.p/(1-a.p))))) AS err FROM pairs pr JOIN ex a ON a.cutoff=pr.cutoff AND a.entity=pr.positive JOIN ex n ON n.cutoff=pr.cutoff AND n.entity=pr.negative),
   s AS (SELECT cutoff, positive AS entity, err AS g FROM e UNION ALL SELECT cutoff, negative, -err FROM e)
   SELECT cutoff, entity, {R('sum(g)')} AS gradient, {N('count(*)')} AS pairs FROM s GROUP BY 1,2""")

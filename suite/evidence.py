@@ -199,11 +199,11 @@ def _pair(policy, source="ev"):
     return f"(SELECT a.origin, a.entity, a.truth, a.prediction AS control, b.prediction AS candidate FROM ev a JOIN {source} b ON a.origin=b.origin AND a.entity=b.entity AND a.seed=0 AND b.seed=0 AND a.policy='incumbent' AND b.policy='{policy}')"
 
 
-_REPEATS = 20
+REPEATS = 600
 
 
-def _bound_sql(tag, policy, alpha, source="ev", repeats=_REPEATS):
-    u = "(CAST('0x'||substr(md5(concat_ws('|', entity, repeat)),1,8) AS BIGINT)/4294967296.0)"
+def _bound_sql(tag, policy, alpha, source="ev", repeats=REPEATS):
+    u = "(CAST('0x'||substr(md5(concat_ws('|', entity, repeat//4)),CAST(1+8*(repeat%4) AS INT),8) AS BIGINT)/4294967296.0)"
     return f"""{tag}d AS (SELECT * FROM (SELECT p.*, r.repeat, {_poisson(u)} AS w FROM {_pair(policy, source)} p, (SELECT range AS repeat FROM range({repeats})) r) WHERE w>0),
       {tag}s AS (SELECT repeat, origin, 0 AS side, truth, control AS sc, w FROM {tag}d UNION ALL SELECT repeat, origin, 1, truth, candidate, w FROM {tag}d), {auc_sql(tag + 'a', tag + 's', ['repeat', 'origin', 'side'], 'sc', 'truth', 'w')},
       {tag}g AS (SELECT repeat, origin, CASE WHEN count(auc)=2 THEN sum(CASE WHEN side=1 THEN auc ELSE -auc END) END AS gain FROM {tag}a GROUP BY 1,2), {tag}n AS (SELECT max(origin) AS last, count(DISTINCT origin) AS n FROM ev),
@@ -213,21 +213,21 @@ def _bound_sql(tag, policy, alpha, source="ev", repeats=_REPEATS):
 
 @query("V15_gain_lower_bound", f"""WITH {EV}, {', '.join(_bound_sql('b' + p[0], p, 0.05) for p in ('alpha', 'beta'))} SELECT policy, {R('lower_bound', 6)} AS lower_bound, {N('repeats')} AS repeats FROM (SELECT * FROM ba UNION ALL SELECT * FROM bb)""")
 def _(t):
-    return rounded(ev.gain_lower_bounds(evidence(t), ["alpha", "beta"], _REPEATS, 0.05), places=6)
+    return rounded(ev.gain_lower_bounds(evidence(t), ["alpha", "beta"], REPEATS, 0.05), places=6)
 
 
 @query("V16_recent_resample", f"""WITH {EV}, p AS (SELECT * FROM {_pair('alpha')} WHERE origin=(SELECT max(origin) FROM ev)), e AS (SELECT entity, row_number() OVER (ORDER BY CAST('0x'||substr(md5(CAST(entity AS VARCHAR)),1,8) AS BIGINT), entity)-1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM p)),
-  d AS (SELECT r.range AS repeat, CAST('0x'||substr(md5(concat_ws('|', r.range, place)),1,8) AS BIGINT)%n AS place, count(*) AS w FROM e, range({_REPEATS}) r GROUP BY 1,2), x AS (SELECT repeat, w, p.* FROM d JOIN e USING (place) JOIN p USING (entity)),
+  d AS (SELECT r.range AS repeat, CAST('0x'||substr(md5(concat_ws('|', r.range, place)),1,8) AS BIGINT)%n AS place, count(*) AS w FROM e, range({REPEATS}) r GROUP BY 1,2), x AS (SELECT repeat, w, p.* FROM d JOIN e USING (place) JOIN p USING (entity)),
   s AS (SELECT repeat, 0 AS side, truth, control AS sc, w FROM x UNION ALL SELECT repeat, 1, truth, candidate, w FROM x), {auc_sql('a', 's', ['repeat', 'side'], 'sc', 'truth', 'w')}, g AS (SELECT repeat, sum(CASE WHEN side=1 THEN auc ELSE -auc END) AS gain FROM a GROUP BY 1 HAVING count(auc)=2)
   SELECT 'alpha' AS policy, {R('quantile_cont(gain, 0.05)', 6)} AS recent_lower_bound, {N('count(*)')} AS repeats FROM g""")
 def _(t):
-    return rounded(ev.recent_resample(evidence(t), "alpha", _REPEATS, 0.05), places=6)
+    return rounded(ev.recent_resample(evidence(t), "alpha", REPEATS, 0.05), places=6)
 
 
 _PS = f"{SC}, ps AS (SELECT a.*, a.auc-c.auc AS gain, 0.005 AS cap FROM au a JOIN au c ON c.origin=a.origin AND c.seed=a.seed AND c.policy='incumbent')"
 
 
-def admission_sql(policies, source="ev", repeats=_REPEATS):
+def admission_sql(policies, source="ev", repeats=REPEATS):
     """The admission rule over a menu of challengers scored on ``source`` rows."""
     tags = [f"b{i}" for i in range(len(policies))]
     scored = _PS if source == "ev" else _PS.replace(SC, auc_sql("au", source, KEYS))
@@ -242,7 +242,7 @@ def admission_sql(policies, source="ev", repeats=_REPEATS):
 @query("V17_admission", admission_sql(("alpha", "beta", "gamma")))
 def _(t):
     rows = evidence(t)
-    bounds = ev.gain_lower_bounds(rows, ["alpha", "beta", "gamma"], _REPEATS, 0.05 / 3)
+    bounds = ev.gain_lower_bounds(rows, ["alpha", "beta", "gamma"], REPEATS, 0.05 / 3)
     return rounded(ev.admission(ev.paired_scores(rows), bounds), places=6)
 
 

@@ -15,7 +15,7 @@ from asofkit.plans import frames as fr
 from asofkit.requests import visible
 from asofkit.sources import io
 from suite.core import K, LINE_VIS, example_rows, order_lines
-from suite.evidence import KEYS, admission_sql, evidence
+from suite.evidence import REPEATS, KEYS, admission_sql, evidence
 from suite.families import _SAMPLE, HISTORY, label_history
 from suite.model import catalog
 from suite.sources import _folder
@@ -188,10 +188,10 @@ def _(t):
 _MENU = [f"{p}{b}" for p in ("alpha", "beta", "gamma") for b in ("", "__blend_0.125", "__blend_0.5")]
 
 
-@query("K9_candidate_menu", admission_sql(_MENU, "bl", 10))
+@query("K9_candidate_menu", admission_sql(_MENU, "bl"))
 def _(t):
     rows, names = ev.blends(evidence(t), [0.125, 0.5]), _MENU
-    bounds = ev.gain_lower_bounds(rows, names, 10, 0.05 / len(names))
+    bounds = ev.gain_lower_bounds(rows, names, REPEATS, 0.05 / len(names))
     return rounded(ev.admission(ev.paired_scores(rows), bounds), places=6)
 
 

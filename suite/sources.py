@@ -154,17 +154,12 @@ def _(t):
 
 
 def _folder(t, name):
-    """A fresh folder in the cluster's shared checkpoint folder; a local one only for a local master without one."""
-    import tempfile
+    """A fresh folder in the shared checkpoint folder."""
     import uuid
 
-    context = t.spark.sparkContext
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        base = tempfile.mkdtemp(prefix="asofkit-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    from asofkit.session import shared_folder
+
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _digest_sql(name, cols):

@@ -1,12 +1,14 @@
 """Scores, resampling, admission and sampling rules on small evidence."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from asofkit.operators import evidence as ev
+from asofkit.operators import joins as jn
 from asofkit.operators import sampling as sp
 
 O1, O2, O3 = (dt.datetime(2024, m, 1) for m in (1, 2, 3))
@@ -76,11 +78,46 @@ def test_vetoes_need_every_blend(spark):
     assert ev.vetoes(ev.paired_scores(ev.blends(_evidence(spark, 0.9), [0.5])), F.lit(O3)).count() == 0
 
 
-def test_poisson_weights_have_mean_one(spark):
-    from asofkit.functions.scalars import hash_unit
-
-    mean = spark.range(20_000).select(ev.poisson_one(hash_unit("id")).alias("w")).agg(F.avg("w"), F.max("w")).first()
-    assert mean[0] == pytest.approx(1.0, abs=0.03) and mean[1] >= 5
+def test_multipliers_are_poisson():
+    w = ev.multipliers(range(300), 599)
+    assert w.shape == (300, 599) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03 and w.max() < 12
+    assert (ev.multipliers(["7"], 10) == w[7, :10]).all()
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_gain_bounds_equal_plain_resampling(spark, task):
+    """Ties, a score that fills many buckets, entities in several origins; every repeat recomputed from its weights."""
+    rng, repeats = random.Random(4), 37
+    rows = []
+    for origin in (O1, O2):
+        for e in range(120):
+            truth = float(rng.random() < 0.4) if task == "classification" else rng.random()
+            scores = {p: 0.5 if rng.random() < 0.6 else round(rng.random() * 0.9 + 0.1 * truth, 1) for p in ("incumbent", "a", "b")}
+            rows += [(origin, 0, p, e, truth, s) for p, s in scores.items()]
+    frame = spark.createDataFrame(rows, "origin timestamp, seed int, policy string, entity long, truth double, prediction double")
+    weights = ev.multipliers(range(120), repeats)
+    found = {r.policy: (r.lower_bound, r.repeats) for r in ev.gain_lower_bounds(frame, ["a", "b"], repeats, 0.1, task).collect()}
+    for policy in ("a", "b"):
+        gains = []
+        for k in range(repeats):
+            total = 0
+            for origin in (O1, O2):
+                at = {p: [(weights[e, k], t, s) for o, _, q, e, t, s in rows if o == origin and q == p] for p in ("incumbent", policy)}
+                if task == "classification":
+                    value = {}
+                    for p, some in at.items():
+                        pos, neg = [(w, s) for w, t, s in some if t], [(w, s) for w, t, s in some if not t]
+                        won = sum(w * v * ((s > z) + 0.5 * (s == z)) for w, s in pos for v, z in neg)
+                        value[p] = won / (sum(w for w, _ in pos) * sum(v for v, _ in neg))
+                    total += 0.5 * (value[policy] - value["incumbent"])
+                else:
+                    loss = {p: sum(w * abs(t - s) for w, t, s in some) / sum(w for w, _, _ in some) for p, some in at.items()}
+                    total += 0.5 * (loss["incumbent"] - loss[policy])
+            gains.append(total)
+        gains.sort()
+        place = 0.1 * (repeats - 1)
+        low = int(place)
+        assert found[policy] == (pytest.approx(gains[low] + (place - low) * (gains[low + 1] - gains[low]), abs=1e-9), repeats)
 
 
 def test_trial_rules(spark, rows):
@@ -128,3 +165,33 @@ def test_time_split_takes_the_last_rows(spark):
     out = sp.time_split(rows, "cutoff", 0.35, ["entity"]).groupBy("split").agg(F.count("entity"), F.min("cutoff"), F.max("cutoff")).collect()
     got = {r[0]: r[1:] for r in out}
     assert got["train"][0] == 13 and got["train"][2] <= got["validation"][1]
+
+
+def _scored(spark, rows):
+    return spark.createDataFrame([(e, "c" + str(c), t, p) for e, c, t, p in rows], "entity string, cutoff string, truth int, p double")
+
+
+def test_uniform_pairs_spread_over_the_product(spark):
+    rows = [(f"p{i}", 1, 1, 0.5) for i in range(40)] + [(f"n{i}", 1, 0, 0.5) for i in range(60)]
+    frame = _scored(spark, rows)
+    seen = []
+    for budget in (20, 40, 200, 2400, 9000):
+        pairs = {(r.positive, r.negative) for r in jn.cohort_pairs(frame, budget).collect()}
+        assert len(pairs) == min(budget, 2400)
+        seen.append((len({p for p, _ in pairs}), len({n for _, n in pairs})))
+    assert seen[0][1] > 12 and seen[1][1] > 24 and seen[2][1] > 55 and seen[3] == seen[4] == (40, 60)
+
+
+def test_near_rivals_cross_cells_and_fall_back_to_the_nearest(spark):
+    logistic = lambda z: 1 / (1 + math.exp(-z))
+    # Whole units lie between cells: rivals at 0.9 below and above the positive are both within one unit.
+    rows = [("p0", 1, 1, logistic(0.95)), *[(f"a{i}", 1, 0, logistic(0.1 + i / 1000)) for i in range(70)], *[(f"b{i}", 1, 0, logistic(1.1 + i / 1000)) for i in range(70)]]
+    rows += [("far", 1, 0, logistic(9.0)), ("p1", 2, 1, logistic(-6.0)), ("x", 2, 0, logistic(-4.0)), ("y", 2, 0, logistic(-3.0)), ("z", 2, 0, logistic(8.0))]
+    frame = _scored(spark, rows)
+    placed = frame.withColumn("z", F.log(F.col("p") / (1 - F.col("p"))))
+    near = jn._near(jn.hashed_places(placed, ["cutoff", "truth"], ["entity", "cutoff"]), jn._cohorts(frame, 400, "cutoff"), "cutoff", 1).collect()
+    first = {r.negative for r in near if r.cutoff == "c1"}
+    assert len(first) > 64 and {n[0] for n in first} == {"a", "b"}
+    assert {r.negative for r in near if r.cutoff == "c2"} == {"x"}
+    mixed = jn.mixed_pairs(frame, 60).collect()
+    assert len(set(mixed)) == len(mixed) == 33  # thirty of the first cohort, all three of the second
