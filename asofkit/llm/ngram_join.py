@@ -6,11 +6,12 @@ order of the tokens, two sets of similarity ``percent`` share a token among the
 are narrowed by the prefix tokens of order 1, then of order 2. A pair found by order 0 must share as many prefix tokens there as
 a link needs, then a prefix token under order 1 and under order 2, before the whole sets are compared.
 
-Every order puts long shingles, which are rare, before short ones, and hashes decide within a length; the tokens
-that very many documents hold come last. Which ones is found from all
-documents: each batch reports tokens in over ``COMMON`` of its documents, and those sums are compared
-with the number of documents. At most (shingles per document / COMMON) tokens qualify, so the
-list is bounded whatever the input. It only changes the order, never the result.
+Every order goes by frequency, rare tokens first: a passage that many documents share stands behind their own
+words, so it brings no pair together. Frequencies are counted over all sets: runs of ``COUNTED`` tokens report those that
+several of their sets hold, and the sums choose the class of a token (``STEPS``). Each class is a
+bit filter of a fixed size, so what tasks receive does not grow; a filter that errs changes the
+order alike for all documents and never the result. Within a class long shingles, which are rare, come before short
+ones, and hashes decide within a length.
 
 Equal sets are one node from the start (128-bit digest of the sorted set). Documents without words or text
 have no set and link with nothing; their component is their own id. Ids may repeat or be null: every row
@@ -30,9 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.shared import NULL_ID, link, mixed, packed_texts, row_key, stored, unpacker, window_hashes
+from asofkit.llm.shared import NULL_ID, Filter, filter_of, link, mixed, packed_texts, row_key, stored, unpacker, window_hashes
 
-COMMON = 1 / 256
+STEPS = (32, 128, 512, 2048, 8192)  # sets that hold a token of each class at least
+COUNTED = 4_000_000  # tokens that are counted together
+REPORTED = 3  # sets among them that hold a reported token at least
+FREQUENCY_BITS = 22  # a class's filter is half a megabyte
 ORDERS = 3
 CLASS = 1.5  # ratio of the sizes in a size class
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -72,16 +76,34 @@ def shingle_set(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens, (ends[width:] - ends[:-width])[at]
 
 
-def prefix(tokens: np.ndarray, sizes: np.ndarray, order: int, common: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a set in a global order: common ones last, longer words (which are rarer) first, then by hash."""
+class Frequencies:
+    """The class of tokens: how many of the filters hold them, each filter being part of the one before."""
+
+    def __init__(self, packed: list[bytes], bits: int = FREQUENCY_BITS):
+        self.filters = [Filter(data, bits) for data in packed]
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), np.uint64)
+        at = np.arange(len(tokens))
+        for some in self.filters:
+            at = at[some(tokens[at])]
+            out[at] += np.uint64(1)
+        return out
+
+
+@functools.lru_cache(2)
+def frequencies(packed: tuple[bytes, ...]) -> Frequencies:
+    """Unpacked once per Python worker."""
+    return Frequencies(list(packed))
+
+
+def prefix(tokens: np.ndarray, sizes: np.ndarray, order: int, common: Frequencies, percent: int) -> np.ndarray:
+    """The first tokens of a set in a global order: frequent ones last, longer words (which are rarer) first, then by hash."""
     n = len(tokens)
     size = n - -(-n * percent // 100) + 1
     if size >= n:
         return tokens
-    place = np.uint64(127) - np.minimum(sizes // 4, 127).astype(np.uint64)
-    if len(common):  # sorted, and often longer than the set
-        held = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
-        place += held.astype(np.uint64) << np.uint64(7)
+    place = np.uint64(31) - np.minimum(sizes // 8, 31).astype(np.uint64) + (common(tokens) << np.uint64(5))
     place = place << np.uint64(56) | mixed(tokens, order + 1) >> np.uint64(8)
     return tokens[np.argpartition(place, size - 1)[:size]]
 
@@ -91,24 +113,33 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values.view("i8")))
 
 
-def common_tokens(texts: DataFrame, width: int) -> np.ndarray:
-    """Tokens that over COMMON of all documents hold, from one pass over all documents.
-
-    A batch reports its tokens above half that share, so a token that qualifies overall is reported by the batches
-    that hold most of it.
-    """
+def token_classes(texts: DataFrame, width: int) -> tuple[bytes, ...]:
+    """Packed filters of the tokens of each class, from one pass over all texts; equal sets of a run count once."""
     def count(batches):
-        for batch in batches:
-            sets = [shingle_set(t, width)[0] for t in batch.column(0).to_pylist()]
-            tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            most = n >= max(3, COMMON / 2 * len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(tokens[most].view("i8"), 0)), pa.array(np.append(n[most], len(sets)).astype("i8")), pa.array(np.append(np.zeros(most.sum(), bool), True))], ["token", "n", "total"])
+        sets, seen, total = [], set(), 0
 
-    found = texts.select("text").mapInArrow(count, "token long, n long, total boolean").groupBy("total", "token").agg(F.sum("n").alias("n"))
-    found = stored(found, "common")
-    documents = found.filter("total").agg(F.sum("n")).first()[0] or 0
-    rows = found.filter(~F.col("total") & (F.col("n") >= max(16, int(COMMON * documents)))).select("token").collect()
-    return np.sort(np.array([r[0] for r in rows], "i8").view("u8"))
+        def report():
+            tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+            most = n >= REPORTED
+            return pa.RecordBatch.from_arrays([pa.array(tokens[most].view("i8")), pa.array(n[most].astype("i8"))], ["h", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                tokens = shingle_set(text.as_py(), width)[0]
+                digest = xxhash.xxh3_128_digest(tokens.tobytes())
+                if len(tokens) and digest not in seen:
+                    seen.add(digest)
+                    sets.append(tokens)
+                    total += len(tokens)
+                if total >= COUNTED:
+                    yield report()
+                    sets, seen, total = [], set(), 0
+        if sets:
+            yield report()
+
+    found = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = stored(found.filter(F.col("n") >= STEPS[0]), "frequent")
+    return tuple(filter_of(found.filter(F.col("n") >= step), FREQUENCY_BITS) for step in STEPS)
 
 
 def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -119,13 +150,13 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     texts = docs.select(*row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_tokens(texts, width))
+    common = docs.sparkSession.sparkContext.broadcast(token_classes(texts, width))
 
     def sign(batches):
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
             digests = [xxhash.xxh3_128_digest(t.tobytes()) if len(t) else None for t, _ in sets]
-            first = _lists([prefix(t, s, 0, common.value, percent) for t, s in sets])
+            first = _lists([prefix(t, s, 0, frequencies(common.value), percent) for t, s in sets])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sig"), pa.array([len(t) for t, _ in sets], pa.int64()), pa.array(digests, pa.binary()), first], ["id", "sig", "n", "digest", "p0"])
 
     signed = stored(texts.mapInArrow(sign, "id long, sig long, n long, digest binary, p0 array<long>"), "signed")
@@ -155,7 +186,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
             text_of = unpacker()
             for batch in batches:
                 sets = [shingle_set(text_of(x), width) for x in batch.column("packed").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([prefix(t, s, level, common.value, percent) for t, s in sets])], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([prefix(t, s, level, frequencies(common.value), percent) for t, s in sets])], ["node", "tokens"])
 
         return rows
 
@@ -172,7 +203,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         @functools.lru_cache(8)  # pairs of one document come together
         def known(packed):
             found = shingle_set(text_of(packed), width)
-            return found[0], [prefix(*found, k, common.value, percent) for k in range(1, ORDERS)]
+            return found[0], [prefix(*found, k, frequencies(common.value), percent) for k in range(1, ORDERS)]
 
         for batch in batches:
             good = []

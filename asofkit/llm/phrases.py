@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.llm.shared import stored
+from asofkit.llm.shared import Filter, filter_of, stored
 
 LEAST = 100
 TOP = 2000
@@ -152,27 +152,6 @@ def word_counts(blocks: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("h").agg(F.min("g").alias("g"), F.sum("a").alias("a")).filter(F.col("a") >= least)
 
 
-def filter_of(frame: DataFrame, bits: int) -> bytes:
-    """A bit for each hash ``h`` by its last bits, packed; the driver gets 2**bits bits at most."""
-    import zstandard
-
-    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + 1
-    rows = frame.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    out = bytearray(max(1 << bits, 32768) // 8)
-    for b, part in rows.collect():
-        out[(b - 1) * 4096 : b * 4096] = part
-    return zstandard.ZstdCompressor(level=1).compress(bytes(out))
-
-
-class Filter:
-    def __init__(self, packed: bytes, bits: int):
-        self.set = np.unpackbits(_unpack(packed, np.uint8), bitorder="little").view(bool)
-        self.mask = np.uint64((1 << bits) - 1)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        return self.set[hashes & self.mask]
-
-
 def _phrases(row: dict, known: Filter, size: int):
     """Slice by slice the block's word hashes with margins, BREAK for words that are not frequent, and the hashes of runs of 1 to ``size`` words."""
     words = np.append(np.uint64(BREAK), _unpack(row["vocabulary"], np.uint64))

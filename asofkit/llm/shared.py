@@ -182,6 +182,33 @@ def token_bytes(path: str) -> TokenBytes:
     return TokenBytes(path)
 
 
+# Filters of a fixed size.
+def filter_of(frame: DataFrame, bits: int) -> bytes:
+    """A bit for each hash ``h`` by its last bits, packed; the driver gets 2**bits bits at most."""
+    import zstandard
+
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + 1
+    rows = frame.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    out = bytearray(max(1 << bits, 32768) // 8)
+    for b, part in rows.collect():
+        out[(b - 1) * 4096 : b * 4096] = part
+    return zstandard.ZstdCompressor(level=1).compress(bytes(out))
+
+
+class Filter:
+    """Whether hashes may be in a set: never wrong about one that is."""
+
+    def __init__(self, packed: bytes, bits: int):
+        import zstandard
+
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+        self.set = np.unpackbits(data, bitorder="little").view(bool)
+        self.mask = np.uint64((1 << bits) - 1)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.set[hashes & self.mask]
+
+
 # Components.
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of ``edges`` (a, b).
@@ -228,19 +255,20 @@ def link(entries, refine, verify, dense: int = 64) -> DataFrame:
     with two others picked by hash, which leaves a group of similar members in one component. Those with
     members in different components after that get narrower keys on the next level, however few they are.
     """
-    links, roots = None, None
+    roots = None
     level, kept = 0, None
 
     def joined(paired, stars=None):
-        nonlocal links, roots
+        nonlocal roots
         pairs = paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
         if stars is not None:
             unknown = _ordered(stars).withColumn("shared", F.lit(None).cast("long"))
             pairs = pairs.unionByName(unknown)
         found = stored(verify(pairs), "links")
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            roots = stored(components(links), "roots")
+        if roots is None:
+            roots = stored(components(found), "roots")
+        elif not found.isEmpty():
+            roots = stored(_contracted(found, roots), "roots")
 
     while True:
         rows = entries(level, kept)
@@ -268,6 +296,18 @@ def link(entries, refine, verify, dense: int = 64) -> DataFrame:
         level += 1
 
 
+def _contracted(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Roots after new links: only the edges between the components they join are solved."""
+    edges = found.select("a", "b")
+    for side in ("a", "b"):
+        edges = edges.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}r")), side, "left")
+    edges = edges.select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b"))
+    moved = stored(components(edges), "moved")
+    # A node that had no link yet stands among the moved ones alone.
+    every = roots.unionByName(moved.select("node", F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti"))
+    return every.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
 def _pairs(rows: DataFrame, rest: DataFrame, known: bool) -> DataFrame:
     """Pairs (a, b, shared) of different components within a key, one as idx, the other as prb.
 
