@@ -125,7 +125,8 @@ def token_classes(texts: DataFrame, width: int) -> tuple[bytes, ...]:
 
         for batch in batches:
             for text in batch.column(0):
-                tokens = shingle_set(text.as_py(), width)[0]
+                words = word_hashes(text.as_py().lower())[0]
+                tokens = np.unique(window_hashes(words, min(width, len(words)))) if len(words) else words
                 digest = xxhash.xxh3_128_digest(tokens.tobytes())
                 if len(tokens) and digest not in seen:
                     seen.add(digest)
