@@ -234,7 +234,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         sides = [whole.select(F.col("node").alias(s), F.col("packed").alias(t)) for s, t in (("a", "x"), ("b", "y"))]
         return near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    roots = link(entries, 2, verify)
+    roots = link(entries, 2, verify, first=8)
     named = sets.select("digest", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A component is named after its smallest id.
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))

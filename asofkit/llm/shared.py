@@ -242,7 +242,7 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link(entries, refine, verify, dense: int = 64) -> DataFrame:
+def link(entries, refine, verify, dense: int = 64, first: int | None = None) -> DataFrame:
     """Components (node, root) of the links among nodes that share a key.
 
     ``entries(level, kept)`` gives (key, node, idx, prb) with one row per key and node: level 0
@@ -279,8 +279,9 @@ def link(entries, refine, verify, dense: int = 64) -> DataFrame:
         if level == refine:
             joined(_pairs(near, near.limit(0), False))
             return roots
-        many = near.filter(F.col("open") > dense)
-        joined(_pairs(near.filter(F.col("open") <= dense), many, level == 0), many.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")))
+        few = F.col("open") <= (first or dense)
+        many = near.filter(~few)
+        joined(_pairs(near.filter(few), many, level == 0), many.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")))
         large = stored(many.select("key", "node", "idx", "prb", "lo", "hi", "n"), "large")
         if large.isEmpty():
             return roots
