@@ -374,7 +374,7 @@ def _(t):
   WHERE o_orderdate<TIMESTAMP '2024-01-20' AND l_shipdate<TIMESTAMP '2024-01-20'""")
 def _(t):
     cat = catalog(t)
-    kept, _ = pl.fact_paths(cat, "customer", depth=2, limit=8)
+    kept, _ = pl.fact_paths(cat, "customer", depth=2)
     out = None
     for steps in kept:
         facts = jn.path_facts(pl.path_hops(cat, steps)).filter(F.col("known") < stamp("2024-01-20"))

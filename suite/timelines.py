@@ -32,13 +32,16 @@ ORDER_CH = """ch AS (SELECT o_custkey AS entity, o_orderdate AS ts, o_orderdate
   SELECT o_custkey, l_shipdate, greatest(l_shipdate, o_orderdate), 1 FROM orders JOIN lineitem ON l_orderkey=o_orderkey)"""
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 def type_channels(t):
-    """Purchases and clicks as two channels."""
-    rows = t.user_events().filter(F.col("event_type").isin("purchase", "click"))
-    return rows.select("entity", "ts", F.col("ts").alias("visible_at"), F.when(F.col("event_type") == "click", 1).otherwise(0).alias("channel"))
+    """Each event type as a channel of its own."""
+    number = F.array_position(F.array(*[F.lit(x) for x in EVENT_TYPES]), F.col("event_type")) - 1
+    return t.user_events().select("entity", "ts", F.col("ts").alias("visible_at"), number.cast("int").alias("channel"))
 
 
-TYPE_CH = """ch AS (SELECT user_id AS entity, ts, ts AS visible_at, CASE WHEN event_type='click' THEN 1 ELSE 0 END AS channel FROM events WHERE event_type IN ('purchase','click'))"""
+TYPE_CH = f"""ch AS (SELECT user_id AS entity, ts, ts AS visible_at, CAST(list_position({list(EVENT_TYPES)!r}, event_type)-1 AS INT) AS channel FROM events)"""
 
 
 def _timeline():
@@ -88,10 +91,10 @@ _RC = [("count(*)", "active_days", "n"), ("sum(events)", "events", "n"), ("max(a
        ("count(*)-(count(*) FILTER (age<730))", "days_before_730", "n")]
 
 
-def channel_sql(prefix, columns, rows="rows"):
+def channel_sql(prefix, columns, rows="rows", channels=2):
     """Wide per-channel output from a long table with a channel column."""
     ctes, outer, joins = [], [], []
-    for c, label in ((-1, "all"), (0, "c0"), (1, "c1")):
+    for c, label in ((-1, "all"), *((c, f"c{c}") for c in range(channels))):
         inner = ", ".join(f"{e} AS {n}" for e, n, _ in columns)
         ctes.append(f"b_{label} AS (SELECT entity, cutoff, {inner} FROM {rows} WHERE channel={c} GROUP BY 1,2)")
         joins.append(f"LEFT JOIN b_{label} ON b_{label}.entity=r.entity AND b_{label}.cutoff=r.cutoff")
@@ -130,16 +133,16 @@ _SQ = [("count(*)", "instants", "n"), ("sum(events)", "events", "n"), (f"max(age
 
 @query("A53_exact_sequence", channel_sql(f"""{TYPE_CH}, {EVENT_REQ}, ins AS (SELECT r.cutoff, ch.entity, channel, ts, count(*) AS events FROM requests r JOIN ch ON ch.entity=r.entity AND ts<least(cutoff, TIMESTAMP '2024-01-18') AND ts>=cutoff-INTERVAL 3650 DAY GROUP BY ALL),
   ex AS (SELECT entity, cutoff, channel, ts, events FROM ins UNION ALL SELECT entity, cutoff, -1, ts, sum(events) FROM ins GROUP BY ALL),
-  rows AS (SELECT *, {secs('lag(ts) OVER w', 'ts')} AS gap, {secs('max(ts) OVER (PARTITION BY entity, cutoff, channel)', 'cutoff')} AS age, row_number() OVER (PARTITION BY entity, cutoff, channel ORDER BY ts DESC) AS rank FROM ex WINDOW w AS (PARTITION BY entity, cutoff, channel ORDER BY ts))""", _SQ))
+  rows AS (SELECT *, {secs('lag(ts) OVER w', 'ts')} AS gap, {secs('max(ts) OVER (PARTITION BY entity, cutoff, channel)', 'cutoff')} AS age, row_number() OVER (PARTITION BY entity, cutoff, channel ORDER BY ts DESC) AS rank FROM ex WINDOW w AS (PARTITION BY entity, cutoff, channel ORDER BY ts))""", _SQ, channels=len(EVENT_TYPES)))
 def _(t):
-    return rounded(tl.exact_sequence(t.event_requests(phase="2024-01-18"), type_channels(t), 2, _HS))
+    return rounded(tl.exact_sequence(t.event_requests(phase="2024-01-18"), type_channels(t), len(EVENT_TYPES), _HS))
 
 
 def _trans():
     cols = []
     for w, d in enumerate((3, 12)):
-        for a in (0, 1):
-            for b in (0, 1):
+        for a in range(len(EVENT_TYPES)):
+            for b in range(len(EVENT_TYPES)):
                 c = f"FILTER (pm & {1 << a} <> 0 AND mask & {1 << b} <> 0 AND age<{d})"
                 cols += [(f"sum(mass) {c}", f"w{w}_{a}_{b}_count", "z"), (f"(sum(mass*gap) {c})/nullif(sum(mass) {c},0)", f"w{w}_{a}_{b}_gap", "d")]
     return cols
@@ -149,7 +152,7 @@ def _trans():
   o AS (SELECT r.cutoff, ins.*, lag(mask) OVER w AS pm, lag(ts) OVER w AS pt FROM requests r JOIN ins ON ins.entity=r.entity AND ts<cutoff WINDOW w AS (PARTITION BY ins.entity, r.cutoff ORDER BY ts)),
   visible AS (SELECT *, 1.0::DOUBLE/(bit_count(mask)*bit_count(pm)) AS mass, date_diff('microsecond', pt, ts)/86400e6 AS gap, date_diff('microsecond', ts, cutoff)/86400e6 AS age FROM o WHERE pt IS NOT NULL AND ts>cutoff-INTERVAL 12 DAY)""", _trans()))
 def _(t):
-    return rounded(tl.transitions(t.event_requests(), type_channels(t), 2, 3))
+    return rounded(tl.transitions(t.event_requests(), type_channels(t), len(EVENT_TYPES), 3))
 
 
 def _km_sql(h):

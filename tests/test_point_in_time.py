@@ -269,7 +269,12 @@ def test_fact_paths_take_turns():
         table("c", (), "t", (("a", "a"),)))})
     kept, omitted = pl.fact_paths(cat, "root", 2, 3)
     assert kept == [(("a", "r1"),), (("b", "r"),), (("a", "r2"),)] and len(omitted) == 2
-    assert pl.balanced_pairs(4, 3) == [(0, 1), (2, 3), (0, 2)]
+    for width in (2, 3, 4, 5, 8):
+        pairs = pl.balanced_pairs(width, 10**6)
+        assert len(set(pairs)) == len(pairs) == width * (width - 1) // 2 and all(a < b < width for a, b in pairs)
+        for budget in range(1, len(pairs)):
+            uses = [sum(i in p for p in pairs[:budget]) for i in range(width)]
+            assert max(uses) - min(uses) <= 2 and len(pl.balanced_pairs(width, budget)) == budget
     assert pl.unrolled("root", cat.relationships, 2, 2)
 
 
