@@ -1,10 +1,10 @@
 """Packing documents into sequences by patterns of lengths.
 
-Pieces are counted by length, at most ``capacity`` counts. Patterns of two and three lengths that fill
-a sequence exactly are enumerated; non-negative least squares fits how often each is repeated, so that the
-patterns use up the counts. The repeats are rounded within what is left, largest first, and the residual counts are
-packed best fit decreasing, many equal pieces at a time. All of this works on the counts, so its size is that
-of the capacity, not of the data. The plan says for the k-th piece of a length which sequence and offset it
+Pieces are counted by length, at most ``capacity`` counts. Patterns of up to eight pieces that leave no room for another
+piece are enumerated; non-negative least squares fits how often each is repeated, so that the
+patterns use up the counts and leave little empty. The repeats are rounded in several ways within what is left, largest first, and the residual
+counts are packed best fit decreasing, many equal pieces at a time; the plan with the fewest sequences stands. All of this works
+on the counts, so its size is that of the capacity, not of the data. The plan says for the k-th piece of a length which sequence and offset it
 takes; pieces are ranked within their length by slices, so a frequent length is not ordered in one task.
 
 A document is its token ids, then id ``end``. Only longer ones are cut, into pieces of ``capacity`` tokens of which the
@@ -27,6 +27,10 @@ CAPACITY = 1024
 END = 2
 SLICE = 50_000
 STEPS = 400
+MOST = 8  # pieces of a pattern of two lengths
+#: (what is added to repeats before they are rounded down, share of the capacity that a pattern's longest piece has at least).
+#: The less is added and the more patterns go without repeats, the more is left to best fit; the last one leaves all.
+ROUNDINGS = (*((more, least) for least in (0.0, 0.5, 0.75) for more in (0.0, 0.5, 1.0)), (0.0, 1.0))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -52,105 +56,149 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
-def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows (a, b, c), a >= b >= c >= 0, of lengths at hand that add up to the capacity; c is 0 in pairs."""
+def patterns(lengths: np.ndarray, capacity: int, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times), three columns each: patterns of up to ``most`` pieces that leave no room for another piece.
+
+    Pairs and triples of lengths at hand that add up to the capacity; and i pieces of one length with j of another, the
+    longest at hand that fits j times. The last column repeats once or, in patterns without it, not at all.
+    """
     at_hand = np.zeros(capacity + 1, bool)
     at_hand[lengths] = True
-    at_hand[0] = True
+    below = np.maximum.accumulate(np.where(at_hand, np.arange(capacity + 1), 0))  # the longest at hand up to each length
     a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
     c = capacity - a - b
-    fits = (a >= b) & (c >= 0) & (c <= b)
+    fits = (a >= b) & (c > 0) & (c <= b)
     a, b, c = a[fits], b[fits], c[fits]
     good = at_hand[c]
-    return np.stack([a[good], b[good], c[good]], 1)
-
-
-def fit(made: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Repeats x >= 0 of the patterns that minimise |A x - counts|, by accelerated projected gradient."""
+    made = [np.stack([a[good], b[good], c[good]], 1)]
+    times = [np.ones((int(good.sum()), 3), int)]
+    for i in range(1, most + 1):
+        for j in range(most - i + 1):
+            room = capacity - i * lengths
+            a = lengths[room >= 0]
+            b = below[room[room >= 0] // j] if j else np.zeros(len(a), int)
+            fits = ((b > 0) & (b != a)) if j else np.ones(len(a), bool)
+            a, b = a[fits], b[fits]
+            tight = capacity - i * a - j * b < lengths[0]
+            a, b = a[tight], b[tight]
+            made.append(np.stack([a, b, np.zeros(len(a), int)], 1))
+            times.append(np.tile([i, j, 0], (len(a), 1)))
+    return np.concatenate(made), np.concatenate(times)
+
+
+def fit(made: np.ndarray, times: np.ndarray, counts: np.ndarray, capacity: int, steps: int = STEPS) -> np.ndarray:
+    """Repeats x >= 0 of the patterns that minimise |A x - counts|, by accelerated projected gradient.
+
+    What a pattern leaves empty is one more row of A, of which nothing is wanted.
+    """
     size = len(counts)
+    waste = (capacity - (made * times).sum(1)) / capacity
 
     def used(x):
-        total = sum(np.bincount(made[:, k], x, size) for k in range(3))
-        total[0] = 0
-        return total
+        return sum(np.bincount(made[:, k], x * times[:, k], size) for k in range(3)), waste @ x
+
+    def back(gap, empty):
+        return sum(gap[made[:, k]] * times[:, k] for k in range(3)) + waste * empty
 
-    # The largest eigenvalue of A'A is at most the largest row sum of A A', here by a few power steps.
+    # The largest eigenvalue of A'A by a few power steps.
     x = np.ones(len(made))
     for _ in range(20):
-        y = used(x)
-        x = sum(y[made[:, k]] for k in range(3))
+        x = back(*used(x))
         bound = np.linalg.norm(x)
         x /= bound
     step = 1 / (1.1 * bound)
     x = np.zeros(len(made))
     ahead, t = x, 1.0
     for _ in range(steps):
-        gap = used(ahead) - counts
-        gap[0] = 0
-        new = np.maximum(0, ahead - step * sum(gap[made[:, k]] for k in range(3)))
+        total, empty = used(ahead)
+        new = np.maximum(0, ahead - step * back(total - counts, empty))
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead = new + (old - 1) / t * (new - x)
         x = new
     return x
 
 
+class Plan:
+    """Slots of the pieces of each length: (first rank, first sequence, offset) of runs of equal slots."""
+
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.left, self.capacity = counts.astype(np.int64).copy(), capacity
+        self.placed = np.zeros(capacity + 1, np.int64)
+        self.runs: dict[int, list] = {}
+        self.sequences = 0
+        self.free: dict[int, list] = {}  # groups of equally filled sequences by what is free: (first sequence, number)
+
+    def place(self, length: int, number: int, sequence: int, offset: int):
+        self.runs.setdefault(length, []).append((int(self.placed[length]), sequence, offset))
+        self.placed[length] += number
+        self.left[length] -= number
+
+    def repeat(self, parts: list[tuple[int, int]], number: int):
+        """``number`` sequences of a pattern of (length, times)."""
+        offset = 0
+        for n, times in parts:
+            for _ in range(times):
+                self.place(n, number, self.sequences, offset)
+                offset += n
+        if offset < self.capacity:
+            self.free.setdefault(self.capacity - offset, []).append((self.sequences, number))
+        self.sequences += number
+
+    def best_fit(self):
+        """What is left, longest first, each into the fullest sequence that takes it, many equal pieces at a time."""
+        capacity, left, free = self.capacity, self.left, self.free
+        for n in range(capacity, 0, -1):
+            while left[n]:
+                room = min((r for r in free if r >= n and free[r]), default=None)
+                if room is None:
+                    # As many sequences as equal pieces need.
+                    need = int(-(-left[n] // (capacity // n)))
+                    free.setdefault(capacity, []).append((self.sequences, need))
+                    self.sequences += need
+                    room = capacity
+                first, number = free[room].pop()
+                take = int(min(number, left[n]))
+                self.place(n, take, first, capacity - room)
+                if take < number:
+                    free[room].append((first + take, number - take))
+                if room > n:
+                    free.setdefault(room - n, []).append((first, take))
+
+    def taken(self) -> int:
+        """Sequences that hold a piece."""
+        return self.sequences - sum(n for _, n in self.free.get(self.capacity, ()))
+
+
 def plan(counts: np.ndarray, capacity: int) -> dict[int, tuple]:
     """Per length: (first rank, first sequence, offset) of runs of equal slots, sorted by rank.
 
     ``counts[n]`` pieces have length n. Piece k of a length lies in the last run whose first rank is at
-    most k, in the sequence as far behind the run's first one as k is behind the first rank.
+    most k, in the sequence as far behind the run's first one as k is behind the first rank. Fitted repeats are rounded
+    in the ways of ``ROUNDINGS``; the plan with the fewest sequences stands.
     """
-    left = counts.astype(np.int64).copy()
-    runs: dict[int, list] = {}
-    placed = np.zeros(capacity + 1, np.int64)
-    sequences = 0
-
-    def place(length: int, number: int, sequence: int, offset: int):
-        runs.setdefault(length, []).append((int(placed[length]), sequence, offset))
-        placed[length] += number
-        left[length] -= number
-
-    place_full = int(left[capacity])
-    if place_full:
-        place(capacity, place_full, 0, 0)
-        sequences = place_full
-    lengths = np.flatnonzero(left)
-    made = patterns(lengths, capacity) if len(lengths) else np.zeros((0, 3), int)
-    if len(made):
-        x = fit(made, left.astype(float))
-        # Longest pieces first, whose partners are few; their likeliest patterns first.
-        for i in np.lexsort((-x, -made[:, 0])):
-            if x[i] < 1e-3:
-                continue
-            parts = [int(n) for n in made[i] if n]
-            most = min(left[n] // parts.count(n) for n in parts)
-            number = int(min(most, np.ceil(x[i])))
+    lengths = np.flatnonzero(counts[:capacity])
+    made, times = patterns(lengths, capacity) if len(lengths) else (np.zeros((0, 3), int), np.zeros((0, 3), int))
+    x = fit(made, times, np.append(counts[:capacity], 0).astype(float), capacity) if len(made) else np.zeros(0)
+    # Longest pieces first, whose partners are few; their likeliest patterns first.
+    longest = made.max(1, initial=0)
+    order = np.lexsort((-x, -longest))
+    best = None
+    for more, least in ROUNDINGS:
+        now = Plan(counts, capacity)
+        if now.left[capacity]:
+            now.repeat([(capacity, 1)], int(now.left[capacity]))
+        wanted = np.where((x > 1e-3) & (longest >= least * capacity), np.floor(x + more), 0).astype(np.int64)
+        for i in order[wanted[order] > 0]:
+            parts = [(int(n), int(k)) for n, k in zip(made[i], times[i], strict=True) if k]
+            number = int(min(wanted[i], *(now.left[n] // k for n, k in parts)))
             if number > 0:
-                offset = 0
-                for n in parts:
-                    place(n, number, sequences, offset)
-                    offset += n
-                sequences += number
-    # Groups of equally filled sequences, by what is free: (first sequence, number).
-    free: dict[int, list] = {}
-    for n in range(capacity, 0, -1):
-        while left[n]:
-            room = min((r for r in free if r >= n and free[r]), default=None)
-            if room is None:
-                free.setdefault(capacity, []).append((sequences, int(left[n])))
-                # As many sequences as equal pieces could need; those not used are given back below.
-                need = int(-(-left[n] // (capacity // n)))
-                free[capacity][-1] = (sequences, need)
-                sequences += need
-                room = capacity
-            first, number = free[room].pop()
-            take = int(min(number, left[n]))
-            place(n, take, first, capacity - room)
-            if take < number:
-                free[room].append((first + take, number - take))
-            if room > n:
-                free.setdefault(room - n, []).append((first, take))
-    return {n: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for n, r in runs.items()}
+                now.repeat(parts, number)
+        now.best_fit()
+        if best is None or now.taken() < best.taken():
+            best = now
+        if best.taken() * capacity < counts @ np.arange(capacity + 1) + capacity:
+            break  # no plan needs fewer
+    return {n: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for n, r in best.runs.items()}
 
 
 def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
