@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.functions.scalars import (
-    as_column, content_rank, count_if, days, finite, minus_seconds, ratio, seconds, text, when,
+    as_column, count_if, days, finite, minus_seconds, ratio, seconds, text, when,
 )
 from asofkit.requests import Requests
-from asofkit.skew import lookup, top_rows
+from asofkit.skew import lookup, percentiles, top_rows
 
 # The retrospective day grid and the default lookback.
 PERIOD_DAYS = (1, 3, 4, 7, 14, 30, 60, 90, 180, 365, 730)
@@ -261,27 +261,26 @@ def root_age(time: str) -> Column:
 
 # --- distribution sketches ------------------------------------------------
 
-CALIBRATION_ROWS = 20_000
 CUT_STEPS = 7
 
 
-def calibration_sample(rows: DataFrame, identity: list[str], limit: int = CALIBRATION_ROWS) -> DataFrame:
-    """The bounded training sample: lowest content hashes first."""
-    return rows.withColumn("_h", content_rank(*identity)).orderBy("_h").limit(limit).drop("_h")
+def cutpoints(rows: DataFrame, names: list[str], steps: int = CUT_STEPS) -> dict[str, list[float]]:
+    """Frozen quantile cutpoints over all training rows: distinct, below the maximum, none if too few values.
 
-
-def cutpoints(sample: DataFrame, names: list[str], steps: int = CUT_STEPS) -> dict[str, list[float]]:
-    """Frozen quantile cutpoints: distinct, below the maximum, none if too few values."""
-    marks = F.array(*[F.lit(i / (steps + 1)) for i in range(1, steps + 1)])
-    row = sample.agg(
-        *[F.percentile(finite(n), marks).alias(f"q_{n}") for n in names],
-        *[F.max(finite(n)).alias(f"m_{n}") for n in names],
-        *[F.count_distinct(finite(n)).alias(f"d_{n}") for n in names],
-    ).first()
-    fitted = {}
-    for n in names:
-        marks_n = sorted(set(row[f"q_{n}"] or ()))
-        fitted[n] = [q for q in marks_n if q < row[f"m_{n}"]] if row[f"d_{n}"] >= 3 else []
+    All columns are counted by value in one pass and narrowed to the wanted ranks together, so nothing
+    is sampled and no column is sorted as a whole. One row of results per column reaches the driver.
+    """
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), finite(n).alias("v")) for n in names])
+    counted = (
+        rows.select(F.explode(cells).alias("cell")).select("cell.*").filter("v IS NOT NULL")
+        .groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    marks = {f"q{i}": i / (steps + 1) for i in range(1, steps + 1)}
+    ranges = counted.groupBy("name").agg(F.max("v").alias("top"), F.count(F.lit(1)).alias("distinct"))
+    fitted = {n: [] for n in names}
+    for row in percentiles(counted, ["name"], "v", marks, freq="n").join(ranges, "name").collect():
+        if row["distinct"] >= 3:
+            fitted[row["name"]] = [q for q in sorted({row[m] for m in marks}) if q < row["top"]]
     return fitted
 
 

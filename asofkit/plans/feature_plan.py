@@ -59,11 +59,10 @@ class FeaturePlan:
     # --- fitting and storage ---------------------------------------------------
 
     @classmethod
-    def fit(cls, catalog: Catalog, steps, cutoff, numeric, categorical, identity, periods=(30, 365), top=2, **options) -> FeaturePlan:
+    def fit(cls, catalog: Catalog, steps, cutoff, numeric, categorical, periods=(30, 365), top=2, **options) -> FeaturePlan:
         """Learn vocabularies and cutpoints on rows before the training cutoff."""
         facts = path_facts(path_hops(catalog, steps), until=cutoff).filter(F.col("known") < stamp(cutoff))
-        sample = fam.calibration_sample(facts, list(identity))
-        cuts = fam.cutpoints(sample, list(numeric), steps=3)
+        cuts = fam.cutpoints(facts, list(numeric), steps=3)
         words = {c: tuple(fam.frequent_values(facts, c, top=top, threshold=top)) for c in categorical}
         return cls(
             tuple(map(tuple, steps)), tuple(numeric), words, {k: tuple(v) for k, v in cuts.items()}, tuple(periods),

@@ -13,7 +13,7 @@ from asofkit.operators import responses as rs
 from asofkit.plans import paths as pl
 from asofkit.requests import visible
 from suite.core import K, LINE_VIS, order_lines
-from suite.families import _MARKS, _SAMPLE, HISTORY, _line_sample, label_history
+from suite.families import _MARKS, _TRAINING, HISTORY, _training_lines, label_history
 from suite.model import catalog
 from suite.registry import (
     EVENT_REQ, EVENT_VIS, N, ORDER_CUTS, ORDER_REQ, ORDER_VIS, R, aligned_sql, query, rounded, secs, since_sql,
@@ -145,7 +145,7 @@ _M3 = "[0.25,0.5,0.75]"
 
 
 @query("A27_joint_distribution", aligned_sql(
-    f"{_SAMPLE}, cuts AS (SELECT quantile_cont(l_quantity, {_M3}) AS qa, quantile_cont(l_extendedprice, {_M3}) AS qb FROM sample), "
+    f"{_TRAINING}, cuts AS (SELECT quantile_cont(l_quantity, {_M3}) AS qa, quantile_cont(l_extendedprice, {_M3}) AS qb FROM training), "
     + LINE_VIS.replace("l.* FROM requests r", "l.*, (SELECT qa FROM cuts) AS qa, (SELECT qb FROM cuts) AS qb FROM requests r"),
     [("avg(1.0)", "l_quantity_l_extendedprice_coverage", "d"),
      *[(f"avg((l_quantity<=qa[{i + 1}] AND l_extendedprice<=qb[{j + 1}])::INT)", f"l_quantity_l_extendedprice_cdf{i}{j}", "d") for i in range(3) for j in range(3)],
@@ -153,7 +153,7 @@ _M3 = "[0.25,0.5,0.75]"
          (f"avg((l_returnflag='{v}')::INT)", f"l_returnflag{i}_share", "d"),
          *[(f"avg((l_extendedprice<=qb[{j + 1}])::INT) FILTER (l_returnflag='{v}')", f"l_returnflag{i}_l_extendedprice_cdf{j}", "d") for j in range(3)])]]))
 def _(t):
-    cuts = fam.cutpoints(_line_sample(t), ["l_quantity", "l_extendedprice"], steps=3)
+    cuts = fam.cutpoints(_training_lines(t), ["l_quantity", "l_extendedprice"], steps=3)
     aggs = [*fam.joint_cdf("l_quantity", "l_extendedprice", cuts["l_quantity"], cuts["l_extendedprice"]),
             *fam.category_cdf("l_returnflag", ["A", "N", "R"], "l_extendedprice", cuts["l_extendedprice"])]
     rows = visible(order_lines(t), t.order_requests(), "known")

@@ -16,23 +16,22 @@ from asofkit.requests import visible
 from asofkit.sources import io
 from suite.core import K, LINE_VIS, example_rows, order_lines
 from suite.evidence import REPEATS, KEYS, admission_sql, evidence
-from suite.families import _SAMPLE, HISTORY, label_history
+from suite.families import HISTORY, label_history
 from suite.model import catalog
 from suite.sources import _folder
 from suite.registry import EVENT_REQ, N, ORDER_REQ, R, aligned_sql, query, rounded, since_sql
 
 DAY = 86_400
 STEPS = (("orders", "o_custkey"), ("lineitem", "l_orderkey"))
-IDENTITY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
 def fitted_plan(t, cutoff="1998-01-01", **options):
-    return fp.FeaturePlan.fit(catalog(t), STEPS, cutoff, ["l_quantity", "l_extendedprice"], ["l_returnflag"], IDENTITY, **options)
+    return fp.FeaturePlan.fit(catalog(t), STEPS, cutoff, ["l_quantity", "l_extendedprice"], ["l_returnflag"], **options)
 
 
 def _plan_sql(cutoffs, requests=None, vis=None, fit="1998-01-01"):
-    sample = f"""tr AS (SELECT l.* FROM lineitem l JOIN orders ON o_orderkey=l_orderkey WHERE l_shipdate<TIMESTAMP '{fit}' AND o_orderdate<TIMESTAMP '{fit}'), sample AS (SELECT * FROM tr ORDER BY md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)) LIMIT 20000),
-      cuts AS (SELECT quantile_cont(l_quantity, [0.25,0.5,0.75]) AS qa, quantile_cont(l_extendedprice, [0.25,0.5,0.75]) AS qb FROM sample), voc AS (SELECT list(l_returnflag) AS v FROM (SELECT l_returnflag FROM tr GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2))"""
+    training = f"""tr AS (SELECT l.* FROM lineitem l JOIN orders ON o_orderkey=l_orderkey WHERE l_shipdate<TIMESTAMP '{fit}' AND o_orderdate<TIMESTAMP '{fit}'),
+      cuts AS (SELECT quantile_cont(l_quantity, [0.25,0.5,0.75]) AS qa, quantile_cont(l_extendedprice, [0.25,0.5,0.75]) AS qb FROM tr), voc AS (SELECT list(l_returnflag) AS v FROM (SELECT l_returnflag FROM tr GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2))"""
     values = ",".join(f"(TIMESTAMP '{c}')" for c in cutoffs)
     req = requests or f"requests AS (SELECT c_custkey AS entity, v.cutoff FROM customer, (VALUES {values}) v(cutoff))"
     vis = vis or "o.o_orderdate<r.cutoff AND l.l_shipdate<r.cutoff"
@@ -44,7 +43,7 @@ def _plan_sql(cutoffs, requests=None, vis=None, fit="1998-01-01"):
         cols += [(f"avg(({c}<={q}[{i + 1}])::INT)", f"{c}_cdf{i}", "d") for i in range(3)] + [(f"avg(({c} IS NOT NULL)::INT)", f"{c}_coverage", "d")]
     cols += [(f"count(*) FILTER (l_returnflag=v[{i + 1}])", f"l_returnflag_v{i}_count", "n") for i in range(2)]
     cols += [(f"count(*) FILTER ({since_sql(p)})", f"rows_{p}d", "n") for p in (30, 365)]
-    return aligned_sql(f"{sample}, {req}, {rows}", cols)
+    return aligned_sql(f"{training}, {req}, {rows}", cols)
 
 
 # --- frames ------------------------------------------------------------------
