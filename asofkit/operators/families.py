@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from asofkit.functions.scalars import (
     as_column, count_if, days, finite, minus_seconds, ratio, seconds, text, when,
 )
-from asofkit.requests import Requests
+from asofkit.requests import Requests, population_totals
 from asofkit.skew import lookup, percentiles, top_rows
 
 # The retrospective day grid and the default lookback.
@@ -163,15 +163,27 @@ def state(rows: DataFrame, time: str, tie: str, numeric=(), categorical=(), lags
     return ranked.groupBy(*KEYS).agg(*out)
 
 
-def peer_deviation(rows: DataFrame, group: str, names: list[str], cutoff=("cutoff",)) -> DataFrame:
+def peer_deviation(
+    rows: DataFrame, group: str, names: list[str], cutoff=("cutoff",), everyone: DataFrame | None = None,
+    requests: Requests | None = None, time: str = "known",
+) -> DataFrame:
     """Peer-group size and deviation from the group mean, per visible child row.
 
     Group statistics are aggregated first and looked up with salted keys, so a
     group that holds a large share of the rows is not gathered in one task.
+    Where cutoffs are too many to list, ``rows`` are those of requested entities only; the
+    statistics then come from ``everyone``, the events before the expansion.
     """
-    stats = rows.groupBy(group, *cutoff).agg(
-        F.count(F.lit(1)).alias("group_size"), *[F.avg(finite(c)).alias(f"_mean_{c}") for c in names]
-    )
+    if everyone is not None and requests.cutoffs is None:
+        measures = {"group_size": F.lit(1)}
+        for c in names:
+            measures |= {f"_s_{c}": F.coalesce(finite(c), F.lit(0.0)), f"_n_{c}": finite(c).isNotNull().cast("long")}
+        totals = population_totals(everyone, requests, rows, [group], time, measures)
+        stats = totals.select(group, "cutoff", "group_size", *[ratio(F.col(f"_s_{c}"), F.col(f"_n_{c}")).alias(f"_mean_{c}") for c in names])
+    else:
+        stats = rows.groupBy(group, *cutoff).agg(
+            F.count(F.lit(1)).alias("group_size"), *[F.avg(finite(c)).alias(f"_mean_{c}") for c in names]
+        )
     out = lookup(rows, stats, [group, *cutoff])
     out = out.withColumns({f"{c}_deviation": finite(c) - F.col(f"_mean_{c}") for c in names})
     return out.drop(*[f"_mean_{c}" for c in names])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from asofkit.functions.scalars import (
     as_column, count_if, finite, minus_seconds, ratio, seconds, text, when,
 )
-from asofkit.requests import Requests, by_cutoff, visible
+from asofkit.requests import Requests, by_cutoff, population_totals, visible
 from asofkit.skew import lookup, numbered, percentiles, previous, top_rows
 
 KEYS = ["entity", "cutoff"]
@@ -138,13 +138,19 @@ def own_history(
     near, wide = recent(horizon_seconds, "available_at"), recent(2 * horizon_seconds, "available_at")
     block = rows.groupBy(*KEYS).agg(
         F.count(y).alias("history_count"), F.avg(y).alias("history_mean"), F.stddev_pop(y).alias("history_std"),
-        F.max_by(y, F.col("available_at")).alias("history_latest"),
+        F.max_by(y, F.struct(F.col("available_at"), y)).alias("history_latest"),
         seconds(F.max("available_at"), F.col("cutoff")).alias("history_seconds"),
         F.count(when(near, y)).alias("recent_count"), F.avg(when(near, y)).alias("recent_mean"),
         F.count(when(wide, y)).alias("two_horizon_count"), F.avg(when(wide, y)).alias("two_horizon_mean"),
     )
     out = requests.align(block, zero=["history_count", "recent_count", "two_horizon_count"])
-    prior = rows.groupBy("cutoff").agg(F.avg(y).alias("_prior"))
+    if requests.cutoffs is not None:
+        prior = rows.groupBy("cutoff").agg(F.avg(y).alias("_prior"))
+    else:
+        # The rows are those of requested roots; the mean is that of all roots.
+        measures = {"_sum": F.coalesce(y, F.lit(0.0)), "_n": y.isNotNull().cast("long")}
+        prior = population_totals(history, requests, requests.frame, [], "available_at", measures)
+        prior = prior.select("cutoff", ratio(F.col("_sum"), F.col("_n")).alias("_prior"))
     out = out.join(by_cutoff(prior, requests), "cutoff", "left")
     n = F.col("history_count")
     shrunk = (F.coalesce(F.col("history_mean"), F.lit(0.0)) * n + strength * F.col("_prior")) / (n + strength)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from asofkit.catalog import column
 from asofkit.functions.scalars import minus_seconds, row_salt, stamp
+from asofkit.skew import totals_at
 
 GRID_LIMIT = 256
 SALTS = 16
@@ -150,6 +151,21 @@ def _static_bounds(events, requests, time, rule):
     return events
 
 
+def population_totals(
+    events: DataFrame, requests: Requests, groups: DataFrame, keys: list[str], time: str, measures: dict[str, Column]
+) -> DataFrame:
+    """Sums over the events of all entities, asked for or not, that are visible at each (keys, cutoff) of ``groups``.
+
+    Takes any number of distinct cutoffs. Columns: keys, cutoff and the measures.
+    """
+    points = groups.select(*keys, "cutoff").distinct()
+    if requests.phase is None:
+        return totals_at(events, points, keys, time, "cutoff", measures)
+    points = points.withColumn("_seen", requests.ceiling())
+    totals = totals_at(events, points, keys, time, "_seen", measures)
+    return points.join(totals, [*keys, "_seen"]).drop("_seen")
+
+
 def by_cutoff(frame: DataFrame, requests: Requests) -> DataFrame:
     """A one-row-per-cutoff table, broadcast only when that count is bounded."""
     return F.broadcast(frame) if requests.cutoffs is not None else frame

@@ -200,6 +200,31 @@ def running_totals(
     return out.drop("_bucket", *[f"_o_{name}" for name in totals])
 
 
+def totals_at(
+    events: DataFrame, points: DataFrame, keys: list[str], time: str, moment: str, measures: dict[str, Column]
+) -> DataFrame:
+    """Sums of ``measures`` over a key's events strictly before each point (keys, moment).
+
+    Events are reduced to one change per key and instant, points join them as changes of nothing, and a running total in time
+    answers all points in one pass: the work grows with events plus points, never with their product. Rows with a null key are left out.
+    """
+    def instant(column: str, after: int) -> Column:
+        # A point stands before the events of its own instant.
+        return (F.unix_micros(F.col(column).cast("timestamp")) * 2 + after).alias("_at")
+
+    named = [F.col(k) for k in keys]
+    known = F.lit(True)
+    for k in named:
+        known = known & k.isNotNull()
+    changes = events.filter(known).withColumns({f"_m_{n}": m for n, m in measures.items()}).groupBy(*named, instant(time, 1)).agg(
+        *[F.sum(f"_m_{n}").alias(n) for n in measures])
+    asked = points.filter(known).select(*named, instant(moment, 0), F.col(moment).alias("_moment")).distinct()
+    empty = asked.select(*keys, "_at", *[F.lit(0).cast(changes.schema[n].dataType).alias(n) for n in measures], "_moment")
+    both = changes.withColumn("_moment", F.lit(None).cast(points.schema[moment].dataType)).unionByName(empty)
+    totals = running_totals(both, keys, "_at", {f"_t_{n}": n for n in measures}).filter("_moment IS NOT NULL")
+    return totals.select(*keys, F.col("_moment").alias(moment), *[F.coalesce(F.col(f"_t_{n}"), F.lit(0)).alias(n) for n in measures])
+
+
 def distinct_in_windows(
     rows: DataFrame, keys: list[str], value: Column, time: str, widths: dict[str, float | None]
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from suite.core import K, LINE_VIS, order_lines
 from suite.families import _MARKS, _TRAINING, HISTORY, _training_lines, label_history
 from suite.model import catalog
 from suite.registry import (
-    EVENT_REQ, EVENT_VIS, N, ORDER_CUTS, ORDER_REQ, ORDER_VIS, R, aligned_sql, query, rounded, secs, since_sql,
+    EVENT_REQ, EVENT_VIS, N, ORDER_CUTS, ORDER_REQ, ORDER_VIS, OWN_REQ, R, aligned_sql, query, rounded, secs, since_sql,
 )
 
 DAY = 86_400
@@ -265,8 +265,8 @@ def _(t):
     return roles.select("column", "distinct", "role", F.explode(named).alias("p")).select("column", "distinct", "role", "p.object", "p.parent")
 
 
-def exposure_facts(t):
-    lines = order_lines(t, ORDER_CUTS[-1]).withColumn("returned", (F.col("l_returnflag") == "R").cast("int")).withColumn(
+def exposure_facts(t, until=ORDER_CUTS[-1]):
+    lines = order_lines(t, until).withColumn("returned", (F.col("l_returnflag") == "R").cast("int")).withColumn(
         "hint", F.col("l_discount") * 4)
     return ex.events_view(lines, "o_orderkey", "l_partkey", "l_linenumber", "returned", "hint")
 
@@ -283,11 +283,28 @@ _EXP = f"""{LINE_VIS.replace('l_shipdate AS ts, o.*, l.*', "l_shipdate AS ts, o.
 
 @query("A33_response_priors", f"""WITH {_EXP} SELECT entity, cutoff, object, context, {N('peer_n')} AS peer_n, {R('e', 6)} AS expected, {N('peer_cn')} AS peer_context_n, {R('ec', 6)} AS expected_context FROM pc""")
 def _(t):
-    _, scored = ex.scored_strata(exposure_facts(t), t.order_requests(), 180 * DAY)
+    return _priors(exposure_facts(t), t.order_requests())
+
+
+def _priors(facts, req):
+    _, scored = ex.scored_strata(facts, req, 180 * DAY)
     out = scored.select(*K, "object", F.col("context").cast("int").alias("context"), "peer_n", "expected", "peer_context_n", "expected_context")
     return rounded(out, places=6)
 
 
+_OWN_EXP = f"""{OWN_REQ}, every AS (SELECT o_custkey AS entity, greatest(o_orderdate, l_shipdate) AS known, l_partkey AS object, l_linenumber AS context, (l_returnflag='R')::INT AS response FROM orders JOIN lineitem ON l_orderkey=o_orderkey),
+  visible AS (SELECT r.cutoff, e.* FROM requests r JOIN every e ON e.entity=r.entity AND e.known<r.cutoff),
+  tot AS (SELECT p.cutoff, count(*) AS tn, sum(response) AS tk FROM (SELECT DISTINCT cutoff FROM visible) p JOIN every e ON e.known<p.cutoff GROUP BY 1),
+  a AS (SELECT p.cutoff, p.object, count(*) AS an, sum(response) AS ak FROM (SELECT DISTINCT cutoff, object FROM visible) p JOIN every e ON e.object=p.object AND e.known<p.cutoff GROUP BY 1,2),
+  ac AS (SELECT p.cutoff, p.object, p.context, count(*) AS cn, sum(response) AS ck FROM (SELECT DISTINCT cutoff, object, context FROM visible) p JOIN every e ON e.object=p.object AND e.context=p.context AND e.known<p.cutoff GROUP BY 1,2,3),
+  """ + _EXP[_EXP.index("u AS (SELECT"):_EXP.index("a AS (SELECT cutoff, object")] + _EXP[_EXP.index("uo AS (SELECT"):_EXP.index("ac AS (SELECT")] + _EXP[_EXP.index("uc AS (SELECT"):_EXP.index(",\n  scored AS")]
+
+
+@query("A33_response_priors_own_cutoffs", f"""WITH {_OWN_EXP} SELECT entity, cutoff, object, context, {N('peer_n')} AS peer_n, {R('e', 6)} AS expected, {N('peer_cn')} AS peer_context_n, {R('ec', 6)} AS expected_context FROM pc""")
+def _(t):
+    return _priors(exposure_facts(t, None), t.own_order_requests())
+
+
 _WINS = (("all", "true"), ("w0", since_sql(45)), ("w1", since_sql(90)), ("w2", since_sql(180)))
 
 

@@ -9,7 +9,7 @@ from asofkit.operators import families as fam
 from asofkit.requests import visible
 from suite.core import K, LINE_VIS, order_lines
 from suite.registry import (
-    EVENT_REQ, EVENT_VIS, N, ORDER_REQ, ORDER_VIS, R, aligned_sql, query, rounded, secs, since_sql,
+    EVENT_REQ, EVENT_VIS, N, ORDER_REQ, ORDER_VIS, OWN_REQ, R, aligned_sql, query, rounded, secs, since_sql,
 )
 
 PERIODS = (7, 30, 90, 365, 730)
@@ -178,11 +178,26 @@ def _(t):
   SELECT r.entity, r.cutoff, {R('a')} AS group_size_avg, CAST(m AS BIGINT) AS group_size_max, {R('d')} AS deviation_avg, {R('lo')} AS deviation_min, {R('hi')} AS deviation_max
   FROM requests r LEFT JOIN b USING (entity, cutoff)""")
 def _(t):
-    rows = fam.peer_deviation(_lines(t), "l_suppkey", ["l_extendedprice"])
+    return _align(t, fam.peer_deviation(_lines(t), "l_suppkey", ["l_extendedprice"]), _deviations())
+
+
+def _deviations():
     d = F.col("l_extendedprice_deviation")
-    return _align(t, rows, [
+    return [
         F.avg("group_size").alias("group_size_avg"), F.max("group_size").alias("group_size_max"),
-        F.avg(d).alias("deviation_avg"), F.min(d).alias("deviation_min"), F.max(d).alias("deviation_max")])
+        F.avg(d).alias("deviation_avg"), F.min(d).alias("deviation_min"), F.max(d).alias("deviation_max")]
+
+
+@query("A11_context_deviation_own_cutoffs", f"""WITH {OWN_REQ}, every AS (SELECT o_custkey AS entity, greatest(o_orderdate, l_shipdate) AS known, l_suppkey, l_extendedprice FROM orders JOIN lineitem ON l_orderkey=o_orderkey),
+  visible AS (SELECT r.cutoff, e.* FROM requests r JOIN every e ON e.entity=r.entity AND e.known<r.cutoff),
+  g AS (SELECT p.l_suppkey, p.cutoff, count(*) AS group_size, avg(e.l_extendedprice) AS mean FROM (SELECT DISTINCT l_suppkey, cutoff FROM visible) p JOIN every e ON e.l_suppkey=p.l_suppkey AND e.known<p.cutoff GROUP BY 1,2),
+  b AS (SELECT entity, cutoff, avg(group_size) AS a, max(group_size) AS m, avg(l_extendedprice-mean) AS d, min(l_extendedprice-mean) AS lo, max(l_extendedprice-mean) AS hi FROM visible JOIN g USING (l_suppkey, cutoff) GROUP BY 1,2)
+  SELECT r.entity, r.cutoff, {R('a')} AS group_size_avg, CAST(m AS BIGINT) AS group_size_max, {R('d')} AS deviation_avg, {R('lo')} AS deviation_min, {R('hi')} AS deviation_max
+  FROM requests r LEFT JOIN b USING (entity, cutoff)""")
+def _(t):
+    req, lines = t.own_order_requests(), order_lines(t)
+    rows = fam.peer_deviation(visible(lines, req, "known"), "l_suppkey", ["l_extendedprice"], everyone=lines, requests=req)
+    return rounded(req.align(rows.groupBy(*K).agg(*_deviations())))
 
 
 @query("A12_semantic_expressions", aligned_sql(LINE_VIS, [

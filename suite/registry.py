@@ -45,6 +45,11 @@ class Inputs:
     def order_requests(self, phase=None) -> Requests:
         return Requests.every(self.customer, "c_custkey", ORDER_CUTS, phase)
 
+    def own_order_requests(self) -> Requests:
+        """Each customer at the moment of its last order: more cutoffs than can be listed."""
+        last = self.orders.groupBy(F.col("o_custkey").alias("entity")).agg(F.max("o_orderdate").alias("cutoff"))
+        return Requests(last, None)
+
     def event_requests(self, phase=None) -> Requests:
         return Requests.every(self.customer, "c_custkey", EVENT_CUTS, phase)
 
@@ -95,6 +100,7 @@ def requests_sql(cuts) -> str:
 
 ORDER_REQ = f"requests AS ({requests_sql(ORDER_CUTS)})"
 EVENT_REQ = f"requests AS ({requests_sql(EVENT_CUTS)})"
+OWN_REQ = "requests AS (SELECT o_custkey AS entity, max(o_orderdate) AS cutoff FROM orders GROUP BY 1)"
 # Visible rows joined to requests on the entity with a strict clock.
 ORDER_VIS = f"""{ORDER_REQ}, visible AS (
   SELECT r.entity, r.cutoff, o.o_orderdate AS ts, o.* FROM requests r JOIN orders o

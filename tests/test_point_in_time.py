@@ -1,11 +1,13 @@
 """Clock contract, the worked example and the invariants every as-of operator keeps."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from asofkit import Catalog, Requests, Table
+from asofkit import skew as sk
 from asofkit.functions.scalars import stamp
 from asofkit.operators import events as ev
 from asofkit.operators import exposure as ex
@@ -289,3 +291,34 @@ def test_moving_average_of_labels_covers_all_of_them(spark):
         for y in labels[row.entity][1:]:
             expected = (expected + y) / 2
         assert abs(row.ewma - expected) <= 1e-12 * expected
+
+
+def test_population_is_the_same_for_listed_and_unlisted_cutoffs(spark):
+    rng = random.Random(5)
+    data = [(e, day(rng.randint(1, 12)), rng.choice([1, 2, 3, None]), rng.randint(1, 2), rng.randint(0, 1), rng.random()) for e in "abcdef" for _ in range(12)]
+    facts = spark.createDataFrame(data, "entity string, known timestamp_ntz, o long, c long, r int, p double").withColumn("ts", F.col("known")).withColumn("s", F.lit(1).cast("long"))
+    view = ex.events_view(facts, "s", "o", "c", "r", "p")
+    history = facts.select("entity", "ts", F.col("known").alias("available_at"), F.col("r").cast("double").alias("y"))
+    every = spark.createDataFrame([(e,) for e in "abcdef"], "p string")
+    for phase in (None, day(7)):
+        listed = Requests.every(every, "p", [day(4), day(6), day(9)], phase)
+        one = Requests(listed.frame.filter("entity = 'b'"), None, listed.phase)
+
+        def answers(req):
+            seen = visible(facts, req, "known")
+            deviation = fam.peer_deviation(seen, "o", ["p"], everyone=facts, requests=req)
+            frames = [
+                deviation.groupBy("entity", "cutoff").agg(F.sum("group_size"), F.count("group_size"), F.min("p_deviation"), F.max("p_deviation")),
+                ex.scored_strata(view, req, 86_400)[1].select("entity", "cutoff", "object", "context", "peer_n", "expected", "peer_context_n", "expected_context"),
+                rs.own_history(req, history, 5 * 86_400),
+            ]
+            return [sorted(([round(v, 9) if isinstance(v, float) else v for v in r] for r in f.filter("entity = 'b'").collect()), key=str) for f in frames]
+
+        assert answers(one) == answers(listed)
+
+
+def test_totals_at_leave_out_the_instant_itself(spark):
+    events = spark.createDataFrame([("g", day(1), 2), ("g", day(3), 5), ("h", day(2), 7), (None, day(1), 9)], "k string, t timestamp_ntz, v long")
+    points = spark.createDataFrame([("g", day(1)), ("g", day(3)), ("g", day(4)), ("h", day(9)), ("x", day(9)), (None, day(9))], "k string, m timestamp_ntz")
+    found = {(r["k"], r["m"]): r["v"] for r in sk.totals_at(events, points, ["k"], "t", "m", {"v": F.col("v")}).collect()}
+    assert found == {("g", day(1)): 0, ("g", day(3)): 2, ("g", day(4)): 7, ("h", day(9)): 7, ("x", day(9)): 0}
