@@ -268,7 +268,11 @@ def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without their repeated lines; one whose lines with a word have all gone is dropped."""
     names = docs.columns
     rows = docs.select(*row_key(), F.struct(*[docs[c] for c in names]).alias("row")).join(repeats(docs, least=1), ["id", "sig"], "left")
-    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    lines = F.split("row.text", "\n")
+    # The places that stay are found by hashing, and the lines are split once: the work is linear in a document's lines.
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
+    both = F.array(F.struct(lines.alias("lines"), places.alias("places")))
+    left = F.array_join(F.transform(both, lambda d: F.transform(d["places"], lambda i: F.get(d["lines"], i)))[0], "\n")
     out = rows.withColumn("left", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left))
     out = out.filter(F.col("removed").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
