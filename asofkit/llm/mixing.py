@@ -8,6 +8,8 @@ golden-ratio point frac((j + 1) * phi) falls. A source's slots are ranked; its k
 ``block`` words of its stream, which is its documents in a shuffled (hash) order, as often as its target needs.
 Rounding leaves a source some words short or long; slots behind its target take nothing, and closing slots
 at the end of the schedule take what the points left. So each source meets its target to the word.
+``first_slot`` and ``last_slot`` say when the mix reads a document, ``n_pieces`` in how many pieces of blocks; null, null and 0 where
+it takes nothing of it.
 
 Null and empty texts have no words: size 0, taken 0. Null ids and null sources are values like others. Repeated
 rows are separate documents of equal size. An empty table, or one without words, gives targets of 0. Only
@@ -87,8 +89,8 @@ def schedule(spark, goals: DataFrame, block: int = BLOCK) -> DataFrame:
     """(slot, rank, k, first, last): which words of which source's stream each slot takes."""
     ends = Window.partitionBy(F.lit(0)).orderBy("rank")
     goals = goals.withColumn("goal", F.round("target").cast("long"))
-    bounds = goals.withColumn("high", F.sum("target").over(ends)).withColumn("low", F.col("high") - F.col("target")).select("rank", "goal", "low", "high")
-    whole = bounds.agg(F.max("high")).first()[0] or 0.0
+    bounds = goals.withColumn("high", F.sum("goal").over(ends)).withColumn("low", F.col("high") - F.col("goal")).select("rank", "goal", "low", "high")
+    whole = bounds.agg(F.max("high")).first()[0] or 0
     slots = max(1, math.ceil(whole / block))
     point = F.col("slot").cast("double") * PHI + PHI
     points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", (point - F.floor(point)) * whole)
@@ -114,7 +116,7 @@ def schedule(spark, goals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, source, sig, size, source_size, target, taken)."""
+    """(doc_id, source, sig, size, source_size, target, taken, first_slot, last_slot, n_pieces)."""
     spark = docs.sparkSession
     sizes = stored(measured(docs), "sizes")
     goals = stored(targets(sizes), "targets")
@@ -126,8 +128,10 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     touched = passes.select("row", "rank", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("k"))
     plan = schedule(spark, goals, block)
     taken = touched.join(plan, ["rank", "k"]).withColumn("words", F.least("to", "last") - F.greatest("from", "first")).filter("words > 0")
-    taken = taken.groupBy("row").agg(F.sum("words").alias("taken"))
-    return rows.join(taken, "row", "left").select("doc_id", "source", "sig", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    taken = taken.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count(F.lit(1)).alias("n_pieces"))
+    none = F.lit(0).cast("long")
+    return rows.join(taken, "row", "left").select(
+        "doc_id", "source", "sig", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), "first_slot", "last_slot", F.coalesce("n_pieces", none).alias("n_pieces"))
 
 
 SQL = r"""
@@ -148,18 +152,42 @@ t AS (
   SELECT p.source, source_size,
          CASE WHEN stops THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(weight * q.rest AS DOUBLE) / CAST(q.lft * 2 AS DOUBLE) END AS target
   FROM p LEFT JOIN q ON true),
+b AS (
+  SELECT *, CAST(sum(goal) OVER (ORDER BY rank) AS BIGINT) AS high, CAST(sum(goal) OVER () AS BIGINT) AS whole
+  FROM (SELECT *, CAST(round(target) AS BIGINT) AS goal FROM t)),
+n AS (SELECT CAST(greatest(1, ceil(any_value(whole) / 4096)) AS BIGINT) AS slots, any_value(whole) AS whole FROM b),
+j AS (
+  SELECT slot, (point - floor(point)) * whole AS point
+  FROM (SELECT unnest(range(slots)) AS slot, whole, CAST(unnest(range(slots)) AS DOUBLE) * ((sqrt(5) - 1) / 2) + (sqrt(5) - 1) / 2 AS point FROM n)),
+h AS (
+  SELECT slot, rank, goal, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS k
+  FROM j JOIN b ON point >= high - goal AND point < high),
+e AS (
+  SELECT slot, rank, k, goal FROM h
+  UNION ALL
+  SELECT slots + k, rank, k, goal
+  FROM (SELECT slots, rank, goal, unnest(range(CAST(coalesce(given, 0) AS BIGINT), CAST(ceil(goal / 4096) AS BIGINT))) AS k
+        FROM n, b LEFT JOIN (SELECT rank, count(*) AS given FROM h GROUP BY rank) USING (rank))),
 d AS (
-  SELECT w.*, t.source_size, t.target, round(t.target) AS goal,
-         coalesce(sum(size) OVER (PARTITION BY w.source ORDER BY shuffle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source)
+  SELECT w.*, row_number() OVER () AS r, b.rank, b.source_size, b.target, b.goal,
+         CAST(coalesce(sum(size) OVER (PARTITION BY w.source ORDER BY shuffle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM w JOIN b ON w.source IS NOT DISTINCT FROM b.source),
+x AS (
+  SELECT r, rank, start, start + size AS stop, unnest(range(start // 4096, (start + size - 1) // 4096 + 1)) AS k
+  FROM (SELECT r, rank, size, pos + unnest([0, 1]) * source_size AS start FROM d WHERE size > 0)),
+y AS (
+  SELECT r, min(slot) AS first_slot, max(slot) AS last_slot, count(*) AS n_pieces
+  FROM x JOIN e USING (rank, k) WHERE least(stop, (k + 1) * 4096, goal) > greatest(start, k * 4096) GROUP BY r)
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(least(pos + size, goal) - pos, 0) + greatest(least(pos + source_size + size, goal) - pos - source_size, 0) AS BIGINT) AS taken
-FROM d
+       CAST(greatest(least(pos + size, goal) - pos, 0) + greatest(least(pos + source_size + size, goal) - pos - source_size, 0) AS BIGINT) AS taken,
+       first_slot, last_slot, coalesce(n_pieces, 0) AS n_pieces
+FROM d LEFT JOIN y USING (r)
 """
 
 
 def query(spark, folder: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{folder}/documents.parquet")).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot", "n_pieces")
 
 
 def _words(text, count):
