@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.llm.shared import stored
+
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -135,7 +137,7 @@ def apply_policy(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def ablations(book: DataFrame, policy: Policy) -> DataFrame:
-    """Per rule of the policy: documents failing it, failing it alone, and kept if it went.
+    """Per rule (and its bit) of the policy: documents failing it, failing it alone, and kept if it went.
 
     Documents are first counted per combination of bits, so at most 2^rules rows are left.
     """
@@ -146,7 +148,7 @@ def ablations(book: DataFrame, policy: Policy) -> DataFrame:
     each = combos.select("bits", "n", F.explode(rules).alias("r")).select("bits", "n", "r.*")
     hit = F.col("bits").bitwiseAND(F.col("bit")) != 0
     alone = F.col("bits") == F.col("bit")
-    return each.groupBy("rule").agg(
+    return each.groupBy("rule", "bit").agg(
         F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("failing"),
         F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("failing_alone"),
         F.sum(F.when((F.col("bits") == 0) | alone, F.col("n")).otherwise(0)).alias("kept_without"),
@@ -176,19 +178,31 @@ m AS (
 f AS (
   SELECT *, n_words < 10 AS f0, 100 * n_repeat_words > 20 * n_words AS f1, 100 * n_symbols > 30 * n_words AS f2,
          100 * n_dup_lines > 50 * n_lines AS f3, (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS f4
-  FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f0 OR f1) AS base_failed,
-       NOT (f0 OR f1 OR f2 OR f3 OR f4) AS kept,
-       CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT AS BIGINT) AS failures
-FROM f
+  FROM m),
+v AS (
+  SELECT *, CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT AS BIGINT) AS failures FROM f),
+a AS (
+  SELECT rule, bit, (SELECT count(*) FROM v WHERE failures IN (0, bit)) AS kept_without
+  FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16)) t(rule, bit))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f0 OR f1) AS base_failed, failures = 0 AS kept,
+       failures, 'strict-1' AS policy, rule AS only_rule, kept_without
+FROM v LEFT JOIN a ON bit = failures
 """
 
 
 def query(spark, folder: str) -> DataFrame:
+    """Verdicts and ablations from the stored ledger.
+
+    ``only_rule`` names the rule that alone rejects a document, ``kept_without`` the documents that the
+    policy would keep without it.
+    """
     book = ledger(spark.read.parquet(f"{folder}/documents.parquet"))
-    return book.select(
-        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        fails(BASE).alias("base_failed"), (~fails(STRICT)).alias("kept"), "failures",
+    book = stored(book.select("row.doc_id", *MEASURES, "failures"), "ledger")
+    # One row for each rule.
+    cut = F.broadcast(ablations(book, STRICT).select(F.col("bit").alias("failures"), F.col("rule").alias("only_rule"), "kept_without"))
+    return book.join(cut, "failures", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        fails(BASE).alias("base_failed"), (~fails(STRICT)).alias("kept"), "failures", F.lit(STRICT.version).alias("policy"), "only_rule", "kept_without",
     )
 
 
