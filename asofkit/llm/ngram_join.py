@@ -108,6 +108,31 @@ def prefix(tokens: np.ndarray, sizes: np.ndarray, order: int, common: Frequencie
     return tokens[np.argpartition(place, size - 1)[:size]]
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common values of two arrays without repeats."""
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+class Sets(dict):
+    """Each node's set and its prefixes under the orders from 1 on, remembered up to ``most`` tokens."""
+
+    def __init__(self, read, first, most: int = 2_000_000):
+        super().__init__()
+        self.read, self.first, self.most, self.held = read, first, most, 0
+
+    def __call__(self, node: int, packed):
+        if node not in self:
+            tokens, sizes = self.read(packed.as_py())
+            if self.held + len(tokens) > self.most:
+                self.clear()
+                self.held = 0
+            self.held += len(tokens)
+            self[node] = tokens, [self.first((tokens, sizes), k) for k in range(1, ORDERS)]
+        return self[node]
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values.view("i8")))
@@ -150,6 +175,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     hash is smallest. Rows without a set are all kept.
     """
     docs = docs.select("doc_id", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(*row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(token_classes(texts, width))
 
@@ -200,18 +226,13 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 
     def compare(batches):
         text_of = unpacker()
-
-        @functools.lru_cache(8)  # pairs of one document come together
-        def known(packed):
-            found = shingle_set(text_of(packed), width)
-            return found[0], [prefix(*found, k, frequencies(common.value), percent) for k in range(1, ORDERS)]
-
+        sets = Sets(lambda x: shingle_set(text_of(x), width), lambda x, k: prefix(*x, k, frequencies(common.value), percent))
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                (a, firsts), (b, others) = known(x.as_py()), known(y.as_py())
-                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(firsts, others, strict=True)):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
+            for i, j, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True):
+                (a, firsts), (b, others) = sets(i.as_py(), x), sets(j.as_py(), y)
+                if all(overlap(p, q) for p, q in zip(firsts, others, strict=True)):
+                    both = overlap(a, b)
                     good.append(100 * both >= percent * (len(a) + len(b) - both))
                 else:
                     good.append(False)
@@ -232,7 +253,9 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         unknown = unknown.withColumn("shared", F.size(F.array_intersect("a0", "b0"))).filter(f"shared >= {least}").select("a", "b")
         near = known.unionByName(unknown).distinct()
         sides = [whole.select(F.col("node").alias(s), F.col("packed").alias(t)) for s, t in (("a", "x"), ("b", "y"))]
-        return near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+        # Few bytes are much work here, so partitions are not merged by size; a node's pairs as b come together.
+        near = near.join(sides[0], "a").repartition(parts, "b").join(sides[1].hint("merge"), "b")
+        return near.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
     roots = link(entries, 2, verify, first=8)
     named = sets.select("digest", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

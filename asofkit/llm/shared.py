@@ -248,7 +248,8 @@ def link(entries, refine, verify, dense: int = 64, first: int | None = None) ->
     ``entries(level, kept)`` gives (key, node, idx, prb) with one row per key and node: level 0
     of all nodes, deeper ones of the (key, node) rows in ``kept``, with narrower keys; ``refine`` is
     the number of deeper levels. A link needs a key that one node has as idx and the other
-    as prb. ``verify`` keeps the true links of pairs (a, b, shared); ``shared`` is null, or the pair shares at most so many keys of level 0.
+    as prb. ``verify`` keeps the true links of pairs (a, b, shared), in either order of a and b; ``shared`` is null, or the pair shares
+    at most so many keys of level 0. A node is b in a bounded number of pairs for each of its keys, but may be a in any number.
 
     A key's members are paired only while that makes at most ``dense`` pairs for each of them, counting pairs of
     different components only. Larger keys first compare each member with the smallest and the largest one, then
@@ -262,7 +263,9 @@ def link(entries, refine, verify, dense: int = 64, first: int | None = None) ->
         nonlocal roots
         pairs = paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
         if stars is not None:
-            unknown = _ordered(stars).withColumn("shared", F.lit(None).cast("long"))
+            # A star's centre is a, so what is dealt by b stays even however large the star is.
+            unknown = stars.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
+            unknown = unknown.withColumn("shared", F.lit(None).cast("long"))
             pairs = pairs.unionByName(unknown)
         found = stored(verify(pairs), "links")
         if roots is None:
