@@ -2,9 +2,11 @@
 
 A document's set holds its distinct runs of ``width`` words (lower-cased A-Z). Under any global
 order of the tokens, two sets of similarity ``percent`` share a token among the first
-``n - ceil(n * percent / 100) + 1`` of each. Order 0 gives the join keys, each with a class of set sizes; keys that too many sets share
-are narrowed by the prefix tokens of order 1, then of order 2. A pair found by order 0 must share as many prefix tokens there as
-a link needs, then a prefix token under order 1 and under order 2, before the whole sets are compared.
+``n - ceil(n * percent / 100) + 1`` of each. Order 0 gives the join keys, each with a class of set sizes. A pair found by order 0
+must share as many prefix tokens there as a link needs, then a prefix token under order 1 and under order 2, before the whole sets
+are compared. Sets of a key that many share are compared with a few of them first; those that stay in
+different components are cut into blocks of a bounded size, and each two blocks meet in one task, which
+filters all their pairs by orders 1 and 2 as arrays, compares those left, and passes on one edge for each set at most.
 
 Every order goes by frequency, rare tokens first: a passage that many documents share stands behind their own
 words, so it brings no pair together. Frequencies are counted over all sets: runs of ``COUNTED`` tokens report those that
@@ -38,6 +40,8 @@ COUNTED = 4_000_000  # tokens that are counted together
 REPORTED = 3  # sets among them that hold a reported token at least
 FREQUENCY_BITS = 22  # a class's filter is half a megabyte
 ORDERS = 3
+BLOCK_SETS = 256  # sets of a block at most
+BLOCK_TOKENS = 200_000  # and their tokens, but for a single set
 CLASS = 1.5  # ratio of the sizes in a size class
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 CODES = mixed(np.arange(256, dtype=np.uint64))
@@ -133,6 +137,57 @@ class Sets(dict):
         return self[node]
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Common tokens of each set on the left with each on the right; tokens are taken ``chunk`` at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(left) or not len(right):
+        return out
+    tokens = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    places = []
+    for side in (left, right):
+        row, value = np.repeat(np.arange(len(side)), [len(x) for x in side]), np.concatenate(side)
+        at = np.searchsorted(tokens, value)
+        known = at < len(tokens)
+        known[known] = tokens[at[known]] == value[known]
+        order = np.argsort(at[known], kind="stable")
+        places.append((row[known][order], at[known][order], len(side)))
+    for start in range(0, len(tokens), chunk):
+        parts = []
+        for row, at, n in places:
+            i, j = np.searchsorted(at, (start, start + chunk))
+            part = np.zeros((n, min(chunk, len(tokens) - start)), np.float32)
+            part[row[i:j], at[i:j] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def linked_sets(sets: list[np.ndarray], firsts: list[list[np.ndarray]], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets on the left link with which on the right: pairs pass the prefixes of every order, then the whole sets are compared."""
+    candidates = np.ones((len(left), len(right)), bool)
+    for prefixes in firsts:
+        candidates &= shared_counts([prefixes[i] for i in left], [prefixes[i] for i in right]) > 0
+    rows, columns = candidates.any(1), candidates.any(0)
+    left, right = left[rows], right[columns]
+    both = shared_counts([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = 100 * both >= percent * (sizes[left][:, None] + sizes[right] - both)
+    candidates[np.ix_(rows, columns)] &= some
+    return candidates
+
+
+def joined_labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches through links of the left with the right."""
+    labels = np.arange(n)
+    while linked.size:
+        before = labels.copy()
+        np.minimum.at(labels, right, np.where(linked, labels[left][:, None], n).min(0))
+        np.minimum.at(labels, left, np.where(linked, labels[right], n).min(1))
+        if np.array_equal(before, labels):
+            break
+    return labels
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values.view("i8")))
@@ -208,21 +263,8 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     once = packed_texts(docs).dropDuplicates(["id", "sig"])
     whole = stored(once.join(rivals, ["id", "sig"]).select("node", "packed"), "texts")
 
-    def narrow(level):
-        def rows(batches):
-            text_of = unpacker()
-            for batch in batches:
-                sets = [shingle_set(text_of(x), width) for x in batch.column("packed").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([prefix(t, s, level, frequencies(common.value), percent) for t, s in sets])], ["node", "tokens"])
-
-        return rows
-
     def entries(level, kept):
-        if not level:
-            return shared
-        firsts = stored(whole.join(kept.select("node").distinct(), "node").mapInArrow(narrow(level), "node long, tokens array<long>"), "prefixes")
-        rows = kept.join(firsts, "node").select("key", "node", F.explode("tokens").alias("token")).select(F.xxhash64("key", "token").alias("key"), "node").distinct()
-        return rows.withColumns({"idx": F.lit(True), "prb": F.lit(True)})
+        return shared
 
     def compare(batches):
         text_of = unpacker()
@@ -257,7 +299,31 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         near = near.join(sides[0], "a").repartition(parts, "b").join(sides[1].hint("merge"), "b")
         return near.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    roots = link(entries, 2, verify, first=8)
+    def meet(table):
+        text_of = unpacker()
+        found = [shingle_set(text_of(x), width) for x in table["packed"].to_pylist()]
+        firsts = [[prefix(*f, k, frequencies(common.value), percent) for f in found] for k in range(1, ORDERS)]
+        part, lo, hi = (table[c].to_numpy() for c in ("part", "lo", "hi"))
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        linked = linked_sets([t for t, _ in found], firsts, left, right, percent)
+        labels = joined_labels(linked, left, right, len(part))
+        nodes = table["node"].to_numpy()
+        moved = labels != np.arange(len(part))
+        return pa.table({"a": nodes[labels[moved]], "b": nodes[moved]})
+
+    def blocks(kept):
+        rows = kept.join(sets.select("node", "n"), "node")
+        most = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_TOKENS) / F.max("n"))))
+        cuts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("cuts"))
+        part = F.pmod(F.xxhash64("node", "key"), F.col("cuts")).alias("part")
+        rows = kept.join(cuts, "key").select("key", "node", "cuts", part).join(whole, "node")
+        # Block i meets itself and each other block once.
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+        cell = ("key", "lo", "hi")
+        rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "packed")
+        return rows.repartition(parts, *cell).groupBy(*cell).applyInArrow(meet, "a long, b long").distinct()
+
+    roots = link(entries, 0, verify, first=8, blocks=blocks)
     named = sets.select("digest", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A component is named after its smallest id.
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))

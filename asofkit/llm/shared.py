@@ -242,7 +242,7 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link(entries, refine, verify, dense: int = 64, first: int | None = None) -> DataFrame:
+def link(entries, refine, verify, dense: int = 64, first: int | None = None, blocks=None) -> DataFrame:
     """Components (node, root) of the links among nodes that share a key.
 
     ``entries(level, kept)`` gives (key, node, idx, prb) with one row per key and node: level 0
@@ -254,7 +254,8 @@ def link(entries, refine, verify, dense: int = 64, first: int | None = None) ->
     A key's members are paired only while that makes at most ``dense`` pairs for each of them, counting pairs of
     different components only. Larger keys first compare each member with the smallest and the largest one, then
     with two others picked by hash, which leaves a group of similar members in one component. Those with
-    members in different components after that get narrower keys on the next level, however few they are.
+    members in different components after that get narrower keys on the next level, however few they are. Where
+    ``blocks`` is given, it gets those (key, node) rows instead, and its pairs (a, b) of one component end the search.
     """
     roots = None
     level, kept = 0, None
@@ -279,7 +280,7 @@ def link(entries, refine, verify, dense: int = 64, first: int | None = None) ->
         shared = both.filter("lo < hi AND i AND p").drop("i", "p")
         kept = stored(rows.join(shared, "key"), "shared")
         near = _across(kept, roots)
-        if level == refine:
+        if level == refine and not blocks:
             joined(_pairs(near, near.limit(0), False))
             return roots
         few = F.col("open") <= (first or dense)
@@ -297,6 +298,9 @@ def link(entries, refine, verify, dense: int = 64, first: int | None = None) ->
         kept = stored(_across(many.select("key", "node"), roots).select("key", "node").distinct(), "large")
         if kept.isEmpty():
             return roots
+        if blocks:
+            found = stored(blocks(kept), "links")
+            return roots if found.isEmpty() else stored(_contracted(found, roots), "roots")
         level += 1
 
 
