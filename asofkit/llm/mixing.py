@@ -149,7 +149,7 @@ l AS (
 p AS (SELECT *, weight * rest >= 4 * source_size * lft AS stops FROM l),
 q AS (SELECT rest, lft FROM p WHERE NOT stops ORDER BY source_size / weight, rank LIMIT 1),
 t AS (
-  SELECT p.source, source_size,
+  SELECT p.source, p.rank, source_size,
          CASE WHEN stops THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(weight * q.rest AS DOUBLE) / CAST(q.lft * 2 AS DOUBLE) END AS target
   FROM p LEFT JOIN q ON true),
 b AS (

@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import math
 import random
 import zlib
 
@@ -244,6 +245,30 @@ def test_token_bytes_equal_the_tokenizer():
     assert list(tokens.ids(texts)) == expected
 
 
+SLOTS = ("doc_id", "source", "sig", "taken", "first_slot", "last_slot", "n_pieces")
+
+
+def scheduled(rows, names, goal, size, block):
+    """What each row gives, slot by slot of the golden-ratio schedule."""
+    goals = [round(goal[s]) for s in names]
+    slots = -(-sum(goals) // block)
+    phi, got = (5**0.5 - 1) / 2, {s: [] for s in names}
+    for slot in range(slots):
+        point = slot * phi + phi
+        point = (point - math.floor(point)) * sum(goals)
+        got[names[next(i for i in range(len(goals)) if point < sum(goals[: i + 1]))]].append(slot)
+    for s, words in zip(names, goals, strict=True):
+        order = sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(f"{'' if r['doc_id'] is None else r['doc_id']}/{s or ''}".encode()).hexdigest(), r["sig"]))
+        stream = [(i, e) for e in (0, 1) for i, r in enumerate(order) for _ in range(r["size"])][:words]
+        given = [[] for _ in order]
+        for at, (i, e) in enumerate(stream):
+            k = at // block
+            given[i].append((got[s][k] if k < len(got[s]) else slots + k, e))
+        for r, some in zip(order, given, strict=True):
+            first, last = (min(some)[0], max(some)[0]) if some else (None, None)
+            yield r["doc_id"], s, r["sig"], len(some), first, last, len(set(some))
+
+
 def test_mixing(spark, docs, empty):
     found = [r.asDict() for r in mixing.mix(docs, block=16).collect()]
     rows = corpus()
@@ -268,6 +293,7 @@ def test_mixing(spark, docs, empty):
         open_ -= over
     for s in names:
         assert goal[s] == pytest.approx(expected[s]) and taken[s] == round(goal[s])
+    assert in_order(tuple(r[c] for c in SLOTS) for r in found) == in_order(scheduled(found, names, goal, size, 16))
     out = mixing.stage(spark, docs, "")
     assert out.columns == docs.columns and in_order(map(repr, mixing.mix(docs, 16).collect())) == in_order(map(repr, mixing.mix(docs.repartition(2), 16).collect()))
     assert mixing.mix(empty).count() == 0 and mixing.stage(spark, empty, "").count() == 0
