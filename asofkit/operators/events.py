@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions.scalars import as_column, count_if, finite, minus_seconds, ratio, text, when
 from asofkit.requests import Requests, visible
-from asofkit.skew import top_rows
+from asofkit.skew import joined, top_rows
 
 KEYS = ["entity", "cutoff"]
 SUBDAY_HOURS = (1, 3, 6, 12, 24)
@@ -93,7 +93,7 @@ def numeric(requests: Requests, rows: DataFrame, numbers: list[str], windows=NUM
         x = finite(c)
         order = when(x.isNotNull(), F.struct(F.col("ts").alias("at"), (-x).alias("down")))
         newest.append(F.max(order).alias(f"_{c}"))
-    out = _reduce(requests, rows, aggs).join(rows.groupBy(*KEYS).agg(*newest), KEYS, "left")
+    out = joined(_reduce(requests, rows, aggs), rows.groupBy(*KEYS).agg(*newest), KEYS, "left")
     latest = {
         f"d{d}_{c}_latest": when(F.col(f"_{c}.at") > minus_seconds("cutoff", d * 86_400), -F.col(f"_{c}.down"))
         for c in numbers for d in windows

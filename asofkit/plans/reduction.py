@@ -28,6 +28,7 @@ from asofkit.catalog import Catalog, Relationship, Table, complete, key_value, q
 from asofkit.functions.scalars import stamp
 from asofkit.operators.families import CONTINUATION
 from asofkit.requests import SALTS, Requests, visible
+from asofkit.skew import copies, joined
 
 KEYS = ["entity", "cutoff"]
 ROWS = "*"  # the program's name for the number of rows
@@ -115,7 +116,7 @@ def _at_cutoffs(frame: DataFrame, key, path: str, asked: Requests) -> DataFrame:
     """Undated rows at each cutoff: the listed ones, or those at which their key is asked for."""
     if asked.cutoffs is not None:
         return frame.withColumn("cutoff", F.explode(F.array(*[stamp(c) for c in asked.cutoffs])))
-    pairs = asked.keys().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = copies(asked.keys(), SALTS)
     salted = frame.withColumn("entity", key_value(key, path)).withColumn("_salt", F.floor(F.rand(0) * SALTS).cast("int"))
     return salted.join(pairs, ["entity", "_salt"]).drop("entity", "_salt")
 
@@ -183,7 +184,8 @@ def _fold(catalog: Catalog, place: Occurrence, key: tuple[str, ...], path: str,
         on = ["_link", "cutoff"] if rows.dated else ["_link"]
         block = block.select(*on, *[F.col(quoted(c)).alias(f"{path}{c}") for c in kinds])
         frame = frame.withColumn("_link", F.when(complete(edge.parent_key, path), key_value(edge.parent_key, path)))
-        frame = frame.join(block, on, "left").drop("_link")
+        # A reduction grows with its parent; a table that is looked up may be small.
+        frame = (joined(frame, block, on, "left") if edge.reduce else frame.join(block, on, "left")).drop("_link")
         features |= kinds
     return _Rows(frame, path, features, dated)
 

@@ -102,3 +102,22 @@ def test_percentile_paths_agree(values):
     a = skew.percentiles(frame, [], "v", {"p": 0.37}).first()["p"]
     b = skew.percentiles(frame, [], "v", {"p": 0.37}, limit=0).first()["p"]
     assert a == pytest.approx(b, rel=1e-12, abs=1e-9)
+
+
+def test_growing_tables_are_not_broadcast(spark, tmp_path):
+    """A file below the broadcast threshold may hold more rows than the driver can: neither it nor its copies pass through the driver."""
+    spark.range(0, 400_000, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v")).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    facts = spark.range(1_000_000).select((F.col("id") % 400_003).alias("k"), "id")
+    for out in (skew.joined(facts, table, "k", "left"), skew.lookup(facts, table, ["k"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        totals = out.agg(F.count("id"), F.count("v"), F.sum("v")).first()
+        missing = facts.filter("k >= 400000").count()
+        wanted = facts.filter("k < 400000").agg(F.sum(F.col("k") % 7)).first()[0]
+        assert tuple(totals) == (1_000_000, 1_000_000 - missing, wanted)
+
+
+def test_copies_hold_each_row_once_per_salt(spark, rows):
+    frame = spark.createDataFrame([("a",), ("b",)], "k string")
+    assert [(r["k"], r["_salt"]) for r in rows(skew.copies(frame, 3), "k", "_salt")] == [(k, i) for k in "ab" for i in range(3)]
