@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from asofkit.llm import line_join, mixing, ngram_join, pattern_packing, progressive_jpeg, registry, rule_ledger, separator_scan, snapshots, super_kmers, warc
 from asofkit.llm.shared import NULL_ID, components, link, new_folder
@@ -337,6 +338,20 @@ def test_super_kmers(spark, docs, empty, monkeypatch, hot):
     assert super_kmers.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [0, 40, 1 << 17])
+def test_super_kmers_crowds(spark, monkeypatch, crowd):
+    """Hot minimisers give the same rows from buckets as from windows, and what lies under CROWD makes no row for each window."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if (i + 7 * k) % 23 else f"x{i}" for k, w in enumerate(words))) for i in range(40)] + [(99, " ".join(["same"] * 70)), (100, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cold = in_order(tuple(r) for r in super_kmers.without_repeats(docs).collect())
+    monkeypatch.setattr(super_kmers, "HOT", 1)
+    monkeypatch.setattr(super_kmers, "CROWD", crowd)
+    assert in_order(tuple(r) for r in super_kmers.without_repeats(docs).collect()) == cold
+    firsts = super_kmers.marks(docs, super_kmers.packed_texts(docs)).filter("kind = 'FIRST'").agg(F.count(F.lit(1)).alias("rows"), F.sum("windows").alias("windows")).first()
+    assert (firsts.rows == firsts.windows) == (crowd == 0)
+
+
 def test_snapshots(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", None), (4, 0, "user", "hi"), (4, 1, "bot", "other"),
             (5, 0, "user", "hi"), (5, 1, "bot", "yo"), (5, 2, "user", ""), (6, 0, None, ""), (None, 0, "a", "b"), (7, 0, "a", "b"), (7, 0, "a", "b"), (7, None, "z", "first")]
