@@ -13,7 +13,8 @@ maxima by max, counts and sums by sum, means by mean). Looked-up values stay own
 Clocks: a row counts at a cutoff when its table's event clock (and availability) lets it through; rows of
 tables without a clock count at all cutoffs and are kept once, not per cutoff, until a dated child
 meets them. With listed cutoffs nothing is joined to the requests before the root; with many, the requests'
-(entity, cutoff) pairs go down the tree by the same keys. A key with a null part refers to nothing. A parent without
+(entity, cutoff) pairs go down the tree by the same keys. A dated leaf then meets its parent as states that hold between
+two cutoffs (``_states``), so what it shuffles grows with its rows and not with the cutoffs. A key with a null part refers to nothing. A parent without
 children has nulls.
 """
 
@@ -21,18 +22,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.catalog import Catalog, Relationship, Table, complete, key_value, quoted
 from asofkit.functions.scalars import stamp
 from asofkit.operators.families import CONTINUATION
-from asofkit.requests import SALTS, Requests, visible
+from asofkit.requests import SALTS, Requests, visible, within
 from asofkit.skew import copies, joined
 
 KEYS = ["entity", "cutoff"]
 ROWS = "*"  # the program's name for the number of rows
 FUNCTIONS = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
+#: Distinct cutoffs up to which a leaf is folded into states; they stand in the plan as one array.
+SLOT_LIMIT = 4096
+STRIDE = 64
 #: A program: for each table the functions of its columns; ROWS takes only "count".
 Program = dict[str, dict[str, tuple[str, ...]]]
 
@@ -156,19 +160,91 @@ def _summaries(rows: _Rows, name: str, program: dict) -> tuple[list, dict]:
     return aggs, kinds
 
 
-def _fold(catalog: Catalog, place: Occurrence, key: tuple[str, ...], path: str, asked: Requests, program: Program) -> _Rows:
-    """The rows of an occurrence with all that its descendants give."""
+def _is_leaf(table: Table, place: Occurrence, program: dict) -> bool:
+    """Whether an occurrence is dated, has no children, is reduced and gives something."""
+    dated = table.time or table.available_at
+    return bool(dated and place.edge.reduce and not place.children and any(program.values()) and not (table.time and table.boundary == "exact"))
+
+
+def _missed(moment: Column, cutoffs: list, strict: bool) -> Column:
+    """How many of the sorted cutoffs come too early to see a moment."""
+    def early(c):
+        return c <= moment if strict else c < moment
+
+    heads = F.size(F.filter(F.array(*[stamp(c) for c in cutoffs[::STRIDE]]), early))
+    near = F.slice(F.array(*[stamp(c) for c in cutoffs]), (heads - 1) * STRIDE + 1, F.lit(STRIDE))
+    return F.when(heads > 0, (heads - 1) * STRIDE + F.size(F.filter(near, early))).otherwise(F.lit(0))
+
+
+def _states(table: Table, edge: Relationship, label: str, asked: Requests, program: dict, cutoffs: list) -> tuple[DataFrame, dict]:
+    """A dated leaf's summaries as states: one row per link and cutoff at which it changes, with the time it holds for.
+
+    A row that a cutoff sees is seen by all later ones. So rows are aggregated by the first cutoff that sees them, and running
+    aggregates over those, at most one for each cutoff and link, give every cutoff's value.
+    """
+    def at(name: str) -> str:
+        return quoted(f"/{name}")
+
+    frame = table.projected().select(*[F.col(quoted(c)).alias(f"/{c}") for c in (*table.structural, *table.payload_columns)])
+    rule, missed = {}, []
+    if table.time:
+        rule["boundary"] = table.boundary
+        missed.append(_missed(F.col(at(table.time)), cutoffs, table.boundary == "strict"))
+    if table.available_at:
+        rule["available"] = at(table.available_at)
+        missed.append(_missed(F.col(at(table.available_at)), cutoffs, False))
+    slot = F.greatest(*missed) if len(missed) > 1 else missed[0]
+    seen = frame.filter(complete(edge.child_key, "/")).withColumn("cutoff", stamp(cutoffs[-1]))
+    seen = seen.filter(within(asked, at(table.time) if table.time else None, **rule))
+
+    parts, kinds, direct, values = [], {}, [], []
+    by_slot = Window.partitionBy("_link").orderBy("_slot")
+    running = by_slot.rowsBetween(Window.unboundedPreceding, 0)
+
+    def total(column: Column, onward=F.sum) -> Column:
+        parts.append(column.alias(f"_p{len(parts)}"))
+        return onward(f"_p{len(parts) - 1}").over(running)
+
+    wanted = [(f"{label}_rows", "count", F.lit(1))] if "count" in program.get(ROWS, ()) else []
+    wanted += [(f"{label}_{c}_{f}", f, F.col(at(c))) for c, functions in program.items() if c != ROWS for f in functions]
+    for name, function, column in wanted:
+        kinds[name] = function
+        direct.append(FUNCTIONS[function](column).alias(name))
+        if function == "avg":
+            values.append(total(F.sum(column)) / F.nullif(total(F.count(column)), F.lit(0)))
+        else:
+            values.append(total(FUNCTIONS[function](column), {"min": F.min, "max": F.max}.get(function, F.sum)))
+    types = seen.agg(*direct).schema
+    changes = seen.groupBy(key_value(edge.child_key, "/").alias("_link"), slot.alias("_slot")).agg(*parts)
+    grid = F.array(*[stamp(c) for c in cutoffs])
+    until = F.lead("_slot").over(by_slot)
+    states = changes.select(
+        "_link", F.element_at(grid, F.col("_slot") + 1).alias("_from"), F.when(until.isNotNull(), F.element_at(grid, until + 1)).alias("_until"),
+        *[v.cast(f.dataType).alias(f.name) for v, f in zip(values, types, strict=True)])
+    return states, kinds
+
+
+def _fold(catalog: Catalog, place: Occurrence, key: tuple[str, ...], path: str, asked: Requests, program: Program, cutoffs: list | None) -> _Rows:
+    """The rows of an occurrence with all that its descendants give; ``cutoffs``, if known, are all of many cutoffs."""
     table = catalog[place.table]
     frame, dated = _rows(table, key, path, asked)
     features = {c: tuple(functions) for c, functions in program.get(table.name, {}).items() if c != ROWS}
     for n, child in enumerate(place.children):
         edge, below = child.edge, f"{path}{n}/"
+        if cutoffs and _is_leaf(catalog[child.table], child, program.get(child.table, {})):
+            states, kinds = _states(catalog[child.table], edge, child.label, asked, program.get(child.table, {}), cutoffs)
+            states = states.select("_link", "_from", "_until", *[F.col(quoted(c)).alias(f"{path}{c}") for c in kinds])
+            link = F.when(complete(edge.parent_key, path), key_value(edge.parent_key, path))
+            holds = (link == states["_link"]) & (F.col("cutoff") >= states["_from"]) & (states["_until"].isNull() | (F.col("cutoff") < states["_until"]))
+            frame = joined(frame, states, holds, "left").drop("_link", "_from", "_until")
+            features |= kinds
+            continue
         if asked.cutoffs is not None:
             question = asked
         else:
             pairs = frame.filter(complete(edge.parent_key, path)).select(key_value(edge.parent_key, path).alias("entity"), "cutoff").distinct()
             question = Requests(pairs, None, asked.phase)
-        rows = _fold(catalog, child, edge.child_key, below, question, program)
+        rows = _fold(catalog, child, edge.child_key, below, question, program, cutoffs)
         if rows.dated and not dated:
             frame, dated = _at_cutoffs(frame, key, path, asked), True
         link = [key_value(edge.child_key, below).alias("_link"), *([F.col("cutoff")] if rows.dated else [])]
@@ -197,7 +273,11 @@ def reduce_tree(catalog: Catalog, tree: Occurrence, requests: Requests, program:
     the labels of the occurrences it came through and ends with the functions that made it, innermost first.
     """
     key = catalog[tree.table].key
-    rows = _fold(catalog, tree, key, "/", requests, program)
+    cutoffs = None
+    if requests.cutoffs is None:
+        found = requests.frame.select("cutoff").filter("cutoff IS NOT NULL").distinct().limit(SLOT_LIMIT + 1).collect()
+        cutoffs = sorted(r[0] for r in found) if len(found) <= SLOT_LIMIT else None
+    rows = _fold(catalog, tree, key, "/", requests, program, cutoffs)
     columns = [F.col(quoted(f"/{c}")).alias(c) for c in rows.features]
     block = rows.frame.select(key_value(key, "/").alias("entity"), *(["cutoff"] if rows.dated else []), *columns)
     return requests.frame.join(block, KEYS if rows.dated else ["entity"], "left")

@@ -62,6 +62,27 @@ def test_worked_example(shop_catalog, rows, listed):
         (2, 120.0, 60.0, 100.0, 55.0), (1, 60.0, 60.0, 60.0, 60.0), (None,) * 5]
 
 
+@pytest.mark.parametrize("boundary", ["strict", "inclusive"])
+def test_leaf_states_of_many_cutoffs(spark, rows, boundary):
+    """Nulls, equal instants, a second clock, a phase and unasked entities; the requests are not copied for the leaf's rows."""
+    roots = spark.createDataFrame([("A",), ("B",), ("C",)], "id string")
+    acts = spark.createDataFrame(
+        [("A", day(2), day(2), 1, 2.0), ("A", day(2), day(9), 2, None), ("A", day(5), day(5), None, 4.0), ("A", None, day(3), 8, 8.0), ("A", day(8), None, 16, 8.0),
+         ("B", day(4), day(4), None, None), ("B", day(12), day(12), 3, 1.0), (None, day(2), day(2), 5, 5.0)], "owner string, at timestamp_ntz, seen timestamp_ntz, n int, x double")
+    cat = Catalog({"roots": Table("roots", roots, ("id",)), "acts": Table("acts", acts, time="at", available_at="seen", boundary=boundary, foreign_keys=(("owner", "roots"),))})
+    program = {"acts": {rd.ROWS: ("count",), "n": ("sum", "count", "min"), "x": ("avg", "max")}}
+    cuts = [day(d) for d in range(1, 15)]
+    frame = roots.filter("id <> 'C'").select(F.col("id").alias("entity"), F.explode(F.array(*[stamp(c) for c in cuts])).alias("cutoff"))
+    tree = rd.along(cat, ("roots", "acts"))
+    for phase in (None, day(10)):
+        many = rd.reduce_tree(cat, tree, Requests(frame, None, phase), program)
+        listed = rd.reduce_tree(cat, tree, Requests(frame, tuple(cuts), phase), program)
+        assert many.schema.simpleString() == listed.schema.simpleString()
+        assert rows(many, "entity", "cutoff") == rows(listed, "entity", "cutoff")
+    # Only the undated root meets copies of the requests.
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 16") == 1
+
+
 def test_occurrence_trees(shop_catalog):
     cat = shop_catalog
     assert set(rd.occurrences(cat, "customers", 2).walks()) == {("customers",), ("customers", "orders"), ("customers", "orders", "lines")}
