@@ -121,3 +121,13 @@ def test_growing_tables_are_not_broadcast(spark, tmp_path):
 def test_copies_hold_each_row_once_per_salt(spark, rows):
     frame = spark.createDataFrame([("a",), ("b",)], "k string")
     assert [(r["k"], r["_salt"]) for r in rows(skew.copies(frame, 3), "k", "_salt")] == [(k, i) for k in "ab" for i in range(3)]
+
+
+def test_growing_lookup_is_not_broadcast(spark, rows):
+    """The copies of a small table are broadcast after their shuffle, those of a growing one are not; the rows are the same."""
+    many = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    table = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).groupBy("k").agg(F.max("v").alias("v"))
+    out = {g: skew.lookup(many, table, ["k"], grows=g) for g in (False, True)}
+    assert rows(out[True], "id") == rows(out[False], "id")
+    plans = {g: f._jdf.queryExecution().executedPlan().toString() for g, f in out.items()}
+    assert "BroadcastHashJoin" in plans[False] and "BroadcastHashJoin" not in plans[True]
