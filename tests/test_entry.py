@@ -47,3 +47,11 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", ["E13_embedding_projection", "E3_parent_text", "A41_source_annotation"])
 def test_model_backed_queries_run(spark, name):
     assert entry_points.queries()[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name, most", [("A43_weighted_peers", 10), ("A46_paired_contexts", 16), ("A47_deep_peers", 10)])
+def test_peer_links_stand_once(spark, name, most):
+    """Links and labels are stored before they are read several times; only totals per cutoff are broadcast."""
+    execution = entry_points.queries()[name](spark, DATA)._jdf.queryExecution()
+    assert execution.analyzed().collectLeaves().size() <= most
+    assert execution.executedPlan().toString().split("== Initial Plan ==")[0].count("BroadcastHashJoin") <= 1
