@@ -338,6 +338,17 @@ def test_population_is_the_same_for_listed_and_unlisted_cutoffs(spark):
         assert answers(one) == answers(listed)
 
 
+@pytest.mark.parametrize("limit", [0, 12, 1000])
+def test_totals_at_sum_small_keys_whole_and_large_ones_in_buckets(spark, monkeypatch, limit):
+    monkeypatch.setattr(sk, "WHOLE_LIMIT", limit)
+    data = [("a", day(1 + i % 9), i) for i in range(40)] + [("b", day(2), 5), ("b", day(4), 7), (None, day(1), 100)]
+    moments = [("a", day(i)) for i in range(1, 12)] + [("b", day(3)), ("b", day(9)), ("c", day(9)), (None, day(9))]
+    events = spark.createDataFrame(data, "k string, t timestamp_ntz, v long")
+    points = spark.createDataFrame(moments, "k string, m timestamp_ntz")
+    found = {(r["k"], r["m"]): r["v"] for r in sk.totals_at(events, points, ["k"], "t", "m", {"v": F.col("v")}).collect()}
+    assert found == {(k, m): sum(v for e, t, v in data if e == k and t < m) for k, m in moments if k}
+
+
 def test_totals_at_leave_out_the_instant_itself(spark):
     events = spark.createDataFrame([("g", day(1), 2), ("g", day(3), 5), ("h", day(2), 7), (None, day(1), 9)], "k string, t timestamp_ntz, v long")
     points = spark.createDataFrame([("g", day(1)), ("g", day(3)), ("g", day(4)), ("h", day(9)), ("x", day(9)), (None, day(9))], "k string, m timestamp_ntz")
