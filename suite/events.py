@@ -302,7 +302,7 @@ _OWN_EXP = f"""{OWN_REQ}, every AS (SELECT o_custkey AS entity, greatest(o_order
 
 @query("A33_response_priors_own_cutoffs", f"""WITH {_OWN_EXP} SELECT entity, cutoff, object, context, {N('peer_n')} AS peer_n, {R('e', 6)} AS expected, {N('peer_cn')} AS peer_context_n, {R('ec', 6)} AS expected_context FROM pc""")
 def _(t):
-    return _priors(exposure_facts(t, None), t.own_order_requests())
+    return _priors(exposure_facts(t, None).drop("search", "prior"), t.own_order_requests())
 
 
 _WINS = (("all", "true"), ("w0", since_sql(45)), ("w1", since_sql(90)), ("w2", since_sql(180)))
